@@ -32,7 +32,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def over(build: Callable[[Tables], DataFrame]) -> Query:
     """A query over the retail tables derived from the folder."""
-    return lambda spark, folder: build(load(spark, folder))
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return build(load(spark, folder))
+
+    return query
 
 
 # --- posting: the given orders as requests --------------------------------------

@@ -78,7 +78,7 @@ def needs(lines: DataFrame, parity: bool) -> DataFrame:
 
 def decide(lines: DataFrame, inventory: DataFrame, parity: bool = False,
            rows_per_chunk: int = ROWS_PER_CHUNK, finish_rows: int = FINISH_ROWS) -> DataFrame:
-    """Event keys with ``accepted``; procurements are always accepted."""
+    """``accepted`` per sale and adjustment; procurements are always accepted."""
     start = in_order(checkpointed(opening_stock(needs(lines, parity), inventory)),
                      STOCK_KEY, EVENT_ORDER, rows_per_chunk)
     work, decided = start.df, []
@@ -94,11 +94,10 @@ def decide(lines: DataFrame, inventory: DataFrame, parity: bool = False,
         verdicts = checkpointed(_judge(bounds))
         decided.append(verdicts.filter(F.col("verdict") != UNDECIDED))
         work = checkpointed(_next_round(work, verdicts))
-    free = lines.filter(F.col("kind") == PROCUREMENT).select(*EVENT).distinct().withColumn(
-        "accepted", F.lit(True))
-    settled = [v.select(*EVENT, (F.col("verdict") == ACCEPTED).alias("accepted"))
-               for v in decided]
-    return reduce(DataFrame.unionByName, settled, free)
+    if not decided:
+        decided = [lines.sparkSession.createDataFrame([], _VERDICT)]
+    return reduce(DataFrame.unionByName, decided).select(
+        *EVENT, (F.col("verdict") == ACCEPTED).alias("accepted"))
 
 
 def _bounds(work: Ordered) -> DataFrame:
@@ -196,7 +195,7 @@ def with_balances(lines: DataFrame, verdicts: DataFrame, inventory: DataFrame,
     it met. ``had_row`` tells whether a stock row existed by then.
     """
     judged = opening_stock(lines.join(verdicts, list(EVENT), "left"), inventory).withColumn(
-        "accepted", F.coalesce("accepted", F.lit(False)))
+        "accepted", F.coalesce("accepted", F.col("kind") == PROCUREMENT))
     effect: Column = F.when(F.col("accepted"), F.col("change")).otherwise(0)
     makes: Column = (F.col("accepted") & (F.col("kind") != SALE)).cast("int")
     ordered = in_order(judged, STOCK_KEY, LINE_ORDER, rows_per_chunk)

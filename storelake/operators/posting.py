@@ -84,16 +84,21 @@ def post_events(
         given(baskets, BASKETS), given(basket_lines, BASKET_LINES),
         given(procurements, PROCUREMENTS), given(procurement_lines, PROCUREMENT_LINES),
         given(adjustments, ADJUSTMENTS), products)
+    lines = checkpointed(lines)
     events = checkpointed(_checked(headers, lines, parity))
-    sound = events.filter(F.col("reason").isNull() | (F.col("reason") == "underpaid"))
-    lines = checkpointed(lines.join(sound.select(*EVENT), list(EVENT), "left_semi"))
-    payable = lines.join(events.filter(F.col("reason").isNull()).select(*EVENT),
-                         list(EVENT), "left_semi")
-    verdicts = checkpointed(decide(payable, inventory, parity, rows_per_chunk, finish_rows))
+    reason = F.col("reason")
+
+    def lines_of(which: Column) -> DataFrame:
+        return lines.join(events.filter(which).select(*EVENT), list(EVENT), "left_semi")
+
+    verdicts = decide(lines_of(reason.isNull()), inventory, parity, rows_per_chunk,
+                      finish_rows)
+    # An underpaid basket is never accepted, but the stock it met is of interest.
+    sound = lines_of(reason.isNull() | (reason == "underpaid"))
     posted = checkpointed(numbered(
-        with_balances(lines, verdicts, inventory, rows_per_chunk),
+        with_balances(sound, verdicts, inventory, rows_per_chunk),
         ["branch_id", *LINE_ORDER], "number", first_id - 1, rows_per_chunk))
-    outcome = checkpointed(_outcome(events, verdicts, posted, parity))
+    outcome = _outcome(events, verdicts, posted, parity)
     accepted = posted.filter(F.col("accepted"))
     passed = outcome.filter(F.col("reason").isNull())
 
@@ -278,7 +283,8 @@ def _outcome(events: DataFrame, verdicts: DataFrame, posted: DataFrame, parity:
         "reason",
         F.when(F.col("_short"), "insufficient_stock")
          .when(F.col("reason").isNotNull(), F.col("reason"))
-         .when(~F.col("accepted"), by_stock)
+         .when((kind != PROCUREMENT) & (F.col("line_count") > 0)
+               & ~F.coalesce("accepted", F.lit(False)), by_stock)
     ).drop("accepted", "_short")
 
 

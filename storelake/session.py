@@ -26,6 +26,8 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
+        # Call sites in error messages cost a round trip per expression.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **settings,
     }
     for key, value in options.items():

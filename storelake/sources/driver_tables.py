@@ -8,11 +8,12 @@ branch of a sale follows from its agent key, prices come from the line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelake.operators.ledger import inventory_snapshot, running_balance
-from storelake.sources.schemas import DATE, MONEY, PRICE, TS, enforce_schema, with_generated
+from storelake.operators.ordered import ROWS_PER_CHUNK
+from storelake.sources.schemas import enforce_schema, with_generated
 from storelake.sources.tables import Tables, default_settings
 
 BRANCHES = 25
@@ -24,135 +25,101 @@ MODULES = {"signup": "Users", "click": "Auth", "error": "Auth", "view": "Product
            "purchase": "Sales"}
 
 
-def _fingerprint(*parts: Column) -> Column:
+def _fingerprint(*parts: str) -> str:
     """60 bits of the MD5 of the parts, as a long."""
-    text = F.concat_ws("|", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    texts = ", ".join(f"cast({p} as string)" for p in parts)
+    return f"cast(conv(substring(md5(concat_ws('|', {texts})), 1, 15), 16, 10) as bigint)"
 
 
-def _chosen(column: str, values: dict[str, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for key, value in values.items():
-        out = F.when(F.col(column) == key, value).otherwise(out)
-    return out
+def _chosen(column: str, values: dict[str, str]) -> str:
+    cases = " ".join(f"when '{key}' then '{value}'" for key, value in values.items())
+    return f"case {column} {cases} end"
+
+
+CATEGORY_ID = _fingerprint("p_type")
+LINE_ID = _fingerprint(
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cast(l_quantity as bigint)",
+    "cast(l_extendedprice as decimal(18,2))", "cast(l_shipdate as date)")
+# Price of one unit in cents, in whole numbers.
+UNIT_CENTS = "(cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint))"
+SIGNED = "if(l_linestatus = 'O', quantity, -quantity)"
+REASON = "if(l_linestatus = 'O', 'Returned Goods', 'Damaged Products')"
+OPENED = "timestamp_ntz'2020-01-01 00:00:00'"
+STAMPS = (f"{OPENED} as created_at", f"{OPENED} as updated_at")
+
+
+def _price(cents: str) -> str:
+    return f"cast(cast({cents} as decimal(14,0)) * 0.01 as decimal(12,2))"
 
 
 def load(spark: SparkSession, folder: str,
-         rows_per_chunk: int | None = 5_000_000) -> Tables:
+         rows_per_chunk: int | None = ROWS_PER_CHUNK) -> Tables:
     """All retail tables over ``folder``; nothing is read until a table is used."""
 
     def raw(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    opened = F.lit("2020-01-01 00:00:00").cast(TS)
-
     def branches() -> DataFrame:
-        joined = raw("nation").join(raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        return enforce_schema(joined.select(
-            F.col("n_nationkey").alias("id"),
-            F.col("n_name").alias("branch_name"),
-            F.col("r_name").alias("location"),
-            F.when(F.col("n_regionkey") == 4, "inactive").otherwise("active").alias("status"),
-            opened.alias("created_at"), opened.alias("updated_at"),
-        ), "branches")
+        joined = raw("nation").join(raw("region"), F.expr("n_regionkey = r_regionkey"))
+        return enforce_schema(joined.selectExpr(
+            "n_nationkey as id", "n_name as branch_name", "r_name as location",
+            "if(n_regionkey = 4, 'inactive', 'active') as status", *STAMPS), "branches")
 
     def users() -> DataFrame:
-        name = F.lower("c_name")
-        return enforce_schema(raw("customer").select(
-            F.col("c_custkey").alias("id"),
-            F.col("c_nationkey").alias("branch_id"),
-            F.col("c_name").alias("full_name"),
-            name.alias("username"),
-            F.concat(name, F.lit("@example.com")).alias("email"),
-            F.when(F.col("c_mktsegment") == "BUILDING", "manager")
-             .when(F.col("c_mktsegment") == "MACHINERY", "director")
-             .otherwise("sales_agent").alias("role"),
-            F.when(F.col("c_acctbal") < 0, "inactive").otherwise("active").alias("status"),
-            opened.alias("created_at"), opened.alias("updated_at"),
-        ), "users")
+        return enforce_schema(raw("customer").selectExpr(
+            "c_custkey as id", "c_nationkey as branch_id", "c_name as full_name",
+            "lower(c_name) as username", "concat(lower(c_name), '@example.com') as email",
+            "case c_mktsegment when 'BUILDING' then 'manager' "
+            "when 'MACHINERY' then 'director' else 'sales_agent' end as role",
+            "if(c_acctbal < 0, 'inactive', 'active') as status", *STAMPS), "users")
 
     def categories() -> DataFrame:
-        key = _fingerprint(F.col("p_type"))
-        kinds = raw("part").select("p_type").distinct()
-        return enforce_schema(kinds.select(
-            key.alias("id"),
-            F.col("p_type").alias("category_name"),
-            F.when(F.col("p_type") == "PROMO", "inactive").otherwise("active").alias("status"),
-            F.when(key % 3 != 0, key % 100).alias("created_by"),
-            opened.alias("created_at"), opened.alias("updated_at"),
-        ), "categories")
+        kinds = raw("part").select("p_type").distinct().selectExpr(
+            "p_type", f"{CATEGORY_ID} as id")
+        return enforce_schema(kinds.selectExpr(
+            "id", "p_type as category_name",
+            "if(p_type = 'PROMO', 'inactive', 'active') as status",
+            "if(id % 3 <> 0, id % 100, null) as created_by", *STAMPS), "categories")
 
     def suppliers() -> DataFrame:
-        return enforce_schema(raw("supplier").select(
-            F.col("s_suppkey").alias("id"),
-            F.col("s_name").alias("supplier_name"),
-            F.when(F.col("s_acctbal") < 0, "inactive").otherwise("active").alias("status"),
-            opened.alias("created_at"), opened.alias("updated_at"),
-        ), "suppliers")
+        return enforce_schema(raw("supplier").selectExpr(
+            "s_suppkey as id", "s_name as supplier_name",
+            "if(s_acctbal < 0, 'inactive', 'active') as status", *STAMPS), "suppliers")
 
     def products() -> DataFrame:
-        price = F.col("p_retailprice").cast(PRICE)
-        return enforce_schema(raw("part").select(
-            F.col("p_partkey").alias("id"),
-            _fingerprint(F.col("p_type")).alias("category_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_brand").alias("description"),
-            (price * F.lit("0.80").cast("decimal(3,2)")).cast(PRICE).alias("cost_price"),
-            price.alias("selling_price"),
-            F.col("p_size").alias("reorder_level"),
-            F.lit("piece").alias("unit"),
-            F.when(F.col("p_partkey") % 17 == 0, "inactive").otherwise("active")
-             .alias("status"),
-            opened.alias("created_at"), opened.alias("updated_at"),
-        ), "products")
+        price = "cast(p_retailprice as decimal(12,2))"
+        return enforce_schema(raw("part").selectExpr(
+            "p_partkey as id", f"{CATEGORY_ID} as category_id", "p_name as product_name",
+            "p_brand as description", f"{price} * 0.80 as cost_price",
+            f"{price} as selling_price", "p_size as reorder_level", "'piece' as unit",
+            "if(p_partkey % 17 = 0, 'inactive', 'active') as status", *STAMPS), "products")
 
     def barcodes() -> DataFrame:
-        count = (F.col("p_partkey") % 4).cast("int")
-        each = raw("part").filter(count > 0).select(
-            "p_partkey", F.explode(F.sequence(F.lit(1), count)).alias("k"))
-        return enforce_schema(each.select(
-            (F.col("p_partkey") * 10 + F.col("k")).alias("id"),
-            F.col("p_partkey").alias("product_id"),
-            F.concat_ws("-", F.lit("BC"), "p_partkey", "k").alias("barcode_value"),
-            opened.alias("created_at"),
-        ), "barcodes")
-
-    def orders() -> DataFrame:
-        return raw("orders").withColumn("branch_id", F.col("o_custkey") % BRANCHES)
+        each = raw("part").filter("p_partkey % 4 > 0").selectExpr(
+            "p_partkey", "explode(sequence(1, cast(p_partkey % 4 as int))) as k")
+        return enforce_schema(each.selectExpr(
+            "p_partkey * 10 + k as id", "p_partkey as product_id",
+            "concat_ws('-', 'BC', p_partkey, k) as barcode_value",
+            f"{OPENED} as created_at"), "barcodes")
 
     def sales() -> DataFrame:
-        total = F.col("o_totalprice").cast(MONEY)
-        return enforce_schema(with_generated(orders().select(
-            F.col("o_orderkey").alias("id"),
-            "branch_id",
-            F.col("o_custkey").alias("sales_agent_id"),
-            F.concat(F.lit("RCP-"), "o_orderkey").alias("receipt_number"),
-            total.alias("total_amount"),
-            (total + (F.col("o_orderkey") % 5).cast("int")).cast(MONEY).alias("amount_paid"),
-            F.lit("cash").alias("payment_method"),
-            F.when(F.col("o_orderstatus") == "P", "voided").otherwise("completed")
-             .alias("status"),
-            F.col("o_orderdate").alias("sale_date"),
-        ), "sales"), "sales")
+        placed = raw("orders").selectExpr(
+            "*", "cast(o_totalprice as decimal(14,2)) as total_amount")
+        return enforce_schema(with_generated(placed.selectExpr(
+            "o_orderkey as id", f"o_custkey % {BRANCHES} as branch_id",
+            "o_custkey as sales_agent_id", "concat('RCP-', o_orderkey) as receipt_number",
+            "total_amount",
+            "cast(total_amount + cast(o_orderkey % 5 as int) as decimal(14,2)) as amount_paid",
+            "'cash' as payment_method",
+            "if(o_orderstatus = 'P', 'voided', 'completed') as status",
+            "o_orderdate as sale_date"), "sales"), "sales")
 
     def lines() -> DataFrame:
-        quantity = F.col("l_quantity").cast("int")
-        unit_cents = "(cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as int))"
-        cents = F.lit("0.01").cast("decimal(3,2)")
-        return raw("lineitem").select(
-            _fingerprint(
-                F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
-                F.col("l_suppkey"), F.col("l_quantity").cast("bigint"),
-                F.col("l_extendedprice").cast("decimal(18,2)"),
-                F.col("l_shipdate").cast(DATE),
-            ).alias("id"),
-            "l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate",
-            F.col("l_partkey").alias("product_id"),
-            quantity.alias("quantity"),
-            (F.expr(unit_cents).cast("decimal(14,0)") * cents).cast(PRICE).alias("unit_price"),
-            (F.expr(f"{unit_cents} * 80 div 100").cast("decimal(14,0)") * cents)
-             .cast(PRICE).alias("unit_cost"),
-        )
+        return raw("lineitem").selectExpr(
+            f"{LINE_ID} as id", "l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus",
+            "l_shipdate", "l_partkey as product_id", "cast(l_quantity as int) as quantity",
+            f"{_price(UNIT_CENTS)} as unit_price",
+            f"{_price(UNIT_CENTS + ' * 80 div 100')} as unit_cost")
 
     def of_kind(flag: str) -> DataFrame:
         return lines().filter(F.col("l_returnflag") == flag)
@@ -167,61 +134,43 @@ def load(spark: SparkSession, folder: str,
             of_kind(PROCUREMENT).withColumnRenamed("l_orderkey", "procurement_id"),
             "procurement_items"), "procurement_items")
 
+    def placed(rows: DataFrame) -> DataFrame:
+        """Rows of an order with who placed it and where."""
+        orders = raw("orders").selectExpr(
+            "o_orderkey", "o_custkey", f"o_custkey % {BRANCHES} as branch_id")
+        return rows.join(orders, F.expr("l_orderkey = o_orderkey"))
+
     def procurements() -> DataFrame:
-        key = F.col("l_orderkey")
         headers = of_kind(PROCUREMENT).groupBy("l_orderkey").agg(
-            F.sum((F.col("quantity") * F.col("unit_cost")).cast(MONEY)).alias("total_cost"),
-            F.min("l_suppkey").alias("supplier"),
-            F.min("l_shipdate").alias("created_at"),
-        )
-        placed = orders().select("o_orderkey", "o_custkey", "branch_id")
-        return enforce_schema(headers.join(placed, key == F.col("o_orderkey")).select(
-            key.alias("id"),
-            "branch_id",
-            F.when(key % 13 != 0, F.col("supplier")).alias("supplier_id"),
-            F.when(key % 11 != 0, F.col("o_custkey")).alias("recorded_by"),
-            F.when(key % 7 != 0, F.concat(F.lit("PO-"), key)).alias("reference_number"),
-            "total_cost",
-            F.col("created_at").cast(DATE).alias("procurement_date"),
-            "created_at",
-        ), "procurements")
-
-    def placed_lines(kind: Column | None = None) -> DataFrame:
-        rows = lines() if kind is None else lines().filter(kind)
-        placed = orders().select("o_orderkey", "o_custkey", "branch_id")
-        return rows.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-
-    signed = F.when(F.col("l_linestatus") == "O", F.col("quantity")).otherwise(
-        -F.col("quantity"))
-    reason = F.when(F.col("l_linestatus") == "O", "Returned Goods").otherwise(
-        "Damaged Products")
+            F.expr("sum(cast(quantity * unit_cost as decimal(14,2))) as total_cost"),
+            F.expr("min(l_suppkey) as supplier"), F.expr("min(l_shipdate) as created_at"))
+        return enforce_schema(placed(headers).selectExpr(
+            "l_orderkey as id", "branch_id",
+            "if(l_orderkey % 13 <> 0, supplier, null) as supplier_id",
+            "if(l_orderkey % 11 <> 0, o_custkey, null) as recorded_by",
+            "if(l_orderkey % 7 <> 0, concat('PO-', l_orderkey), null) as reference_number",
+            "total_cost", "created_at as procurement_date", "created_at"), "procurements")
 
     def stock_adjustments() -> DataFrame:
-        return enforce_schema(placed_lines(F.col("l_returnflag") == ADJUSTMENT).select(
-            "id", "branch_id", "product_id",
-            F.col("o_custkey").alias("adjusted_by"),
-            signed.alias("adjustment_quantity"),
-            reason.alias("reason"),
-            F.col("l_shipdate").alias("created_at"),
-        ), "stock_adjustments")
+        return enforce_schema(placed(of_kind(ADJUSTMENT)).selectExpr(
+            "id", "branch_id", "product_id", "o_custkey as adjusted_by",
+            f"{SIGNED} as adjustment_quantity", f"{REASON} as reason",
+            "l_shipdate as created_at"), "stock_adjustments")
 
     def stock_changes() -> DataFrame:
         """The movement ledger without balances, from one pass over the lines."""
-        flag = F.col("l_returnflag")
-        return placed_lines(flag.isin(SALE, PROCUREMENT, ADJUSTMENT)).select(
-            "id", "branch_id", "product_id",
-            F.when(flag == SALE, "sale").when(flag == PROCUREMENT, "procurement")
-             .otherwise("adjustment").alias("movement_type"),
-            F.when(flag == SALE, -F.col("quantity"))
-             .when(flag == PROCUREMENT, F.col("quantity"))
-             .otherwise(signed).cast("int").alias("quantity_change"),
-            F.when(flag == ADJUSTMENT, F.col("id")).otherwise(F.col("l_orderkey"))
-             .alias("reference_id"),
-            F.when(flag == ADJUSTMENT, reason).alias("notes"),
-            F.when((flag != PROCUREMENT) | (F.col("l_orderkey") % 11 != 0),
-                   F.col("o_custkey")).alias("recorded_by"),
-            F.col("l_shipdate").alias("created_at"),
-        )
+        rows = placed(lines().filter(F.col("l_returnflag").isin(SALE, PROCUREMENT, ADJUSTMENT)))
+        kind = _chosen("l_returnflag", {SALE: "sale", PROCUREMENT: "procurement",
+                                        ADJUSTMENT: "adjustment"})
+        return rows.selectExpr(
+            "id", "branch_id", "product_id", f"{kind} as movement_type",
+            f"case l_returnflag when '{SALE}' then -quantity when '{PROCUREMENT}' "
+            f"then quantity else {SIGNED} end as quantity_change",
+            f"if(l_returnflag = '{ADJUSTMENT}', id, l_orderkey) as reference_id",
+            f"if(l_returnflag = '{ADJUSTMENT}', {REASON}, null) as notes",
+            f"if(l_returnflag <> '{PROCUREMENT}' or l_orderkey % 11 <> 0, o_custkey, null) "
+            "as recorded_by",
+            "l_shipdate as created_at")
 
     def inventory_movements() -> DataFrame:
         return enforce_schema(
@@ -229,60 +178,46 @@ def load(spark: SparkSession, folder: str,
             "inventory_movements")
 
     def branch_inventory() -> DataFrame:
-        stock = inventory_snapshot(stock_changes())
-        return enforce_schema(stock.select(
-            (F.col("product_id") * 1000 + F.col("branch_id")).alias("id"),
-            "branch_id", "product_id",
-            F.greatest(F.col("quantity_available"), F.lit(0)).alias("quantity_available"),
-            "updated_at",
-        ), "branch_inventory")
+        return enforce_schema(inventory_snapshot(stock_changes()).selectExpr(
+            "product_id * 1000 + branch_id as id", "branch_id", "product_id",
+            "greatest(quantity_available, 0) as quantity_available", "updated_at"),
+            "branch_inventory")
 
     def cashier_balances() -> DataFrame:
-        agent, day = F.col("sales_agent_id"), F.col("sale_date").cast(DATE)
-        taken = sales().filter((F.col("status") == "completed") & (agent % 3 == 0)).groupBy(
-            "branch_id", "sales_agent_id", day.alias("balance_date")
-        ).agg(F.sum("total_amount").cast(MONEY).alias("expected_cash"))
-        difference = (agent % 5 - 2).cast("int")
-        submitted = F.when(agent % 9 != 0, (F.col("expected_cash") + difference).cast(MONEY))
-        day_number = F.datediff("balance_date", F.lit("1970-01-01"))
-        closed = F.col("balance_date").cast(TS)
-        return enforce_schema(with_generated(taken.select(
-            (agent * 100_000 + day_number).alias("id"),
+        taken = sales().filter("status = 'completed' and sales_agent_id % 3 = 0").groupBy(
+            "branch_id", "sales_agent_id", F.expr("cast(sale_date as date) as balance_date")
+        ).agg(F.expr("cast(sum(total_amount) as decimal(14,2)) as expected_cash"))
+        difference = "cast(sales_agent_id % 5 - 2 as int)"
+        handed_in = "sales_agent_id % 9 <> 0"
+        closed = "cast(balance_date as timestamp_ntz)"
+        return enforce_schema(with_generated(taken.selectExpr(
+            "sales_agent_id * 100000 + datediff(balance_date, date'1970-01-01') as id",
             "branch_id", "sales_agent_id", "balance_date", "expected_cash",
-            submitted.alias("submitted_cash"),
-            F.when(agent % 9 == 0, "pending").when(difference == 0, "approved")
-             .otherwise("flagged").alias("status"),
-            closed.alias("created_at"),
-            F.when(agent % 9 != 0, closed).alias("approved_at"),
+            f"if({handed_in}, cast(expected_cash + {difference} as decimal(14,2)), null) "
+            "as submitted_cash",
+            f"case when not {handed_in} then 'pending' when {difference} = 0 then 'approved' "
+            "else 'flagged' end as status",
+            f"{closed} as created_at", f"if({handed_in}, {closed}, null) as approved_at",
         ), "cashier_balances"), "cashier_balances")
 
     def audit_logs() -> DataFrame:
-        return enforce_schema(raw("events").select(
-            F.col("event_id").alias("id"),
-            F.when(F.col("event_id") % 50 != 0, F.col("user_id")).alias("user_id"),
-            _chosen("event_type", ACTIONS).alias("action"),
-            _chosen("event_type", MODULES).alias("module"),
-            F.get_json_object("props", "$.k").cast("long").alias("record_id"),
-            F.col("props").alias("details"),
-            F.col("ts").alias("created_at"),
-        ), "audit_logs")
+        return enforce_schema(raw("events").selectExpr(
+            "event_id as id", "if(event_id % 50 <> 0, user_id, null) as user_id",
+            f"{_chosen('event_type', ACTIONS)} as action",
+            f"{_chosen('event_type', MODULES)} as module",
+            "get_json_object(props, '$.k') as record_id", "props as details",
+            "ts as created_at"), "audit_logs")
 
     def bug_reports() -> DataFrame:
-        value, turn = F.col("value"), F.col("event_id") % 4
-        return enforce_schema(raw("events").filter(F.col("event_type") == "error").select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("reported_by"),
-            F.lit("Auth").alias("module"),
-            F.when(value < 5, "low").when(value < 20, "medium").when(value < 60, "high")
-             .otherwise("critical").alias("severity"),
-            F.concat(F.lit("Error number "), "event_id",
-                     F.lit(" was shown while the user tried to sign in; the page said "),
-                     "props").alias("description"),
-            F.when(turn == 0, "open").when(turn == 1, "in_progress")
-             .when(turn == 2, "resolved").otherwise("closed").alias("status"),
-            F.col("ts").alias("created_at"),
-            F.col("ts").alias("updated_at"),
-        ), "bug_reports")
+        return enforce_schema(raw("events").filter("event_type = 'error'").selectExpr(
+            "event_id as id", "user_id as reported_by", "'Auth' as module",
+            "case when value < 5 then 'low' when value < 20 then 'medium' "
+            "when value < 60 then 'high' else 'critical' end as severity",
+            "concat('Error number ', event_id, ' was shown while the user tried to sign in; "
+            "the page said ', props) as description",
+            "case event_id % 4 when 0 then 'open' when 1 then 'in_progress' "
+            "when 2 then 'resolved' else 'closed' end as status",
+            "ts as created_at", "ts as updated_at"), "bug_reports")
 
     return Tables({
         "branches": branches, "users": users, "categories": categories,

@@ -248,8 +248,9 @@ def enforce_schema(df: DataFrame, name: str) -> DataFrame:
 
     Undeclared columns (a password hash, say) are dropped.
     """
-    return df.select(*[
-        (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c)
+    known = set(df.columns)
+    return df.selectExpr(*[
+        f"cast({c if c in known else 'null'} as {t.simpleString()}) as {c}"
         for c, t in TABLES[name].columns.items()
     ])
 
@@ -257,9 +258,8 @@ def enforce_schema(df: DataFrame, name: str) -> DataFrame:
 def generated_value(name: str, column: str) -> Column:
     """The formula of a generated column."""
     table = TABLES[name]
-    left, operator, right = table.generated[column]
-    a, b = F.col(left), F.col(right)
-    return (a * b if operator == "*" else a - b).cast(table.columns[column])
+    kind = table.columns[column].simpleString()
+    return F.expr(f"cast({' '.join(table.generated[column])} as {kind})")
 
 
 def with_generated(df: DataFrame, name: str) -> DataFrame:
