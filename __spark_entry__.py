@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from oracle.sql import BALANCE_DAY, BRANCH_DAY, DAY, statements  # noqa: E402
+from oracle.sql import BALANCE_DAY, BRANCH_DAY, DAY, RULED_TABLES, statements  # noqa: E402
+from storelake.functions import labels  # noqa: E402
 from storelake.operators import dims, export, ledger, posting, quality  # noqa: E402
 from storelake.operators.admission import ADJUSTMENT, PROCUREMENT, SALE  # noqa: E402
 from storelake.plans import dashboards, listings, reports  # noqa: E402
 from storelake.session import new_path  # noqa: E402
 from storelake.sources.driver_tables import load  # noqa: E402
-from storelake.sources.tables import Tables  # noqa: E402
+from storelake.sources.tables import Tables, parse_order_lines  # noqa: E402
 from storelake.streaming import streams  # noqa: E402
 from storelake.streaming.stock import StockStream  # noqa: E402
 
@@ -147,6 +148,121 @@ def stock_stream(spark: SparkSession, folder: str) -> StockStream:
     return stream
 
 
+# --- changes to the small tables, made from the given tables --------------------
+
+AS_OF = "2024-06-01 12:00:00"
+
+
+def cash_submissions(d: Tables) -> DataFrame:
+    """Every agent hands in the day's cash at six, some one unit short or over."""
+    taken = dashboards.agent_sales_totals(d).select(
+        "sales_agent_id", F.col("sale_day").alias("balance_date"),
+        F.col("total").cast("decimal(14,2)").alias("expected_cash"))
+    return taken.selectExpr(
+        "sales_agent_id % 25 as branch_id", "sales_agent_id", "balance_date",
+        "cast(1 as bigint) as manager_id", "expected_cash",
+        "cast(expected_cash + cast(sales_agent_id % 3 - 1 as int) as decimal(14,2)) "
+        "as submitted_cash",
+        "'evening' as notes", "cast(balance_date as timestamp_ntz) + interval 18 hours "
+        "as posted_at")
+
+
+def update_suppliers(d: Tables) -> DataFrame:
+    """Inactive suppliers are taken back, with an address."""
+    changes = d["suppliers"].filter("status = 'inactive'").selectExpr(
+        "id", "'active' as status", "concat('Warehouse ', id) as address")
+    return dims.upsert_dim(d["suppliers"], changes, ["status", "address"], as_of=AS_OF)
+
+
+def new_users(d: Tables) -> DataFrame:
+    """Suppliers and, once more, the users themselves ask for an account."""
+    return d["suppliers"].selectExpr(
+        "id as place", "cast(null as bigint) as branch_id", "supplier_name as full_name",
+        "concat(' ', supplier_name) as username", "concat(lower(supplier_name), '@example.com') "
+        "as email", "'manager' as role"
+    ).unionByName(d["users"].selectExpr(
+        "id + 1000000000 as place", "branch_id", "full_name", "upper(username) as username",
+        "email", "role"))
+
+
+def new_barcodes(d: Tables) -> DataFrame:
+    """A first barcode for every product, asked for twice, with spaces around it."""
+    asked = d["products"].selectExpr(
+        "id as product_id", "concat(' BC-', id, '-1 ') as barcode_value",
+        "explode(array(1, 2)) as turn")
+    return asked.selectExpr("product_id", "barcode_value", "product_id * 10 + turn as place")
+
+
+def new_bug_reports(d: Tables) -> DataFrame:
+    return d["audit_logs"].filter("action = 'PRODUCT_UPDATED'").selectExpr(
+        "id as place", "user_id as reported_by", "module",
+        "if(record_id > 50, 'high', null) as severity", "details as description")
+
+
+def inactive(d: Tables, table: str) -> DataFrame:
+    return d[table].filter("status = 'inactive'").select("id")
+
+
+def order_payloads(d: Tables) -> DataFrame:
+    """Procurement lines as the JSON text a client sends."""
+    return d["procurement_items"].selectExpr(
+        "id", "to_json(array(named_struct('product_id', product_id, 'quantity', quantity, "
+        "'unit_cost', unit_cost))) as items")
+
+
+# --- display columns ------------------------------------------------------------
+
+def movement_display(d: Tables) -> DataFrame:
+    return d["stock_changes"].select(
+        "id", labels.format_signed_quantity("quantity_change").alias("change_shown"),
+        labels.movement_class("movement_type").alias("badge"),
+        labels.or_dash("notes").alias("notes_shown"),
+        labels.format_stamp("created_at").alias("at_shown"))
+
+
+def cashier_display(d: Tables) -> DataFrame:
+    return d["cashier_balances"].select(
+        "id", labels.format_money("expected_cash").alias("expected_shown"),
+        labels.format_signed_money("variance").alias("variance_shown"),
+        labels.variance_text("variance").alias("variance_words"),
+        labels.balance_class("status").alias("badge"),
+        labels.format_long_date("balance_date").alias("day_shown"))
+
+
+def catalog_display(d: Tables) -> DataFrame:
+    return listings.product_catalog_exact(d).select(
+        "id", labels.format_money("cost_price").alias("cost_shown"),
+        labels.format_number("selling_price").alias("price_shown"),
+        labels.barcode_label("barcode_count").alias("barcodes_shown"),
+        labels.title_of_key(F.lower("product_name")).alias("title"))
+
+
+def procurement_display(d: Tables) -> DataFrame:
+    return d["procurements"].select(
+        "id", labels.reference_or_id().alias("reference_shown"),
+        labels.reference_or_id(prefix="#").alias("tile_shown"),
+        labels.or_zero("supplier_id").alias("supplier_or_zero"),
+        labels.format_money("total_cost").alias("cost_shown"))
+
+
+def sale_display(d: Tables) -> DataFrame:
+    return d["sales"].select(
+        "id", labels.change_text("amount_paid", "total_amount").alias("change_shown"),
+        labels.format_clock("sale_date").alias("clock"),
+        labels.iso_date("sale_date").alias("day"),
+        labels.receipt_number("sale_date", "id").alias("new_receipt_number"))
+
+
+def maintenance_display(d: Tables) -> DataFrame:
+    bugs = d["bug_reports"].select(
+        "id", labels.severity_class("severity").alias("badge"),
+        labels.bug_status_class("status").alias("status_badge"))
+    audit = d["audit_logs"].select(
+        "id", labels.audit_action_class("action", parity=True).alias("badge"),
+        F.lit(None).cast("string").alias("status_badge"))
+    return bugs.unionByName(audit)
+
+
 # --- registry -------------------------------------------------------------------
 
 def queries() -> dict[str, Query]:
@@ -241,6 +357,61 @@ def queries() -> dict[str, Query]:
         "low_stock_digest": over(export.low_stock_digest),
         "repeated_product_names": over(
             lambda d: quality.check_unique(d["products"], ["product_name"])),
+        "upsert_cashier_balance": over(lambda d: dims.upsert_cashier_balance(
+            d["cashier_balances"], cash_submissions(d))),
+        "update_suppliers": over(update_suppliers),
+        "insert_users": over(lambda d: dims.insert_users(
+            d["users"], new_users(d), ["place"], AS_OF)[0]),
+        "insert_users_refused": over(lambda d: dims.insert_users(
+            d["users"], new_users(d), ["place"], AS_OF)[1].select("username", "email")),
+        "insert_missing_users": over(lambda d: dims.insert_missing(
+            d["users"].select("username", "email"),
+            new_users(d).selectExpr("lower(trim(username)) as username", "email"),
+            ["username"])),
+        "add_barcodes": over(lambda d: dims.add_barcodes(
+            d["barcodes"], new_barcodes(d), ["place"], AS_OF)[0]),
+        "delete_barcodes": over(lambda d: dims.delete_barcodes(
+            d["barcodes"], d["barcodes"].join(
+                inactive(d, "products").withColumnRenamed("id", "product_id"), "product_id",
+                "left_semi"))[1]),
+        "submit_bug_reports": over(lambda d: dims.submit_bug_reports(
+            d["bug_reports"], new_bug_reports(d), ["place"], AS_OF)),
+        "set_bug_status": over(lambda d: dims.set_bug_status(
+            d["bug_reports"], d["bug_reports"].filter("status = 'open'").selectExpr(
+                "id", "'in_progress' as status"), AS_OF)),
+        "toggle_status": over(lambda d: dims.toggle_status(
+            d["suppliers"], d["procurements"].selectExpr("supplier_id as id"))),
+        "delete_products_barcodes": over(lambda d: dims.cascade_delete(
+            d["barcodes"], "product_id", inactive(d, "products"))),
+        "delete_branches_users": over(lambda d: dims.set_null_on_delete(
+            d["users"], "branch_id", inactive(d, "branches"))),
+        "parse_order_lines": over(lambda d: parse_order_lines(
+            order_payloads(d), "items", "procurement")),
+        "apply_defaults": over(lambda d: quality.apply_defaults(
+            d["bug_reports"].selectExpr("* except (severity, updated_at)",
+                                        "nullif(severity, 'low') as severity",
+                                        "cast(null as timestamp_ntz) as updated_at"),
+            "bug_reports", AS_OF)),
+        "audit_log_truncated": over(
+            lambda d: listings.is_truncated(listings.audit_log_search(d), 500)),
+        "alert_count": over(lambda d: listings.row_count(listings.low_stock_alerts(d, BRANCH))),
+        "check_fk": over(lambda d: quality.check_fk(
+            d["procurements"], "supplier_id", d["suppliers"].filter("status = 'active'"))),
+        "check_domain": over(lambda d: quality.check_domain(
+            d["bug_reports"], "severity", ["low", "medium"])),
+        "check_not_null": over(lambda d: quality.check_not_null(
+            d["procurements"], ["supplier_id", "recorded_by", "reference_number"])),
+        "check_generated": over(lambda d: quality.check_generated(
+            d["sale_items"].selectExpr("* except (subtotal)", "cast(if(quantity > 40, 0, "
+                                       "subtotal) as decimal(14,2)) as subtotal"),
+            "sale_items")),
+        "quality_report": over(lambda d: quality.quality_report(d, RULED_TABLES)),
+        "movement_display": over(movement_display),
+        "cashier_display": over(cashier_display),
+        "catalog_display": over(catalog_display),
+        "procurement_display": over(procurement_display),
+        "sale_display": over(sale_display),
+        "maintenance_display": over(maintenance_display),
         "stream_daily_sales": stream_daily_sales,
         "stream_audit_ingest": stream_audit_ingest,
         "stream_stock_state": lambda spark, folder: stock_stream(spark, folder).movements(),

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from storelake.functions.labels import (
     format_clock, format_money, format_number, format_stamp, row_flag,
 )
-from storelake.functions.predicates import branch_is
-from storelake.plans.listings import all_low_stock_alerts, receipts
+from storelake.functions.predicates import branch_is, on_day
+from storelake.plans.listings import all_low_stock_alerts, receipt_headers
 from storelake.plans.reports import (
-    Frames, completed, daily_sales_summary, inventory_export, on_day,
+    Frames, completed, inventory_export, money_sum,
 )
 from storelake.sources.schemas import TABLES
 
@@ -77,8 +77,7 @@ def daily_sales_document(d: Frames, date: str, branch_id: int | None) -> DataFra
     detail = sales.join(agents, "sales_agent_id").select(
         F.lit(1).alias("part"), "sale_date", "receipt_number", "agent_name",
         format_number("total_amount").alias("amount"), format_clock("sale_date").alias("time"))
-    summary = daily_sales_summary(d, date, branch_id) if branch_id is not None else (
-        daily_sales_summary({"sales": sales}, date))
+    summary = sales.agg(money_sum("total_amount").alias("total"), F.count("*").alias("count"))
     none = F.lit(None).cast("string")
     total = summary.select(
         F.lit(2).alias("part"), F.lit(None).cast("timestamp_ntz").alias("sale_date"),
@@ -96,39 +95,39 @@ def receipt_lines(d: Frames, company: Company = Company()) -> DataFrame:
     The reading order is (sale_id, part, seq). Item names are cut to 18
     characters.
     """
-    headers = receipts({**d, "sale_items": d["sale_items"].limit(0)})
-
-    def block(part: int, lines: list[Column]) -> DataFrame:
-        numbered = F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), c.alias("text"))
-                             for i, c in enumerate(lines, 1)])
-        return headers.select(F.col("id").alias("sale_id"), F.lit(part).alias("part"),
-                              F.explode(numbered).alias("l")).select("sale_id", "part", "l.*")
+    headers = receipt_headers(d)
 
     def labelled(label: str, value: Column) -> Column:
         return F.concat(F.lit(label), value)
 
-    top = block(1, [
+    top = [
         F.lit(company.name), F.lit(company.address), F.lit(company.phone), F.lit(RULE),
         labelled("Branch: ", F.col("branch_name")),
         labelled("Receipt: ", F.col("receipt_number")),
         labelled("Date: ", format_stamp("sale_date")),
         labelled("Served by: ", F.col("agent_name")),
         F.lit(RULE), _columns(F.lit("Item"), F.lit("Qty"), F.lit("Price"), F.lit("Total")),
-    ])
-    names = d["products"].select(F.col("id").alias("product_id"), "product_name")
-    known = headers.select(F.col("id").alias("sale_id"))
-    items = d["sale_items"].join(names, "product_id").join(known, "sale_id", "left_semi").select(
-        "sale_id", F.lit(2).alias("part"), F.col("id").alias("seq"),
-        _columns(F.substring("product_name", 1, 18), F.col("quantity").cast("string"),
-                 format_number("unit_price"), format_number("subtotal")).alias("text"))
-    bottom = block(3, [
+    ]
+    bottom = [
         F.lit(RULE),
         labelled("TOTAL: ", format_money("total_amount")),
         labelled("Paid: ", format_money("amount_paid")),
         labelled("Change: ", format_money("change_given")),
         F.lit(RULE), F.lit(company.footer), F.lit("***OFFICIAL RECEIPT***"),
-    ])
-    return top.unionByName(items).unionByName(bottom)
+    ]
+    frame = F.array(*[
+        F.struct(F.lit(part).alias("part"), F.lit(i).cast("long").alias("seq"),
+                 text.alias("text"))
+        for part, texts in ((1, top), (3, bottom)) for i, text in enumerate(texts, 1)])
+    around = headers.select(F.col("id").alias("sale_id"), F.explode(frame).alias("l")).select(
+        "sale_id", "l.*")
+    names = d["products"].select(F.col("id").alias("product_id"), "product_name")
+    known = headers.select(F.col("id").alias("sale_id"))
+    items = d["sale_items"].join(known, "sale_id", "left_semi").join(names, "product_id").select(
+        "sale_id", F.lit(2).alias("part"), F.col("id").alias("seq"),
+        _columns(F.substring("product_name", 1, 18), F.col("quantity").cast("string"),
+                 format_number("unit_price"), format_number("subtotal")).alias("text"))
+    return around.unionByName(items)
 
 
 def _columns(item: Column, quantity: Column, price: Column, total: Column) -> Column:

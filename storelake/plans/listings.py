@@ -62,17 +62,22 @@ def sale_history(d: Frames, role: str, user_id: int | None = None,
     ).orderBy(*_newest("sale_date"))
 
 
+def receipt_headers(d: Frames) -> DataFrame:
+    """Sales with the names of agent and branch."""
+    return d["sales"].join(_agent_names(d), "sales_agent_id").join(
+        _branch_names(d), "branch_id")
+
+
 def receipts(d: Frames) -> DataFrame:
     """All receipts, one row per item line (one with NULLs for a sale without lines).
 
     Lines stay rows, so a receipt of any length can be written out.
     """
-    headers = d["sales"].join(_agent_names(d), "sales_agent_id").join(
-        _branch_names(d), "branch_id")
     lines = d["sale_items"].join(_product_names(d), "product_id").select(
         F.col("id").alias("item_id"), F.col("sale_id"), "product_id", "product_name",
         "quantity", "unit_price", "subtotal")
-    return headers.join(lines, F.col("id") == F.col("sale_id"), "left").drop("sale_id")
+    return receipt_headers(d).join(lines, F.col("id") == F.col("sale_id"), "left").drop(
+        "sale_id")
 
 
 def receipt(d: Frames, sale_id: int) -> DataFrame:
