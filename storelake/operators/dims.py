@@ -54,9 +54,9 @@ def insert_dim(current: DataFrame, new: DataFrame, table: str, order: Sequence[s
     for column in declared.columns:
         if column not in given.columns:
             given = given.withColumn(column, F.lit(None).cast(declared.columns[column]))
-    filled = with_generated(apply_defaults(given, table, as_of, falsy), table)
     # The place in line settles ties and names the rows in the rounds below.
-    waiting = checkpointed(numbered(filled, order, "_place"))
+    queued = numbered(given, order, "_place")
+    waiting = checkpointed(with_generated(apply_defaults(queued, table, as_of, falsy), table))
     everyone, taken_in = waiting, []
     for names in sets:
         waiting = _without_taken(waiting, current, names)

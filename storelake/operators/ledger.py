@@ -51,11 +51,14 @@ def movement_ledger(d: Mapping[str, DataFrame]) -> DataFrame:
     return sold.unionByName(bought).unionByName(adjusted)
 
 
-def running_balance(ledger: DataFrame,
-                    rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
-    """Stock of the (branch, product) before and after each movement."""
+def running_balance(ledger: DataFrame, rows_per_chunk: int | None = ROWS_PER_CHUNK,
+                    probe: DataFrame | None = None) -> DataFrame:
+    """Stock of the (branch, product) before and after each movement.
+
+    See :func:`storelake.operators.ordered.in_order` for ``probe``.
+    """
     change = F.col("quantity_change").cast("long")
-    ordered = in_order(ledger, STOCK_KEY, LEDGER_ORDER, rows_per_chunk)
+    ordered = in_order(ledger, STOCK_KEY, LEDGER_ORDER, rows_per_chunk, probe)
     out = running_sums(ordered, {"quantity_after": change})
     return out.withColumn("quantity_before", F.col("quantity_after") - change)
 
@@ -77,14 +80,15 @@ def latest_balance(movements: DataFrame) -> DataFrame:
 
 
 def ledger_consistency(movements: DataFrame, inventory: DataFrame,
-                       rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
+                       rows_per_chunk: int | None = ROWS_PER_CHUNK,
+                       probe: DataFrame | None = None) -> DataFrame:
     """Movements and stock rows that break the audit trail.
 
     ``sum``: before + change is not after. ``gap``: before is not the after of
     the movement before it. ``snapshot``: the last after is not the stock on
     record (a stock row without movements is not judged).
     """
-    ordered = in_order(movements, STOCK_KEY, LEDGER_ORDER, rows_per_chunk)
+    ordered = in_order(movements, STOCK_KEY, LEDGER_ORDER, rows_per_chunk, probe)
     rows = previous_values(ordered, {"_previous": "quantity_after"})
     before, after = F.col("quantity_before"), F.col("quantity_after")
     reached = before + F.col("quantity_change")

@@ -48,16 +48,21 @@ def in_order(
     keys: Sequence[str],
     order: Sequence[str],
     rows_per_chunk: int | None = ROWS_PER_CHUNK,
+    probe: DataFrame | None = None,
 ) -> Ordered:
     """Decide how to read ``df`` per key in ``order`` (ascending, NULLs first).
 
-    ``rows_per_chunk=None`` skips the count for callers that know their groups
-    are small.
+    ``probe`` may name rows that are cheaper to count: at least the rows of
+    ``df``, with some of the keys. Groups by fewer keys are larger, so what is
+    small there is small here. ``rows_per_chunk=None`` skips the count for callers
+    that know their groups are small.
     """
     keys, order = tuple(keys), tuple(order)
     if rows_per_chunk is None:
         return Ordered(df, keys, order, False)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    counted = df if probe is None else probe
+    sizes = counted.groupBy(*[k for k in keys if k in counted.columns]).agg(
+        F.count("*").alias("n"))
     largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
     if (largest or 0) <= rows_per_chunk:
         return Ordered(df, keys, order, False)

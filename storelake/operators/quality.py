@@ -73,11 +73,10 @@ def _generated_rules(table: str) -> dict[str, Column]:
 
 def order_lines_ok(lines: Column | str, required: Sequence[str] = (
         "product_id", "quantity", "unit_cost")) -> Column:
-    """At least one line, and every line has all values, none of them zero."""
+    """At least one line, and every line has all values as numbers, none zero."""
     def incomplete(line: Column) -> Column:
         return reduce(lambda a, b: a | b, (
-            line[c].isNull() | (F.coalesce(line[c].cast("double"), F.lit(0.0)) == 0)
-            for c in required))
+            F.coalesce(line[c].try_cast("double"), F.lit(0.0)) == 0 for c in required))
 
     column = F.col(lines) if isinstance(lines, str) else lines
     return F.coalesce((F.size(column) > 0) & ~F.exists(column, incomplete), F.lit(False))
