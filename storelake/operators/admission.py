@@ -15,8 +15,12 @@ undecided line gets two bounds from running sums over its (branch, product):
 An event whose lines are all covered by the lowest stock is accepted, one with a
 line not covered by the highest is rejected, and the next round has tighter
 bounds. The first undecided event of a branch has equal bounds, so each round
-decides something and the result is the one of the serial order. Once few lines
-are left (a checked number) one pass per branch finishes them in order.
+decides something and the result is the one of the serial order.
+
+Once no branch has more than ``FINISH_ROWS`` undecided lines, one pass per branch
+judges them in order. If a round leaves more than half of the lines undecided,
+the next one judges the first ``FINISH_ROWS`` of each branch in order, so long
+chains of events that hang on each other take no more rounds than that.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelake.operators.ledger import STOCK_KEY
-from storelake.operators.ordered import ROWS_PER_CHUNK, Ordered, in_order, running_sums
-from storelake.session import checkpointed
+from storelake.operators.ordered import (
+    ROWS_PER_CHUNK, Ordered, in_order, row_numbers, running_sums,
+)
+from storelake.session import written
 
 # Order of events posted at the same moment.
 PROCUREMENT, SALE, ADJUSTMENT = 0, 1, 2
@@ -79,21 +85,27 @@ def needs(lines: DataFrame, parity: bool) -> DataFrame:
 def decide(lines: DataFrame, inventory: DataFrame, parity: bool = False,
            rows_per_chunk: int = ROWS_PER_CHUNK, finish_rows: int = FINISH_ROWS) -> DataFrame:
     """``accepted`` per sale and adjustment; procurements are always accepted."""
-    start = in_order(checkpointed(opening_stock(needs(lines, parity), inventory)),
+    start = in_order(written(opening_stock(needs(lines, parity), inventory)),
                      STOCK_KEY, EVENT_ORDER, rows_per_chunk)
     work, decided = start.df, []
+    before, in_turn = None, False
     while True:
-        open_rows = work.filter(F.col("state") == UNDECIDED).count()
-        if not open_rows:
+        largest, total = work.filter(F.col("state") == UNDECIDED).groupBy("branch_id").agg(
+            F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        if not total:
             break
         bounds = _bounds(Ordered(work, start.keys, start.order, start.chunked))
-        if open_rows <= finish_rows:
-            last = bounds.filter(F.col("state") == UNDECIDED).groupBy("branch_id")
-            decided.append(checkpointed(last.applyInPandas(_in_turn, _VERDICT)))
+        waiting = bounds.filter(F.col("state") == UNDECIDED)
+        if largest <= finish_rows:
+            decided.append(written(_in_turn(waiting)))
             break
-        verdicts = checkpointed(_judge(bounds))
+        in_turn = before is not None and total > before / 2 and not in_turn
+        before = total
+        verdicts = written(
+            _in_turn(_first_events(waiting, finish_rows, rows_per_chunk)) if in_turn
+            else _judge(waiting))
         decided.append(verdicts.filter(F.col("verdict") != UNDECIDED))
-        work = checkpointed(_next_round(work, verdicts))
+        work = _next_round(work, verdicts)
     if not decided:
         decided = [lines.sparkSession.createDataFrame([], _VERDICT)]
     return reduce(DataFrame.unionByName, decided).select(
@@ -125,30 +137,44 @@ def _bounds(work: Ordered) -> DataFrame:
     }).drop(*parts)
 
 
-def _judge(bounds: DataFrame) -> DataFrame:
+def _judge(waiting: DataFrame) -> DataFrame:
+    """Verdicts that hold whatever becomes of the undecided events."""
     need, wants = F.col("need"), F.col("wants_row")
     sure = (F.col("lowest") >= need) & (~wants | F.col("row_now"))
     hopeless = (F.col("highest") < need) | (wants & ~F.col("row_may"))
-    return bounds.filter(F.col("state") == UNDECIDED).groupBy(*EVENT).agg(
+    return waiting.groupBy(*EVENT).agg(
         F.when(F.max(hopeless), REJECTED).when(F.min(sure), ACCEPTED).otherwise(UNDECIDED)
         .alias("verdict"))
 
 
+def _first_events(waiting: DataFrame, limit: int, rows_per_chunk: int) -> DataFrame:
+    """The first events of each branch that make up at most ``limit`` lines."""
+    lines = waiting.select(*EVENT, "product_id")
+    placed = row_numbers(in_order(lines, ["branch_id"], [*EVENT_ORDER, "product_id"],
+                                  rows_per_chunk), "_place")
+    first = placed.groupBy(*EVENT).agg(F.max("_place").alias("_last")).filter(
+        F.col("_last") <= limit)
+    return waiting.join(first.select(*EVENT), list(EVENT), "left_semi")
+
+
 def _next_round(work: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of the products that still have an undecided event."""
-    rows = work.join(verdicts, list(EVENT), "left").withColumn(
+    rows = written(work.join(verdicts, list(EVENT), "left").withColumn(
         "state", F.coalesce("verdict", "state")).drop("verdict").filter(
-        F.col("state") != REJECTED)
-    waiting = work.join(verdicts.filter(F.col("verdict") == UNDECIDED), list(EVENT),
-                        "left_semi").select(*STOCK_KEY).distinct()
-    return rows.join(waiting, list(STOCK_KEY), "left_semi")
+        F.col("state") != REJECTED))
+    open_keys = rows.filter(F.col("state") == UNDECIDED).select(*STOCK_KEY).distinct()
+    return rows.join(open_keys, list(STOCK_KEY), "left_semi")
 
 
 _VERDICT = "branch_id long, posted_at timestamp_ntz, kind int, event_id long, verdict int"
 
 
-def _in_turn(rows: pd.DataFrame) -> pd.DataFrame:
-    """Judge the few undecided events of one branch one after another."""
+def _in_turn(waiting: DataFrame) -> DataFrame:
+    """Judge events one after another, a bounded number of lines per branch."""
+    return waiting.groupBy("branch_id").applyInPandas(_judge_branch, _VERDICT)
+
+
+def _judge_branch(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(list(EVENT_ORDER))
     moved: dict[int, int] = {}
     made: set[int] = set()

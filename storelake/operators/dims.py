@@ -13,7 +13,7 @@ from storelake.functions.labels import normalised
 from storelake.functions.predicates import days_between
 from storelake.operators.ordered import numbered
 from storelake.operators.quality import apply_defaults
-from storelake.session import checkpointed
+from storelake.session import written
 from storelake.sources.schemas import TABLES, enforce_schema, with_generated
 
 
@@ -56,12 +56,12 @@ def insert_dim(current: DataFrame, new: DataFrame, table: str, order: Sequence[s
             given = given.withColumn(column, F.lit(None).cast(declared.columns[column]))
     # The place in line settles ties and names the rows in the rounds below.
     queued = numbered(given, order, "_place")
-    waiting = checkpointed(with_generated(apply_defaults(queued, table, as_of, falsy), table))
+    waiting = written(with_generated(apply_defaults(queued, table, as_of, falsy), table))
     everyone, taken_in = waiting, []
     for names in sets:
         waiting = _without_taken(waiting, current, names)
     if sets:
-        waiting = checkpointed(waiting)
+        waiting = written(waiting)
         while not waiting.isEmpty():
             first = waiting
             for names in sets:
@@ -70,12 +70,12 @@ def insert_dim(current: DataFrame, new: DataFrame, table: str, order: Sequence[s
                 first = first.join(lead, names, "left").filter(
                     F.col("_lead").isNull() | (F.col("_lead") == F.col("_place"))
                 ).drop("_lead")
-            first = checkpointed(first.select(*waiting.columns))
+            first = written(first.select(*waiting.columns))
             taken_in.append(first)
             waiting = waiting.join(first.select("_place"), "_place", "left_anti")
             for names in sets:
                 waiting = _without_taken(waiting, first, names)
-            waiting = checkpointed(waiting)
+            waiting = written(waiting)
         added = reduce(DataFrame.unionByName, taken_in) if taken_in else waiting
     else:
         added = waiting

@@ -8,8 +8,8 @@ order, a hot key is spread over many chunks, and each chunk border cuts at most
 one key. Totals are taken per chunk, and the few cut keys (fewer than there are
 chunks) get the sum of their earlier chunks added.
 
-The chunk number is fixed by a reliable checkpoint, so a lost executor cannot
-change which chunk a row belongs to.
+The rows are written out with their chunk number, so a lost executor cannot change
+which chunk a row belongs to.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelake.session import checkpointed
+from storelake.session import written
 
 ROWS_PER_CHUNK = 5_000_000
 CHUNK = "_chunk"
@@ -69,7 +69,7 @@ def in_order(
     chunks = ceil(total / rows_per_chunk)
     ranged = df.repartitionByRange(chunks, *keys, *order)
     return Ordered(
-        checkpointed(ranged.withColumn(CHUNK, F.spark_partition_id())), keys, order, True
+        written(ranged.withColumn(CHUNK, F.spark_partition_id())), keys, order, True
     )
 
 

@@ -20,7 +20,7 @@ from storelake.operators.admission import (
     with_balances,
 )
 from storelake.operators.ordered import ROWS_PER_CHUNK, numbered
-from storelake.session import checkpointed
+from storelake.session import written
 from storelake.sources.schemas import DATE, MONEY, PRICE, TABLES, enforce_schema, with_generated
 
 KINDS = {PROCUREMENT: "procurement", SALE: "sale", ADJUSTMENT: "adjustment"}
@@ -84,8 +84,8 @@ def post_events(
         given(baskets, BASKETS), given(basket_lines, BASKET_LINES),
         given(procurements, PROCUREMENTS), given(procurement_lines, PROCUREMENT_LINES),
         given(adjustments, ADJUSTMENTS), products)
-    lines = checkpointed(lines)
-    events = checkpointed(_checked(headers, lines, parity))
+    lines = written(lines)
+    events = written(_checked(headers, lines, parity))
     reason = F.col("reason")
 
     def lines_of(which: Column) -> DataFrame:
@@ -95,7 +95,7 @@ def post_events(
                       finish_rows)
     # An underpaid basket is never accepted, but the stock it met is of interest.
     sound = lines_of(reason.isNull() | (reason == "underpaid"))
-    posted = checkpointed(numbered(
+    posted = written(numbered(
         with_balances(sound, verdicts, inventory, rows_per_chunk),
         ["branch_id", *LINE_ORDER], "number", first_id - 1, rows_per_chunk))
     outcome = _outcome(events, verdicts, posted, parity)

@@ -61,10 +61,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/storelake/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: the rows survive lost executors."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write the rows to a table of their own in the shared folder and read them back.
+
+    This cuts lineage, and plans over the result start from its true size. The
+    rows survive lost executors. (A checkpoint would do the same, but carries the
+    constraints of the plan along, which multiply in a loop.) The tables stay
+    until the folder is emptied.
+    """
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

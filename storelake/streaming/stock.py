@@ -27,7 +27,7 @@ from storelake.operators.admission import (
 )
 from storelake.operators.ordered import ROWS_PER_CHUNK
 from storelake.operators.posting import kind_name
-from storelake.session import checkpointed
+from storelake.session import written
 
 SNAPSHOT_EVERY = 20
 
@@ -66,11 +66,11 @@ class StockStream:
     def post(self, lines: DataFrame, batch: int) -> None:
         """Judge one batch and write what it changes."""
         columns = [c.split()[0] for c in STOCK_LINES.split(", ")]
-        lines = checkpointed(lines.select(*columns))
-        stock = checkpointed(self.stock_before(batch))
-        verdicts = checkpointed(
+        lines = written(lines.select(*columns))
+        stock = written(self.stock_before(batch))
+        verdicts = written(
             decide(lines, stock, self.parity, self.rows_per_chunk))
-        judged = checkpointed(with_balances(lines, verdicts, stock, self.rows_per_chunk))
+        judged = written(with_balances(lines, verdicts, stock, self.rows_per_chunk))
         moved = judged.filter(F.col("accepted"))
         self._write(moved, f"movements/batch={batch}")
         self._write(judged.filter(~F.col("accepted")).select(*EVENT).distinct(),

@@ -168,3 +168,9 @@ def test_procurement_branch():
     assert p.procurement_branch("director", None, 4) == 4
     assert p.procurement_branch("director", 3, "") is None
     assert p.procurement_branch("manager", 3, 4) == 3
+
+
+def test_long_chains_are_judged_in_bounded_turns(spark):
+    # One branch, two products: nearly every basket hangs on the one before it.
+    requests, stock = random_requests(7, count=70, branches=1)
+    check(spark, requests, stock, finish_rows=8, rows_per_chunk=20)
