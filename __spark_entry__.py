@@ -94,38 +94,15 @@ def post_events(d: Tables) -> DataFrame:
 
 # --- streaming: one pass over the folder with availableNow ----------------------
 
-def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option(
-        "pathGlobFilter", f"{name}.parquet").parquet(folder)
-
-
-class StreamedReader:
-    """Lets the table mapping read one of the given tables as a stream."""
-
-    def __init__(self, spark: SparkSession, folder: str, name: str):
-        self._spark, self._folder, self._name = spark, folder, name
-
-    @property
-    def read(self):
-        return self
-
-    def parquet(self, path: str) -> DataFrame:
-        if path.endswith(f"/{self._name}.parquet"):
-            return streamed(self._spark, self._folder, self._name)
-        return self._spark.read.parquet(path)
-
-
 def stream_daily_sales(spark: SparkSession, folder: str) -> DataFrame:
-    sales = load(StreamedReader(spark, folder, "orders"), folder)["sales"]
+    sales = load(spark, folder, streamed=["orders"])["sales"]
     place = new_path(spark, "daily-sales")
     streams.start_daily_sales(sales, place).awaitTermination()
     return streams.read_daily_totals(spark, place)
 
 
 def stream_audit_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    audit = load(StreamedReader(spark, folder, "events"), folder)["audit_logs"]
+    audit = load(spark, folder, streamed=["events"])["audit_logs"]
     place = new_path(spark, "audit")
     streams.start_audit_ingest(audit, place).awaitTermination()
     return spark.read.parquet(f"{place}/trail")
@@ -133,7 +110,7 @@ def stream_audit_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 def stock_stream(spark: SparkSession, folder: str) -> StockStream:
     """All stock changes streamed into an empty store."""
-    changes = load(StreamedReader(spark, folder, "lineitem"), folder)["stock_changes"]
+    changes = load(spark, folder, streamed=["lineitem"])["stock_changes"]
     kind = F.col("movement_type")
     lines = changes.select(
         "branch_id", F.col("created_at").alias("posted_at"),
@@ -340,7 +317,7 @@ def queries() -> dict[str, Query]:
         "inventory_snapshot": over(lambda d: ledger.inventory_snapshot(d["stock_changes"])),
         "latest_balance": over(lambda d: ledger.latest_balance(d["inventory_movements"])),
         "ledger_consistency": over(lambda d: ledger.ledger_consistency(
-            d["inventory_movements"], d["branch_inventory"])),
+            d["inventory_movements"], d["branch_inventory"], probe=d["stock_changes"])),
         "post_sales": over(post_sales),
         "post_procurements": over(post_procurements),
         "post_adjustments": over(post_adjustments),

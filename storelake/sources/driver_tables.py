@@ -8,6 +8,8 @@ branch of a sale follows from its agent key, prices come from the line.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +54,19 @@ def _price(cents: str) -> str:
     return f"cast(cast({cents} as decimal(14,0)) * 0.01 as decimal(12,2))"
 
 
-def load(spark: SparkSession, folder: str,
-         rows_per_chunk: int | None = ROWS_PER_CHUNK) -> Tables:
-    """All retail tables over ``folder``; nothing is read until a table is used."""
+def load(spark: SparkSession, folder: str, rows_per_chunk: int | None = ROWS_PER_CHUNK,
+         streamed: Collection[str] = ()) -> Tables:
+    """All retail tables over ``folder``; nothing is read until a table is used.
+
+    Given tables named in ``streamed`` are opened as streams.
+    """
 
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+        if name not in streamed:
+            return rows
+        # As a pattern, because a plain path must be a folder for a stream.
+        return spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}.parquet*")
 
     def branches() -> DataFrame:
         joined = raw("nation").join(raw("region"), F.expr("n_regionkey = r_regionkey"))
