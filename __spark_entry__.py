@@ -308,7 +308,7 @@ def queries() -> dict[str, Query]:
         "users_who_sold": over(lambda d: listings.entities_by_id(
             d, "users", d["sales"].select(F.col("sales_agent_id").alias("id")))),
         "cashier_balancing": over(
-            lambda d: listings.cashier_balancing(d, BRANCH, BALANCE_DAY)),
+            lambda d: listings.cashier_balancing(d, 2, BALANCE_DAY)),
         "audit_log_search": over(listings.audit_log_search),
         "bug_report_listing": over(listings.bug_report_listing),
         "open_bug_count": over(listings.open_bug_count),

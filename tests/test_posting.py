@@ -8,7 +8,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+import __spark_entry__ as entry
 from storelake.operators import posting as p
+from storelake.sources.driver_tables import load
 from tests.serial import post
 
 START = datetime(2024, 1, 1)
@@ -174,3 +176,39 @@ def test_long_chains_are_judged_in_bounded_turns(spark):
     # One branch, two products: nearly every basket hangs on the one before it.
     requests, stock = random_requests(7, count=50, branches=1)
     check(spark, requests, stock, finish_rows=8, rows_per_chunk=20)
+
+
+@pytest.mark.parametrize("finish_rows", [200_000, 300])
+def test_given_orders_from_an_empty_store(spark, finish_rows):
+    d = load(spark, "/root/testdata/sf0.001")
+    baskets, basket_lines = entry.baskets_of(d)
+    procurements, procurement_lines = entry.procurements_of(d)
+    adjustments = entry.adjustments_of(d)
+    requests = {}
+    for r in baskets.collect():
+        requests["sale", r.basket_id] = dict(
+            kind="sale", id=r.basket_id, branch=r.branch_id, at=r.posted_at, lines=[],
+            paid=r.amount_paid)
+    for r in procurements.collect():
+        requests["procurement", r.procurement_id] = dict(
+            kind="procurement", id=r.procurement_id, branch=r.branch_id, at=r.posted_at,
+            lines=[])
+    for r in basket_lines.orderBy("line_no").collect():
+        requests["sale", r.basket_id]["lines"].append((r.product_id, r.quantity))
+    for r in procurement_lines.orderBy("line_no").collect():
+        requests["procurement", r.procurement_id]["lines"].append((r.product_id, r.quantity))
+    for r in adjustments.collect():
+        requests["adjustment", r.adjustment_id] = dict(
+            kind="adjustment", id=r.adjustment_id, branch=r.branch_id, at=r.posted_at,
+            lines=[(r.product_id, r.quantity)])
+    prices = {r.id: r.selling_price for r in d["products"].collect()}
+    _, reasons, moves, final = post(requests.values(), {}, prices)
+    out = p.post_events(d["branch_inventory"].filter("false"), d["products"], baskets,
+                        basket_lines, procurements, procurement_lines, adjustments,
+                        finish_rows=finish_rows)
+    assert {(r.request, r.event_id): r.reason for r in out.rejections.collect()} == reasons
+    assert sorted((m.movement_type, m.reference_id, m.branch_id, m.product_id,
+                   m.quantity_change, m.quantity_before, m.quantity_after)
+                  for m in out.movements.collect()) == sorted(moves)
+    assert {(r.branch_id, r.product_id): r.quantity_available
+            for r in out.inventory.collect()} == final
