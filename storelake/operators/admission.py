@@ -214,7 +214,8 @@ def _events(rows: pd.DataFrame) -> Iterator[tuple[tuple, list]]:
 
 
 def with_balances(lines: DataFrame, verdicts: DataFrame, inventory: DataFrame,
-                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                  rows_per_chunk: int = ROWS_PER_CHUNK, probe: DataFrame | None = None
+                  ) -> DataFrame:
     """Lines with ``accepted`` and the stock before and after each of them.
 
     A line of a rejected event changes nothing: before and after are the stock
@@ -224,7 +225,7 @@ def with_balances(lines: DataFrame, verdicts: DataFrame, inventory: DataFrame,
         "accepted", F.coalesce("accepted", F.col("kind") == PROCUREMENT))
     effect: Column = F.when(F.col("accepted"), F.col("change")).otherwise(0)
     makes: Column = (F.col("accepted") & (F.col("kind") != SALE)).cast("int")
-    ordered = in_order(judged, STOCK_KEY, LINE_ORDER, rows_per_chunk)
+    ordered = in_order(judged, STOCK_KEY, LINE_ORDER, rows_per_chunk, probe)
     rows = running_sums(ordered, {"_moved": effect, "_made": makes})
     after = F.coalesce("opening", F.lit(0)) + F.col("_moved")
     return rows.withColumns({

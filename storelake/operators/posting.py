@@ -73,7 +73,7 @@ def post_events(
     per product and every quantity must be positive; ``parity=True`` tests each
     line alone, so two lines of one product may take its stock below zero, and
     lets any quantity pass. New movement and item rows are numbered from
-    ``first_id``.
+    ``first_id``; the numbers of rejected lines stay unused.
     """
     spark = inventory.sparkSession
 
@@ -88,16 +88,16 @@ def post_events(
     events = written(_checked(headers, lines, parity))
     reason = F.col("reason")
 
-    def lines_of(which: Column) -> DataFrame:
-        return lines.join(events.filter(which).select(*EVENT), list(EVENT), "left_semi")
+    def of_events(rows: DataFrame, which: Column) -> DataFrame:
+        return rows.join(events.filter(which).select(*EVENT), list(EVENT), "left_semi")
 
-    verdicts = decide(lines_of(reason.isNull()), inventory, parity, rows_per_chunk,
+    verdicts = decide(of_events(lines, reason.isNull()), inventory, parity, rows_per_chunk,
                       finish_rows)
+    placed = numbered(lines, ["branch_id", *LINE_ORDER], "number", first_id - 1,
+                      rows_per_chunk)
     # An underpaid basket is never accepted, but the stock it met is of interest.
-    sound = lines_of(reason.isNull() | (reason == "underpaid"))
-    posted = written(numbered(
-        with_balances(sound, verdicts, inventory, rows_per_chunk),
-        ["branch_id", *LINE_ORDER], "number", first_id - 1, rows_per_chunk))
+    sound = of_events(placed, reason.isNull() | (reason == "underpaid"))
+    posted = written(with_balances(sound, verdicts, inventory, rows_per_chunk, lines))
     outcome = _outcome(events, verdicts, posted, parity)
     accepted = posted.filter(F.col("accepted"))
     passed = outcome.filter(F.col("reason").isNull())

@@ -70,7 +70,8 @@ class StockStream:
         stock = written(self.stock_before(batch))
         verdicts = written(
             decide(lines, stock, self.parity, self.rows_per_chunk))
-        judged = written(with_balances(lines, verdicts, stock, self.rows_per_chunk))
+        judged = written(
+            with_balances(lines, verdicts, stock, self.rows_per_chunk, lines))
         moved = judged.filter(F.col("accepted"))
         self._write(moved, f"movements/batch={batch}")
         self._write(judged.filter(~F.col("accepted")).select(*EVENT).distinct(),
