@@ -84,7 +84,7 @@ def active_agents(d: Frames, branch_id: int | None) -> DataFrame:
 def agent_day_sales(d: Frames, date: str) -> DataFrame:
     """Completed sales of a day per agent, whatever the branch."""
     return completed(d).filter(on_day("sale_date", date)).groupBy("sales_agent_id").agg(
-        F.sum("total_amount").alias("amount"), F.count("id").alias("n"))
+        F.sum("total_amount").alias("amount"), F.count("*").alias("n"))
 
 
 def manager_cashier_summary(d: Frames, branch_id: int | None, date: str) -> DataFrame:

@@ -94,13 +94,14 @@ def product_search(d: Frames, branch_id: int | None, q: str, n: int = 10) -> Dat
     codes = d["barcodes"].select("product_id", "barcode_value")
     hits = codes.filter(F.col("barcode_value") == q).select(
         F.col("product_id").alias("_hit")).distinct()
-    found = d["products"].filter(F.col("status") == "active").join(
-        stock_of(d, branch_id), F.col("id") == F.col("product_id"), "left"
-    ).filter(F.col("quantity_available") > 0).drop("product_id").join(
+    # Few products match, so their stock is joined last.
+    matching = d["products"].filter(F.col("status") == "active").join(
         hits, F.col("id") == F.col("_hit"), "left"
     ).withColumn("_named", name_like("product_name", q)).filter(
-        F.col("_named") | F.col("_hit").isNotNull()
-    ).join(category_names(d), "category_id").select(
+        F.col("_named") | F.col("_hit").isNotNull())
+    found = matching.join(
+        stock_of(d, branch_id), F.col("id") == F.col("product_id"), "left"
+    ).filter(F.col("quantity_available") > 0).join(category_names(d), "category_id").select(
         "id", "product_name", "selling_price", "description", "quantity_available",
         "category_name", "_named",
     ).orderBy("product_name", "id").limit(n)
@@ -220,7 +221,7 @@ def procurement_detail(d: Frames, procurement_id: int) -> DataFrame:
 # --- products ------------------------------------------------------------------
 
 def _barcode_counts(d: Frames) -> DataFrame:
-    return d["barcodes"].groupBy("product_id").agg(F.count("id").alias("_codes"))
+    return d["barcodes"].groupBy("product_id").agg(F.count("*").alias("_codes"))
 
 
 def _stock_totals(d: Frames) -> DataFrame:
@@ -279,7 +280,7 @@ def product_barcodes(d: Frames, product_id: int) -> DataFrame:
 
 def category_summary(d: Frames) -> DataFrame:
     """Categories with creator and number of products."""
-    counts = d["products"].groupBy("category_id").agg(F.count("id").alias("n"))
+    counts = d["products"].groupBy("category_id").agg(F.count("*").alias("n"))
     creators = d["users"].select(F.col("id").alias("created_by"),
                                  F.col("full_name").alias("created_by_name"))
     return d["categories"].join(creators, "created_by", "left").join(
@@ -294,7 +295,7 @@ def category_summary(d: Frames) -> DataFrame:
 
 def branch_user_counts(d: Frames) -> DataFrame:
     """Branches with their number of users."""
-    counts = d["users"].groupBy("branch_id").agg(F.count("id").alias("n"))
+    counts = d["users"].groupBy("branch_id").agg(F.count("*").alias("n"))
     return d["branches"].join(counts, F.col("id") == F.col("branch_id"), "left").select(
         *d["branches"].columns, F.coalesce("n", F.lit(0)).alias("user_count"),
     ).orderBy("branch_name")

@@ -30,7 +30,7 @@ def count_items(d: Frames, sales: DataFrame) -> DataFrame:
     """Item lines per sale, for the given sales only."""
     wanted = sales.select(F.col("id").alias("sale_id"))
     return d["sale_items"].join(wanted, "sale_id", "left_semi").groupBy("sale_id").agg(
-        F.count("id").alias("item_count"))
+        F.count("*").alias("item_count"))
 
 
 def daily_sales_detail(d: Frames, date: str, branch_id: int | None = None) -> DataFrame:
@@ -133,7 +133,7 @@ def procurement_grand_total(rows: DataFrame) -> DataFrame:
 
 def _branch_sales(d: Frames) -> DataFrame:
     per_branch = completed(d).groupBy("branch_id").agg(
-        F.sum("total_amount").alias("amount"), F.count("id").alias("n"))
+        F.sum("total_amount").alias("amount"), F.count("*").alias("n"))
     return d["branches"].join(per_branch, F.col("id") == F.col("branch_id"), "left")
 
 
