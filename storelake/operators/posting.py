@@ -207,7 +207,9 @@ def _requests(baskets, basket_lines, procurements, procurement_lines, adjustment
 
     def line(df: DataFrame, key: str, heads: DataFrame, quantity: Column, price: Column
              ) -> DataFrame:
-        keyed = df.withColumnRenamed(key, "event_id").join(
+        # A row without line number stands for an empty payload.
+        given = df.filter(F.col("line_no").isNotNull())
+        keyed = given.withColumnRenamed(key, "event_id").join(
             heads.select(*EVENT, "actor"), "event_id")
         return keyed.select(
             *EVENT, "line_no", "product_id", quantity.cast("long").alias("change"),

@@ -105,19 +105,20 @@ def parse_order_lines(df: DataFrame, payload: str, kind: str) -> DataFrame:
 
     Adds ``line_no``, ``product_id``, ``quantity`` and, for procurements,
     ``unit_cost``. A value that is no number becomes NULL, for the posting
-    operators to reject; a payload without lines keeps one all-NULL row.
+    operators to reject. A payload without lines keeps one row without a line
+    number; one that cannot be read keeps one with line number 0.
     """
     schema = SALE_LINES if kind == "sale" else PROCUREMENT_LINES
-    lines = df.select(
-        *[c for c in df.columns if c != payload],
-        F.posexplode_outer(F.from_json(payload, schema)).alias("_pos", "_line"),
-    )
+    kept = [c for c in df.columns if c != payload]
+    lines = df.withColumn("_lines", F.from_json(payload, schema)).select(
+        *kept, F.col("_lines").isNull().alias("_unread"),
+        F.posexplode_outer("_lines").alias("_pos", "_line"))
     number = {"quantity": F.expr("try_cast(_line.quantity as int)")}
     if kind != "sale":
         number["unit_cost"] = F.expr("try_cast(_line.unit_cost as decimal(12,2))")
     return lines.select(
-        *[c for c in df.columns if c != payload],
-        (F.col("_pos") + 1).alias("line_no"),
+        *kept,
+        F.when(F.col("_unread"), 0).otherwise(F.col("_pos") + 1).alias("line_no"),
         F.col("_line.product_id").alias("product_id"),
         *[c.alias(n) for n, c in number.items()],
     )

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 import __spark_entry__ as entry
 from storelake.operators import posting as p
 from storelake.sources.driver_tables import load
+from storelake.sources.tables import parse_order_lines
 from tests.serial import post
 
 START = datetime(2024, 1, 1)
@@ -212,3 +213,18 @@ def test_given_orders_from_an_empty_store(spark, finish_rows):
                   for m in out.movements.collect()) == sorted(moves)
     assert {(r.branch_id, r.product_id): r.quantity_available
             for r in out.inventory.collect()} == final
+
+
+def test_payloads_are_posted(spark):
+    df = frames(spark, [], {(1, 1): 5})
+    df["baskets"] = spark.createDataFrame(
+        [(i, 1, 7, START, Decimal(9)) for i in (1, 2, 3, 4)], p.BASKETS)
+    payloads = spark.createDataFrame([
+        (1, '[{"product_id": 1, "quantity": 2}]'), (2, "[]"), (3, "[{"),
+        (4, '[{"product_id": 1, "quantity": "two"}]')], "basket_id long, items string")
+    df["basket_lines"] = parse_order_lines(payloads, "items", "sale")
+    out = p.post_events(**df)
+    assert [(r.sale_id, r.quantity) for r in out.sale_items.collect()] == [(1, 2)]
+    assert {r.event_id: r.reason for r in out.rejections.collect()} == {
+        2: "no_lines", 3: "invalid_line", 4: "invalid_line"}
+    assert out.inventory.first().quantity_available == 3

@@ -54,15 +54,15 @@ def test_order_lines(spark):
     rows = spark.createDataFrame([
         (1, '[{"product_id": 1, "quantity": "2", "unit_cost": 1.5},'
             ' {"product_id": 2, "quantity": 3, "unit_cost": "x"}]'),
-        (2, "[]"), (3, '[{"product_id": 1, "quantity": 0, "unit_cost": 1}]')],
+        (2, "[]"), (4, "not json"), (3, '[{"product_id": 1, "quantity": 0, "unit_cost": 1}]')],
         "id int, items string")
     lines = parse_order_lines(rows, "items", "procurement")
     assert [tuple(r) for r in lines.orderBy("id", "line_no").collect()] == [
         (1, 1, 1, 2, Decimal("1.50")), (1, 2, 2, 3, None), (2, None, None, None, None),
-        (3, 1, 1, 0, Decimal("1.00"))]
+        (3, 1, 1, 0, Decimal("1.00")), (4, 0, None, None, None)]
     typed = rows.withColumn("lines", F.from_json(
         "items", "array<struct<product_id:long,quantity:string,unit_cost:string>>"))
-    assert {r.id for r in quality.check_order_lines(typed, "lines").collect()} == {1, 2, 3}
+    assert {r.id for r in quality.check_order_lines(typed, "lines").collect()} == {1, 2, 3, 4}
     good = typed.filter("id = 1").withColumn("lines", F.slice("lines", 1, 1))
     assert quality.check_order_lines(good, "lines").count() == 0
 
