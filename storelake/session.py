@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,23 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors import this package; done once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_storelake_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="storelake-"), "storelake.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(archive)
+    context._storelake_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -48,6 +67,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
+        if folder.startswith("file:") and not context.master.startswith("local"):
+            raise RuntimeError("executors of a cluster cannot share a folder of one machine; "
+                               "set spark.checkpoint.dir to a shared file system")
         return folder
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
