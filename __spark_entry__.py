@@ -22,6 +22,11 @@ from storelake.sources.tables import Tables, parse_order_lines  # noqa: E402
 from storelake.streaming import streams  # noqa: E402
 from storelake.streaming.stock import StockStream  # noqa: E402
 
+try:  # the operators over documents may have been taken out
+    from storelake.llm import queries as corpus  # noqa: E402
+except ImportError:
+    corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 BRANCH, AGENT = 3, 78
 
@@ -244,6 +249,10 @@ def maintenance_display(d: Tables) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All registered queries by name."""
+    return retail_queries() | (corpus.queries() if corpus else {})
+
+
+def retail_queries() -> dict[str, Query]:
     return {
         "daily_sales_detail": over(lambda d: reports.daily_sales_detail(d, DAY)),
         "daily_sales_summary": over(lambda d: reports.daily_sales_summary(d, DAY)),
@@ -399,4 +408,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return statements()
+    return statements() | (corpus.statements() if corpus else {})
