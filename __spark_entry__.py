@@ -24,7 +24,9 @@ from storelake.streaming.stock import StockStream  # noqa: E402
 
 try:  # the operators over documents may have been taken out
     from storelake.llm import queries as corpus  # noqa: E402
-except ImportError:
+except ImportError as missing:
+    if not (missing.name or "").startswith("storelake.llm"):
+        raise
     corpus = None
 
 Query = Callable[[SparkSession, str], DataFrame]
