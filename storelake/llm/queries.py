@@ -129,7 +129,7 @@ def statements() -> dict[str, str]:
                 from pages),
             in_base_32 as (
                 select page_id, payload_bytes, array_to_string(list_transform(
-                    range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((
+                    range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((
                         cast('0x' || substr(hex, cast(1 + 5 * (i // 4) as int), 5) as bigint)
                         >> cast(15 - 5 * (i % 4) as int)) & 31 as int), 1)), '')
                     as payload_digest
