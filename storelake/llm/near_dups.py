@@ -31,6 +31,8 @@ from storelake.session import written
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
+#: 64-bit words of the bit map that bounds from below how many runs two texts do not share.
+ODD_WORDS = 16
 #: Odd constants that tell the places of a run, a band or a sequence apart.
 PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 SEQUENCES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -127,6 +129,15 @@ def signer(words: int, bands: int, size: int) -> Callable:
     return run
 
 
+def odd_sketch(row: np.ndarray, run: np.ndarray, rows: int) -> np.ndarray:
+    """For each row a bit map in which each run turns over one bit."""
+    out = np.zeros(rows * ODD_WORDS, np.uint64)
+    place = mix(run ^ PLACES[40])
+    word = row * ODD_WORDS + (place >> np.uint64(32)).astype(np.int64) % ODD_WORDS
+    np.bitwise_xor.at(out, word, np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def run_sets(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +149,11 @@ def run_sets(words: int) -> Callable:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([x.tobytes() for x in node], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                             pa.array(runs.astype(np.int64), pa.int64()))],
-                    ["node", "runs"])
+                                             pa.array(runs.astype(np.int64), pa.int64())),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(j - i + 1) * ODD_WORDS, pa.int32()),
+                        pa.array(odd_sketch(row, runs, j - i), pa.int64()))],
+                    ["node", "runs", "odd"])
     return run
 
 
@@ -157,27 +171,41 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def sharing_rare_runs(nodes: DataFrame, least: float) -> DataFrame:
     """All pairs (a < b) of different roots that can have that Jaccard similarity.
 
-    ``nodes``: node, root, runs. Put the runs of each node in one order for all, the rarest
+    ``nodes``: node, root, runs, odd. Put the runs of each node in one order for all, the rarest
     first. Sets of n runs that are that similar share one of their n - ceil(least * n) + 1
     first ones, and the runs shared there and the fewer of those that come after the last
-    such one are enough. So the nodes of a crowd meet by the runs that set them apart and
-    not by those that all have.
+    such one are enough. Runs that no other node has are never shared. So the nodes of a
+    crowd meet by the runs that set them apart and not by those that all have.
     """
-    runs = written(nodes.select("node", "root", F.size("runs").alias("n"),
-                                F.explode("runs").alias("run")), "runs-left")
+    runs = written(nodes.select("node", F.explode("runs").alias("run")), "runs-left")
+    nodes = nodes.select("node", "root", F.size("runs").alias("n"), "odd")
     often = runs.groupBy("run").agg(F.count("*").alias("df"))
     order = Window.partitionBy("node").orderBy("df", "run")
-    first = runs.join(often, "run").withColumn("at", F.row_number().over(order)).filter(
+    own = F.sum(F.when(F.col("df") == 1, 1).otherwise(0)).over(Window.partitionBy("node"))
+    n = F.count("*").over(Window.partitionBy("node"))
+    first = runs.join(often, "run").withColumn("at", F.row_number().over(order)).withColumn(
+        "own", own).withColumn("n", n).filter(
         F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).filter("df > 1")
-    first = written(first.select("node", "root", "n", "run", "at"), "rare-runs")
+    first = first.select("node", "run", "at", (F.col("n") - F.col("own")).alias("most"))
+    first = written(first.join(nodes, "node"), "rare-runs")
 
     def side(name: str) -> DataFrame:
         return first.select("run", *[F.col(c).alias(f"{c}_{name}")
-                                     for c in ("node", "root", "n", "at")])
-
+                                     for c in ("node", "root", "n", "most", "at", "odd")])
+
+    # Not more is shared than the runs that others have too, nor than what comes before
+    # and after a shared one.
+    whole = F.least(F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"),
+                                                      F.col("n_b") - F.col("at_b")),
+                    "most_a", "most_b")
+    # Every bit in which the maps differ is a run that one of the two has alone.
+    bits = [F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i]))
+            for i in range(ODD_WORDS)]
+    apart = sum(bits[1:], bits[0])
     met = side("a").join(side("b"), "run").filter(
         (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-        & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")))
+        & (whole * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9)
+        & (apart * (1 + least) <= (1 - least) * (F.col("n_a") + F.col("n_b")) + 1e-9))
     pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
         F.count("*").alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"),
         F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
@@ -245,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = members.select("node", "doc_id").join(central, "node", "left_semi").select(
         F.col("doc_id").alias("wanted")).distinct()
     some = texts.join(ids, F.expr("doc_id <=> wanted"), "left_semi").select("text")
-    sets = written(some.mapInArrow(run_sets(words), "node binary, runs array<bigint>")
+    sets = written(some.mapInArrow(run_sets(words), "node binary, runs array<bigint>, odd array<bigint>")
                    .dropDuplicates(["node"]), "run-sets")
 
     # Each node with the most central node it shares most buckets with.

@@ -200,7 +200,8 @@ def unpacked(data: bytes) -> bytes:
 
 def _write(archives: DataFrame, path: str) -> None:
     """One file for each row, which is the text of an archive."""
-    archives.write.option("compression", "gzip").option("maxRecordsPerFile", 1).option(
+    archives.write.option("compression", "gzip").option(
+        "zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).option(
         "lineSep", "\r\n").text(path)
 
 
