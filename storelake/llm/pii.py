@@ -56,7 +56,7 @@ WORDS_BEFORE = {
     "phone": r"(?i)\b(?:tel|phone|call|fax|mobile|telefon|telefono|téléphone)\b",
 }
 WORDS_AGAINST = r"(?i)\b(?:version|isbn|issn|order|serial|section|chapter|page|figure|id)\W*$"
-LABELERS = ("strict", "shape", "gazetteer", "context", "edges")
+LABELERS = ("votes_strict", "votes_shape", "votes_gazetteer", "votes_context", "votes_edges")
 FEATURES = ("size", "digits", "separators", "before", "after", "words")
 BEFORE, AFTER = 32, 8
 ROUNDS = 10
@@ -143,7 +143,7 @@ def span_features() -> dict[str, Column]:
         F.least(F.length(digits_of(match)), F.lit(20)),
         F.least(F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")), F.lit(6)),
         class_of(F.right(before, F.lit(1))), class_of(F.left(after, F.lit(1))),
-        F.col("context"))
+        F.col("votes_context"))
     return {k: v.cast("string") for k, v in zip(FEATURES, values, strict=True)}
 
 
