@@ -16,7 +16,7 @@ from storelake.functions import labels  # noqa: E402
 from storelake.operators import dims, export, ledger, posting, quality  # noqa: E402
 from storelake.operators.admission import ADJUSTMENT, PROCUREMENT, SALE  # noqa: E402
 from storelake.plans import dashboards, listings, reports  # noqa: E402
-from storelake.session import new_path  # noqa: E402
+from storelake.session import new_path, ship_package  # noqa: E402
 from storelake.sources.driver_tables import load  # noqa: E402
 from storelake.sources.tables import Tables, parse_order_lines  # noqa: E402
 from storelake.streaming import streams  # noqa: E402
@@ -41,6 +41,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def over(build: Callable[[Tables], DataFrame]) -> Query:
     """A query over the retail tables derived from the folder."""
     def query(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return build(load(spark, folder))
 
@@ -112,11 +113,12 @@ def stream_audit_ingest(spark: SparkSession, folder: str) -> DataFrame:
     audit = load(spark, folder, streamed=["events"])["audit_logs"]
     place = new_path(spark, "audit")
     streams.start_audit_ingest(audit, place).awaitTermination()
-    return spark.read.parquet(f"{place}/trail")
+    return streams.read_audit_trail(spark, place)
 
 
 def stock_stream(spark: SparkSession, folder: str) -> StockStream:
     """All stock changes streamed into an empty store."""
+    ship_package(spark)
     changes = load(spark, folder, streamed=["lineitem"])["stock_changes"]
     kind = F.col("movement_type")
     lines = changes.select(

@@ -90,14 +90,16 @@ def decide(lines: DataFrame, inventory: DataFrame, parity: bool = False,
     work, decided = start.df, []
     before, in_turn = None, False
     while True:
-        largest, total = work.filter(F.col("state") == UNDECIDED).groupBy("branch_id").agg(
-            F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        largest, total, sales = work.filter(F.col("state") == UNDECIDED).groupBy(
+            "branch_id").agg(F.count("*").alias("n"), F.max(F.col("kind") == SALE).alias("s")
+                             ).agg(F.max("n"), F.sum("n"), F.max("s")).first()
         if not total:
             break
         bounds = _bounds(Ordered(work, start.keys, start.order, start.chunked))
         waiting = bounds.filter(F.col("state") == UNDECIDED)
-        if largest <= finish_rows:
-            decided.append(written(_in_turn(waiting)))
+        # The bounds decide what they can before anything is judged in turn.
+        if before is not None and largest <= finish_rows:
+            decided.append(written(_in_turn(waiting, by_product=not sales)))
             break
         in_turn = before is not None and total > before / 2 and not in_turn
         before = total
@@ -169,9 +171,14 @@ def _next_round(work: DataFrame, verdicts: DataFrame) -> DataFrame:
 _VERDICT = "branch_id long, posted_at timestamp_ntz, kind int, event_id long, verdict int"
 
 
-def _in_turn(waiting: DataFrame) -> DataFrame:
-    """Judge events one after another, a bounded number of lines per branch."""
-    return waiting.groupBy("branch_id").applyInPandas(_judge_branch, _VERDICT)
+def _in_turn(waiting: DataFrame, by_product: bool = False) -> DataFrame:
+    """Judge events one after another, a bounded number of lines per branch.
+
+    ``by_product``: no event has lines of several products (there are no sales), so
+    each product of a branch is judged alone.
+    """
+    keys = STOCK_KEY if by_product else ["branch_id"]
+    return waiting.groupBy(*keys).applyInPandas(_judge_branch, _VERDICT)
 
 
 def _judge_branch(rows: pd.DataFrame) -> pd.DataFrame:

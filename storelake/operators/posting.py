@@ -28,11 +28,11 @@ KINDS = {PROCUREMENT: "procurement", SALE: "sale", ADJUSTMENT: "adjustment"}
 # What the requests look like.
 BASKETS = ("basket_id long, branch_id long, sales_agent_id long, posted_at timestamp_ntz, "
            "amount_paid decimal(14,2)")
-BASKET_LINES = "basket_id long, line_no int, product_id long, quantity int"
+BASKET_LINES = "basket_id long, line_no long, product_id long, quantity int"
 PROCUREMENTS = ("procurement_id long, branch_id long, supplier_id long, recorded_by long, "
                 "reference_number string, notes string, procurement_date date, "
                 "posted_at timestamp_ntz")
-PROCUREMENT_LINES = ("procurement_id long, line_no int, product_id long, quantity int, "
+PROCUREMENT_LINES = ("procurement_id long, line_no long, product_id long, quantity int, "
                      "unit_cost decimal(12,2)")
 ADJUSTMENTS = ("adjustment_id long, branch_id long, product_id long, adjusted_by long, "
                "quantity int, reason string, posted_at timestamp_ntz")

@@ -34,7 +34,7 @@ SNAPSHOT_EVERY = 20
 # What the stream carries: one row per line of an event, sales with a negative
 # change. Kinds are those of storelake.operators.admission.
 STOCK_LINES = ("branch_id long, posted_at timestamp_ntz, kind int, event_id long, "
-               "line_no int, product_id long, change long")
+               "line_no long, product_id long, change long")
 MOVED = (f"{STOCK_LINES}, accepted boolean, quantity_after long, quantity_before long, "
          "had_row boolean")
 STOCK = ("branch_id long, product_id long, quantity_available int, "
@@ -65,8 +65,8 @@ class StockStream:
 
     def post(self, lines: DataFrame, batch: int) -> None:
         """Judge one batch and write what it changes."""
-        columns = [c.split()[0] for c in STOCK_LINES.split(", ")]
-        lines = written(lines.select(*columns))
+        fields = [c.split() for c in STOCK_LINES.split(", ")]
+        lines = written(lines.select(*[F.col(c).cast(kind).alias(c) for c, kind in fields]))
         stock = written(self.stock_before(batch))
         verdicts = written(
             decide(lines, stock, self.parity, self.rows_per_chunk))
@@ -108,7 +108,7 @@ class StockStream:
         return spark.read.schema(
             "branch_id long, product_id long, product_name string, quantity_available long, "
             "reorder_level int, alert_type string, posted_at timestamp_ntz, event_id long, "
-            "line_no int, batch long").parquet(f"{self.folder}/alerts")
+            "line_no long, batch long").parquet(f"{self.folder}/alerts")
 
 
 def low_stock_crossings(movements: DataFrame, products: DataFrame) -> DataFrame:

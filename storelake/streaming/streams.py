@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from storelake.operators.dims import latest_per_key
 from storelake.sources.schemas import TOTAL, TS
@@ -20,12 +21,12 @@ def stream_daily_sales(sales: DataFrame, lateness: str | None = None) -> DataFra
     they are that far behind, and so are sales that come later still.
     """
     done = sales.filter(F.col("status") == "completed").withColumn(
-        "_at", F.col("sale_date").cast("timestamp"))
+        "_day", F.to_date("sale_date").cast("timestamp"))
     if lateness:
-        done = done.withWatermark("_at", lateness)
-    return done.groupBy("branch_id", F.window("_at", "1 day").alias("w")).agg(
+        done = done.withWatermark("_day", lateness)
+    return done.groupBy("branch_id", "_day").agg(
         F.sum("total_amount").cast(TOTAL).alias("total"), F.count("*").alias("count")
-    ).select("branch_id", F.to_date("w.start").alias("sale_day"), "total", "count")
+    ).select("branch_id", F.to_date("_day").alias("sale_day"), "total", "count")
 
 
 def start_daily_sales(sales: DataFrame, folder: str, lateness: str | None = None,
@@ -50,18 +51,34 @@ def read_daily_totals(spark: SparkSession, folder: str) -> DataFrame:
     return latest_per_key(rows, ["branch_id", "sale_day"], ["batch"]).drop("batch")
 
 
-def start_audit_ingest(events: DataFrame, folder: str, lateness: str = "1 day",
-                       **trigger) -> StreamingQuery:
-    """Append audit events to the trail by day, each id once.
+def start_audit_ingest(events: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Append audit events to the trail by day, each id once, however late it comes.
 
-    A repeated id is recognised while it comes within ``lateness`` of the first.
+    A batch leaves out the ids that earlier batches stored for the days it touches. A
+    batch that is run again overwrites its own rows.
     """
-    kept = events.withColumn("_at", F.col("created_at").cast("timestamp")).withWatermark(
-        "_at", lateness).dropDuplicatesWithinWatermark(["id"]).drop("_at")
-    return kept.withColumn("day", F.to_date("created_at")).writeStream.format(
-        "parquet").outputMode("append").partitionBy("day").option(
-        "path", f"{folder}/trail").option("checkpointLocation", f"{folder}/progress").trigger(
-        **(trigger or {"availableNow": True})).start()
+    def store(rows: DataFrame, batch: int) -> None:
+        fresh = rows.dropDuplicates(["id"]).withColumn("day", F.to_date("created_at"))
+        if batch > 0:
+            days = [r["day"] for r in fresh.select("day").distinct().collect()]
+            stored = _trail(rows.sparkSession, folder, fresh.schema).filter(
+                (F.col("batch") < batch) & F.col("day").isin(days))
+            fresh = fresh.join(stored.select("id"), "id", "left_anti")
+        fresh.write.mode("overwrite").partitionBy("day").parquet(
+            f"{folder}/trail/batch={batch}")
+
+    return events.writeStream.option("checkpointLocation", f"{folder}/progress").foreachBatch(
+        store).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _trail(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(
+        f"{folder}/trail")
+
+
+def read_audit_trail(spark: SparkSession, folder: str) -> DataFrame:
+    """All audit events stored so far, with their day."""
+    return spark.read.parquet(f"{folder}/trail").drop("batch")
 
 
 def stream_user_sessions(events: DataFrame, gap_minutes: int = GAP_MINUTES,

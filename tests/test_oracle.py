@@ -22,10 +22,11 @@ def test_sql_names_are_registered():
     assert set(SQL) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+# The queries over documents have tests of their own.
+@pytest.mark.parametrize("name", list(entry.retail_queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     if name in SQL:
         assert difference(df, con, SQL[name]) is None
     else:
-        assert df.columns and df.count() >= 0
+        assert df.columns and df.collect() is not None

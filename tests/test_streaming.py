@@ -76,11 +76,41 @@ def test_audit_ids_come_once(spark, tmp_path):
     audit = load(spark, FOLDER)["audit_logs"].limit(50)
     twice = audit.unionByName(audit)
     flow = as_stream(spark, twice, str(tmp_path / "in"))
-    streams.start_audit_ingest(flow, str(tmp_path / "out"), "400 days").awaitTermination()
-    back = spark.read.parquet(str(tmp_path / "out" / "trail"))
+    streams.start_audit_ingest(flow, str(tmp_path / "out")).awaitTermination()
+    back = streams.read_audit_trail(spark, str(tmp_path / "out"))
     assert back.count() == 50 and back.select("id").distinct().count() == 50
 
 
+def test_late_audit_rows_are_kept(spark, tmp_path):
+    """The newer half comes first, then the older half with some of the newer again."""
+    audit = load(spark, FOLDER)["audit_logs"]
+    middle = audit.selectExpr("percentile_approx(id, 0.5)").first()[0]
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    audit.filter(f"id > {middle}").write.mode("append").parquet(inbox)
+    flow = spark.readStream.schema(audit.schema).parquet(inbox)
+    streams.start_audit_ingest(flow, out).awaitTermination()
+    audit.filter(f"id <= {middle} or id % 3 = 0").write.mode("append").parquet(inbox)
+    streams.start_audit_ingest(flow, out).awaitTermination()
+    got = [r["id"] for r in streams.read_audit_trail(spark, out).collect()]
+    assert sorted(got) == sorted(r["id"] for r in audit.select("id").collect())
+
+
+def test_daily_sales_in_another_time_zone(spark, tmp_path):
+    d = load(spark, FOLDER)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    want = sorted(map(tuple, reports.daily_sales_totals(d).select(
+        "branch_id", "sale_day", "total", "count").collect()))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        flow = as_stream(spark, d["sales"], str(tmp_path / "in"), 2)
+        streams.start_daily_sales(flow, str(tmp_path / "out")).awaitTermination()
+        got = streams.read_daily_totals(spark, str(tmp_path / "out")).select(
+            "branch_id", "sale_day", "total", "count").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(map(tuple, got)) == want
+
+
 @pytest.fixture(scope="module")
 def lines():
     rng = random.Random(4)
