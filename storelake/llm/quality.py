@@ -188,7 +188,10 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS)
     if len(set(labels.tolist())) < 2:
         return Field(np.zeros(width), np.zeros((2, 2)), (0.0, float(logit(np.array(prior)))))
     data, offsets = buffers(pa.array(texts, pa.large_string()))
-    x, size, row = features(data, offsets)
+    parts = [(i, features(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
+             for i, j in slices(offsets)]
+    x, size, row = (np.concatenate(y) for y in zip(
+        *[(a, b, r + i) for i, (a, b, r) in parts], strict=True))
     lines = np.bincount(row, minlength=len(texts))
     y = labels[row]
     # Every text counts the same, and both labels do.
