@@ -134,7 +134,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(
         "doc_id", "source", "size", "source_size", "target",
         F.size("positions").alias("copies"), (F.size("positions") * F.col("size")).cast("long")
-        .alias("taken"), "positions").orderBy(F.get("positions", F.lit(0)).asc_nulls_last())
+        .alias("taken"), "positions", "place").orderBy(
+        F.get("positions", F.lit(0)).asc_nulls_last(), "place").drop("place")
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
