@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from oracle.sql import BALANCE_DAY, BRANCH_DAY, DAY, RULED_TABLES, statements  # noqa: E402
+from oracle.sql import (  # noqa: E402
+    BALANCE_DAY, BARCODE, BRANCH_DAY, DAY, RULED_TABLES, statements,
+)
 from storelake.functions import labels  # noqa: E402
+from storelake.functions.predicates import has_role  # noqa: E402
 from storelake.operators import dims, export, ledger, posting, quality  # noqa: E402
 from storelake.operators.admission import ADJUSTMENT, PROCUREMENT, SALE  # noqa: E402
 from storelake.plans import dashboards, listings, reports  # noqa: E402
 from storelake.session import new_path, ship_package  # noqa: E402
 from storelake.sources.driver_tables import load  # noqa: E402
+from storelake.sources.schemas import PROCUREMENT_LINES  # noqa: E402
 from storelake.sources.tables import Tables, parse_order_lines  # noqa: E402
 from storelake.streaming import streams  # noqa: E402
 from storelake.streaming.stock import StockStream  # noqa: E402
@@ -81,9 +85,9 @@ def post_sales(d: Tables) -> DataFrame:
     return posting.post_sales(*baskets_of(d), d["branch_inventory"], d["products"]).movements
 
 
-def post_procurements(d: Tables) -> DataFrame:
+def procurement_posting(d: Tables) -> posting.Posting:
     return posting.post_procurements(
-        *procurements_of(d), d["branch_inventory"], d["products"]).movements
+        *procurements_of(d), d["branch_inventory"], d["products"])
 
 
 def post_adjustments(d: Tables) -> DataFrame:
@@ -196,6 +200,16 @@ def order_payloads(d: Tables) -> DataFrame:
         "'unit_cost', unit_cost))) as items")
 
 
+def bad_order_payloads(d: Tables) -> DataFrame:
+    """The same payloads with text for a quantity, without lines, or cut off."""
+    items = F.col("items")
+    return order_payloads(d).withColumn(
+        "items", F.when(F.col("id") % 5 == 1, F.regexp_replace(
+            items, '"quantity":[0-9]+', '"quantity":"many"'))
+        .when(F.col("id") % 5 == 2, F.lit("[]"))
+        .when(F.col("id") % 5 == 3, F.left(items, F.lit(9))).otherwise(items))
+
+
 # --- display columns ------------------------------------------------------------
 
 def movement_display(d: Tables) -> DataFrame:
@@ -295,6 +309,15 @@ def retail_queries() -> dict[str, Query]:
         "receipts": over(listings.receipts),
         "product_search": over(lambda d: listings.product_search(d, BRANCH, "SMALL").withColumn(
             "barcodes", F.array_join("barcodes", ","))),
+        "product_search_by_barcode": over(
+            lambda d: listings.product_search(d, BRANCH, BARCODE).withColumn(
+                "barcodes", F.array_join("barcodes", ","))),
+        "inventory_listing_low": over(
+            lambda d: listings.inventory_listing(d, BRANCH, stock_status="low")),
+        "sale_history_of_agent": over(
+            lambda d: listings.sale_history(d, "sales_agent", user_id=AGENT)),
+        "users_with_role": over(
+            lambda d: d["users"].filter(has_role("role", ["manager", "director"]))),
         "inventory_listing": over(lambda d: listings.inventory_listing(d, BRANCH)),
         "inventory_listing_out": over(lambda d: listings.inventory_listing(
             d, BRANCH, search="a_v", stock_status="out")),
@@ -304,6 +327,8 @@ def retail_queries() -> dict[str, Query]:
         "low_stock_alerts": over(lambda d: listings.low_stock_alerts(d, BRANCH)),
         "all_low_stock_alerts": over(listings.all_low_stock_alerts),
         "procurement_listing": over(lambda d: listings.procurement_listing(d, BRANCH)),
+        "procurement_listing_of_dates": over(lambda d: listings.procurement_listing(
+            d, BRANCH, date_from="1996-01-01", date_to="1997-06-30")),
         "procurement_details": over(listings.procurement_details),
         "product_catalog": over(listings.product_catalog),
         "product_catalog_exact": over(listings.product_catalog_exact),
@@ -332,7 +357,10 @@ def retail_queries() -> dict[str, Query]:
         "ledger_consistency": over(lambda d: ledger.ledger_consistency(
             d["inventory_movements"], d["branch_inventory"], probe=d["stock_changes"])),
         "post_sales": over(post_sales),
-        "post_procurements": over(post_procurements),
+        "post_procurements": over(lambda d: procurement_posting(d).movements),
+        "post_procurements_headers": over(lambda d: procurement_posting(d).procurements),
+        "post_procurements_stock": over(lambda d: procurement_posting(d).inventory),
+        "post_procurements_audit": over(lambda d: procurement_posting(d).audit),
         "post_adjustments": over(post_adjustments),
         "post_events": over(post_events),
         "basket_totals": over(lambda d: posting.order_totals(
@@ -377,6 +405,11 @@ def retail_queries() -> dict[str, Query]:
             d["users"], "branch_id", inactive(d, "branches"))),
         "parse_order_lines": over(lambda d: parse_order_lines(
             order_payloads(d), "items", "procurement")),
+        "parse_bad_order_lines": over(lambda d: parse_order_lines(
+            bad_order_payloads(d), "items", "procurement")),
+        "check_order_lines": over(lambda d: quality.check_order_lines(
+            bad_order_payloads(d).select("id", F.from_json("items", PROCUREMENT_LINES)
+                                         .alias("lines")), "lines").select("id")),
         "apply_defaults": over(lambda d: quality.apply_defaults(
             d["bug_reports"].selectExpr("* except (severity, updated_at)",
                                         "nullif(severity, 'low') as severity",

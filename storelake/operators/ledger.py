@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelake.operators.ordered import (
@@ -89,23 +89,23 @@ def ledger_consistency(movements: DataFrame, inventory: DataFrame,
     record (a stock row without movements is not judged).
     """
     ordered = in_order(movements, STOCK_KEY, LEDGER_ORDER, rows_per_chunk, probe)
-    rows = previous_values(ordered, {"_previous": "quantity_after"})
+    rows = previous_values(ordered, {"_previous": "quantity_after"}, last="_final")
+    stock = inventory.select(*[F.col(k).alias(f"_{k}") for k in STOCK_KEY],
+                             F.col("quantity_available").alias("_stock"))
+    # The stock on record is met by the last movement alone, in the same pass.
+    same = [F.col(k) == F.col(f"_{k}") for k in STOCK_KEY]
+    rows = rows.join(stock, same[0] & same[1] & F.col("_final"), "left")
     before, after = F.col("quantity_before"), F.col("quantity_after")
-    reached = before + F.col("quantity_change")
-    broken = rows.select(*STOCK_KEY, "id", F.explode(F.array(
-        F.struct(F.lit("sum").alias("rule"), reached.cast("long").alias("expected"),
-                 after.cast("long").alias("actual")),
-        F.struct(F.lit("gap").alias("rule"), F.col("_previous").cast("long").alias("expected"),
-                 before.cast("long").alias("actual")),
+
+    def rule(name: str, movement: Column, expected: Column, actual: Column) -> Column:
+        return F.struct(F.lit(name).alias("rule"), movement.cast("long").alias("movement_id"),
+                        expected.cast("long").alias("expected"),
+                        actual.cast("long").alias("actual"))
+
+    return rows.select(*STOCK_KEY, F.explode(F.array(
+        rule("sum", F.col("id"), before + F.col("quantity_change"), after),
+        rule("gap", F.col("id"), F.col("_previous"), before),
+        rule("snapshot", F.lit(None), after, F.col("_stock")),
     )).alias("c")).select(
-        *STOCK_KEY, F.col("id").alias("movement_id"), "c.rule", "c.expected", "c.actual"
+        *STOCK_KEY, "c.movement_id", "c.rule", "c.expected", "c.actual"
     ).filter(F.col("expected") != F.col("actual"))
-    last = latest_balance(movements).select(*STOCK_KEY, F.col("quantity_available").alias("last"))
-    stock = inventory.select(*STOCK_KEY, "quantity_available").join(last, list(STOCK_KEY))
-    stale = stock.filter(F.col("last") != F.col("quantity_available")).select(
-        *STOCK_KEY, F.lit(None).cast("long").alias("movement_id"),
-        F.lit("snapshot").alias("rule"),
-        F.col("last").cast("long").alias("expected"),
-        F.col("quantity_available").cast("long").alias("actual"),
-    )
-    return broken.unionByName(stale)

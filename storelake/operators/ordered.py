@@ -120,13 +120,17 @@ def row_numbers(o: Ordered, name: str) -> DataFrame:
     return running_sums(o, {name: F.lit(1).cast("long")})
 
 
-def previous_values(o: Ordered, values: Mapping[str, str]) -> DataFrame:
+def previous_values(o: Ordered, values: Mapping[str, str], last: str | None = None
+                    ) -> DataFrame:
     """Add the value each column had on the row before, within the key.
 
-    Columns must not be NULL: a NULL before stands for "no row before".
+    Columns must not be NULL: a NULL before stands for "no row before". ``last`` names a
+    column that tells whether a row is the last of its key.
     """
     step = Window.partitionBy(*o.parts).orderBy(*o.order)
     out = o.df.select("*", *[F.lag(c).over(step).alias(n) for n, c in values.items()])
+    if last:
+        out = out.withColumn(last, F.lead(F.lit(True)).over(step).isNull())
     if not o.chunked:
         return out
     lasts = o.df.groupBy(*o.parts).agg(
@@ -134,11 +138,15 @@ def previous_values(o: Ordered, values: Mapping[str, str]) -> DataFrame:
                  F.struct(*o.order)).alias("_last")
     )
     chunks = Window.partitionBy(*o.keys).orderBy(CHUNK)
-    carry = lasts.select(*o.parts, F.lag("_last").over(chunks).alias("_before"))
-    joined = _with_carry(out, carry.filter(F.col("_before").isNotNull()), o.parts)
+    carry = lasts.select(*o.parts, F.lag("_last").over(chunks).alias("_before"),
+                         F.lead(CHUNK).over(chunks).alias("_later"))
+    cut = F.col("_before").isNotNull() | F.col("_later").isNotNull()
+    joined = _with_carry(out, carry.filter(cut), o.parts)
     for n in values:
         joined = joined.withColumn(n, F.coalesce(F.col(n), F.col("_before")[n]))
-    return joined.drop(CHUNK, "_before")
+    if last:
+        joined = joined.withColumn(last, F.col(last) & F.col("_later").isNull())
+    return joined.drop(CHUNK, "_before", "_later")
 
 
 def numbered(

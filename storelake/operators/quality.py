@@ -87,43 +87,42 @@ def check_order_lines(df: DataFrame, lines: str) -> DataFrame:
     return df.filter(~order_lines_ok(lines))
 
 
-def row_rule_counts(df: DataFrame, table: str) -> DataFrame:
-    """Violations of every single-row rule of a table, counted in one pass."""
-    spec = TABLES[table]
-    rules: list[tuple[str, str, Column]] = [
-        *[("not_null", c, F.col(c).isNull()) for c in spec.required],
-        *[("domain", c, ~F.col(c).isin(list(v))) for c, v in spec.domains.items()],
-        *[("generated", c, r) for c, r in _generated_rules(table).items()],
-    ]
-    counts = df.agg(F.array(*[
-        F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                 F.lit(column).alias("column_name"),
-                 F.coalesce(F.sum(F.when(broken, 1).otherwise(0)), F.lit(0)).cast("long")
-                 .alias("violations"))
-        for rule, column, broken in rules]).alias("r"))
-    return counts.select(F.explode("r").alias("r")).select("r.*")
-
-
-def unique_counts(df: DataFrame, table: str) -> DataFrame:
-    """Number of repeated values per declared unique key."""
-    return _union(
-        _counted(check_unique(df, names), table, "unique", "+".join(names))
-        for names in TABLES[table].unique)
+def _marks(df: DataFrame, table: str, parents: Iterable[str]) -> DataFrame:
+    """What a table's rows tell about its rules: broken row rules, unique keys, references.
 
+    table_name, rule, column_name, parent (of references), key (as texts; null for row
+    rules), in one pass over the table.
+    """
+    spec = TABLES[table]
 
-def fk_counts(d: Mapping[str, DataFrame], table: str) -> DataFrame | None:
-    """Number of dangling references per declared foreign key."""
-    rules = [f for f in TABLES[table].foreign if f.parent in d]
-    return _union(
-        _counted(check_fk(d[table].select(f.column), f.column, d[f.parent]), table, "foreign",
-                 f.column)
-        for f in rules) if rules else None
+    def mark(rule: str, column: str, when: Column, names: Sequence[str] = (),
+             parent: str | None = None) -> Column:
+        key = F.array(*[F.col(c).cast("string") for c in names]) if names else F.lit(None)
+        return F.when(when, F.struct(
+            F.lit(rule).alias("rule"), F.lit(column).alias("column_name"),
+            F.lit(parent).cast("string").alias("parent"),
+            key.cast("array<string>").alias("key")))
+
+    marks = [
+        *[mark("not_null", c, F.col(c).isNull()) for c in spec.required],
+        *[mark("domain", c, ~F.col(c).isin(list(v))) for c, v in spec.domains.items()],
+        *[mark("generated", c, r) for c, r in _generated_rules(table).items()],
+        *[mark("unique", "+".join(names), reduce(and_, (F.col(c).isNotNull() for c in names)),
+               names) for names in spec.unique],
+        *[mark("foreign", f.column, F.col(f.column).isNotNull(), [f.column], f.parent)
+          for f in spec.foreign if f.parent in parents],
+    ]
+    return df.select(F.lit(table).alias("table_name"),
+                     F.explode(F.array_compact(F.array(*marks))).alias("m")).select(
+        "table_name", "m.*")
 
 
-def _counted(rows: DataFrame, table: str, rule: str, column: str) -> DataFrame:
-    return rows.agg(F.count("*").alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-        F.lit(column).alias("column_name"), "violations")
+def _rules(table: str, parents: Iterable[str]) -> list[tuple[str, str, str]]:
+    spec = TABLES[table]
+    return [(table, rule, column) for rule, columns in (
+        ("not_null", spec.required), ("domain", spec.domains), ("generated", spec.generated),
+        ("unique", ["+".join(names) for names in spec.unique]),
+        ("foreign", [f.column for f in spec.foreign if f.parent in parents])) for column in columns]
 
 
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
@@ -132,12 +131,29 @@ def _union(parts: Iterable[DataFrame]) -> DataFrame:
 
 def quality_report(d: Mapping[str, DataFrame], tables: Sequence[str] | None = None
                    ) -> DataFrame:
-    """Violations of every declared rule, one row per rule."""
+    """Violations of every declared rule, one row per rule.
+
+    Each table is read once for its rules and each parent once for all its children.
+    Equal marks are counted before they are shuffled, so a key that many rows refer to
+    is one row from there on.
+    """
     names = [n for n in (tables or TABLES) if n in d]
-    parts = []
-    for name in names:
-        parts += [row_rule_counts(d[name], name), unique_counts(d[name], name)]
-        references = fk_counts(d, name)
-        if references is not None:
-            parts.append(references)
-    return _union(parts)
+    counts = _union(_marks(d[n], n, d) for n in names).groupBy(
+        "table_name", "rule", "column_name", "parent", "key").agg(F.count("*").alias("n"))
+    parents = sorted({f.parent for n in names for f in TABLES[n].foreign if f.parent in d})
+    if parents:
+        known = _union(d[p].select(F.lit(p).alias("parent"), F.array(
+            F.col("id").cast("string")).alias("key")) for p in parents).distinct()
+        counts = counts.join(known.withColumn("found", F.lit(True)), ["parent", "key"], "left")
+    else:
+        counts = counts.withColumn("found", F.lit(None).cast("boolean"))
+    rule = F.col("rule")
+    broken = F.when(rule == "unique", (F.col("n") > 1).cast("long")).when(
+        (rule == "foreign") & F.col("found"), 0).otherwise(F.col("n"))
+    sums = counts.groupBy("table_name", "rule", "column_name").agg(
+        F.sum(broken).alias("violations"))
+    spark = counts.sparkSession
+    declared = spark.createDataFrame([r for n in names for r in _rules(n, d)],
+                                     "table_name string, rule string, column_name string")
+    return declared.join(sums, ["table_name", "rule", "column_name"], "left").withColumn(
+        "violations", F.coalesce("violations", F.lit(0)).cast("long"))

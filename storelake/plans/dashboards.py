@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelake.functions.predicates import at_or_below_reorder, branch_is, on_day
+from storelake.functions.predicates import at_or_below_reorder, branch_is
 from storelake.plans.reports import (
-    Frames, _branch_sales, _sold_per_product, completed, money_sum, total_procurement,
-    total_sales,
+    Frames, _branch_sales, _sold_per_product, completed, completed_on, money_sum,
+    total_procurement, total_sales,
 )
 from storelake.sources.schemas import TOTAL
 
@@ -83,7 +83,7 @@ def active_agents(d: Frames, branch_id: int | None) -> DataFrame:
 
 def agent_day_sales(d: Frames, date: str) -> DataFrame:
     """Completed sales of a day per agent, whatever the branch."""
-    return completed(d).filter(on_day("sale_date", date)).groupBy("sales_agent_id").agg(
+    return completed_on(d, date).groupBy("sales_agent_id").agg(
         F.sum("total_amount").alias("amount"), F.count("*").alias("n"))
 
 
@@ -101,9 +101,8 @@ def manager_cashier_summary(d: Frames, branch_id: int | None, date: str) -> Data
 
 def agent_daily_sales(d: Frames, agent_id: int, date: str) -> DataFrame:
     """One agent's total and count of a day."""
-    return completed(d).filter(
-        (F.col("sales_agent_id") == agent_id) & on_day("sale_date", date)
-    ).agg(money_sum("total_amount").alias("total"), F.count("*").alias("count"))
+    return completed_on(d, date).filter(F.col("sales_agent_id") == agent_id).agg(
+        money_sum("total_amount").alias("total"), F.count("*").alias("count"))
 
 
 def agent_sales_totals(d: Frames) -> DataFrame:

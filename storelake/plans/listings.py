@@ -18,6 +18,7 @@ from storelake.plans.reports import (
     with_procurement_names,
 )
 from storelake.sources.schemas import DATE, TOTAL
+from storelake.sources.tables import of_months
 
 
 def _agent_names(d: Frames) -> DataFrame:
@@ -49,7 +50,7 @@ def sale_history(d: Frames, role: str, user_id: int | None = None,
     references, so naming them after the cut returns the same rows.
     """
     agent = agent_id if role == "manager" else None
-    shown = d["sales"].filter(all_of([
+    shown = of_months(d, "sales", date_from, date_to).filter(all_of([
         scope_rows(role, user_id, branch_id),
         days_between("sale_date", date_from, date_to),
         optional_eq("sales_agent_id", agent),
@@ -151,7 +152,7 @@ def movement_history(d: Frames, branch_id: int | None, product_id: int | None =
 
     The product is a declared NOT NULL reference, so it is named after the cut.
     """
-    shown = d["inventory_movements"].filter(all_of([
+    shown = of_months(d, "inventory_movements", date_from, date_to).filter(all_of([
         branch_is("branch_id", branch_id),
         optional_eq("product_id", product_id),
         optional_eq("movement_type", movement_type),
@@ -379,7 +380,7 @@ def audit_log_search(d: Frames, user_id: int | None = None, module: str | None =
                      date_from: str | None = None, date_to: str | None = None,
                      n: int = 500, parity: bool = False) -> DataFrame:
     """Newest audit rows with user, display class and shortened details."""
-    shown = d["audit_logs"].filter(all_of([
+    shown = of_months(d, "audit_logs", date_from, date_to).filter(all_of([
         optional_eq("user_id", user_id), optional_eq("module", module),
         days_between("created_at", date_from, date_to),
     ])).orderBy(*_newest("created_at")).limit(n)

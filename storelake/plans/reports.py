@@ -13,6 +13,7 @@ from storelake.functions.predicates import (
 )
 from storelake.operators.ordered import ROWS_PER_CHUNK, numbered
 from storelake.sources.schemas import MONEY, TOTAL
+from storelake.sources.tables import of_months
 
 Frames = Mapping[str, DataFrame]
 
@@ -26,6 +27,12 @@ def completed(d: Frames) -> DataFrame:
     return d["sales"].filter(F.col("status") == "completed")
 
 
+def completed_on(d: Frames, date: str) -> DataFrame:
+    """Completed sales of a day."""
+    return of_months(d, "sales", date, date).filter(
+        (F.col("status") == "completed") & on_day("sale_date", date))
+
+
 def count_items(d: Frames, sales: DataFrame) -> DataFrame:
     """Item lines per sale, for the given sales only."""
     wanted = sales.select(F.col("id").alias("sale_id"))
@@ -35,8 +42,7 @@ def count_items(d: Frames, sales: DataFrame) -> DataFrame:
 
 def daily_sales_detail(d: Frames, date: str, branch_id: int | None = None) -> DataFrame:
     """Completed sales of a day with agent and number of item lines."""
-    sales = completed(d).filter(
-        on_day("sale_date", date) & optional_eq("branch_id", branch_id))
+    sales = completed_on(d, date).filter(optional_eq("branch_id", branch_id))
     agents = d["users"].select(F.col("id").alias("sales_agent_id"),
                                F.col("full_name").alias("agent_name"))
     return sales.join(agents, "sales_agent_id").join(
@@ -49,9 +55,8 @@ def daily_sales_detail(d: Frames, date: str, branch_id: int | None = None) -> Da
 
 def daily_sales_summary(d: Frames, date: str, branch_id: int | None = None) -> DataFrame:
     """Total and number of completed sales of a day."""
-    return completed(d).filter(
-        on_day("sale_date", date) & optional_eq("branch_id", branch_id)
-    ).agg(money_sum("total_amount").alias("total"), F.count("*").alias("count"))
+    return completed_on(d, date).filter(optional_eq("branch_id", branch_id)).agg(
+        money_sum("total_amount").alias("total"), F.count("*").alias("count"))
 
 
 def daily_sales_totals(d: Frames) -> DataFrame:

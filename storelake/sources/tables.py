@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelake.functions.predicates import all_of, is_blank
 from storelake.sources.schemas import (
     DEFAULT_BRANCH, DEFAULT_SETTINGS, PROCUREMENT_LINES, SALE_LINES, TABLES, enforce_schema,
 )
@@ -15,9 +16,11 @@ from storelake.sources.schemas import (
 class Tables(Mapping[str, DataFrame]):
     """Name -> DataFrame; a table is only analysed when it is first asked for."""
 
-    def __init__(self, builders: Mapping[str, Callable[[], DataFrame] | DataFrame]):
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame] | DataFrame],
+                 by_month: Mapping[str, Callable[[], DataFrame]] | None = None):
         self._builders = dict(builders)
         self._built: dict[str, DataFrame] = {}
+        self._by_month = dict(by_month or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -33,10 +36,31 @@ class Tables(Mapping[str, DataFrame]):
 
     def replacing(self, **tables: DataFrame) -> Tables:
         """The same set with some tables exchanged (the result of a posting)."""
-        return Tables({**self._builders, **self._built, **tables})
+        return Tables({**self._builders, **self._built, **tables},
+                      {n: b for n, b in self._by_month.items() if n not in tables})
 
+    def of_months(self, name: str, first: str | None, last: str | None) -> DataFrame:
+        """Rows of a table; if it is stored by month, only of the months of these days."""
+        bounds = []
+        if name in self._by_month:
+            if not is_blank(first):
+                bounds.append(F.col(MONTH) >= _month(F.lit(first).cast("date")))
+            if not is_blank(last):
+                bounds.append(F.col(MONTH) <= _month(F.lit(last).cast("date")))
+        return self._by_month[name]().filter(all_of(bounds)).drop(MONTH) if bounds else self[name]
 
-# Large tables are stored by month of this column, so date filters skip folders.
+
+def of_months(d: Mapping[str, DataFrame], name: str, first: str | None, last: str | None
+              ) -> DataFrame:
+    """A table for a query over some days, which are still to be filtered."""
+    return d.of_months(name, first, last) if isinstance(d, Tables) else d[name]
+
+
+def _month(column: Column | str) -> Column:
+    return F.date_format(column, "yyyy-MM")
+
+
+# Large tables are stored by month of this column; ``of_months`` skips folders.
 MONTHLY = {
     "sales": "sale_date",
     "procurements": "created_at",
@@ -53,8 +77,7 @@ def write_tables(d: Mapping[str, DataFrame], path: str, names: Iterable[str] | N
     for name in names or d:
         df = enforce_schema(d[name], name)
         if name in MONTHLY:
-            month = F.date_format(MONTHLY[name], "yyyy-MM")
-            df = df.withColumn(MONTH, month)
+            df = df.withColumn(MONTH, _month(MONTHLY[name]))
             # AQE splits a month that is too large for one writer task.
             df.hint("rebalance", MONTH).write.mode(mode).partitionBy(MONTH).parquet(
                 f"{path}/{name}")
@@ -68,10 +91,11 @@ def read_tables(spark: SparkSession, path: str, names: Iterable[str] | None = No
         schema = TABLES[name].struct
         if name in MONTHLY:
             schema = schema.add(MONTH, "string")
-        return spark.read.schema(schema).parquet(f"{path}/{name}").drop(MONTH)
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
 
-    return Tables({n: (lambda n=n: opened(n)) for n in names or TABLES
-                   if n != "password_resets"})
+    known = [n for n in names or TABLES if n != "password_resets"]
+    return Tables({n: (lambda n=n: opened(n).drop(MONTH)) for n in known},
+                  {n: (lambda n=n: opened(n)) for n in known if n in MONTHLY})
 
 
 def read_jdbc_table(spark: SparkSession, url: str, name: str, *, key: str = "id",

@@ -32,6 +32,9 @@ def test_row_numbers_and_previous(rows, limit):
     got = row_numbers(o, "n").select("k", "i", "n").join(
         previous_values(o, {"p": "v"}).select("k", "i", "p"), ["k", "i"])
     assert sorted((r.k, r.i, r.n, r.p) for r in got.collect()) == sorted(want)
+    final = previous_values(o, {"p": "v"}, last="z").filter("z").select("k", "i", "p")
+    ends = {k: (k, i, p) for k, i, _, p in want}
+    assert sorted(map(tuple, final.collect())) == sorted(ends.values())
 
 
 def test_probe_with_fewer_keys_is_an_upper_bound(rows):

@@ -2,6 +2,7 @@
 
 import pytest
 
+from storelake.operators import ledger, quality
 from storelake.plans import dashboards, listings, reports
 from storelake.sources.driver_tables import load
 from storelake.sources.tables import read_tables, write_tables
@@ -65,3 +66,36 @@ def test_stored_sales_are_pruned_by_month(spark, d, tmp_path):
     assert spark.read.parquet(f"{path}/sales").select("_month").distinct().count() > 12
     back = read_tables(spark, path, ["sales"])
     assert back["sales"].count() == d["sales"].count()
+    assert back["sales"].columns == d["sales"].columns
+    day = "1995-07-12"
+    for rows, want in (
+            (reports.daily_sales_summary(back, day), reports.daily_sales_summary(d, day)),
+            (dashboards.agent_day_sales(back, day), dashboards.agent_day_sales(d, day))):
+        assert "PartitionFilters: [isnotnull(_month" in plan(rows)
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stored_movements_and_audit_are_pruned_by_month(spark, d, tmp_path):
+    path = str(tmp_path / "tables")
+    names = ["inventory_movements", "audit_logs", "products", "users"]
+    write_tables(d, path, names)
+    back = read_tables(spark, path, names)
+    for query in (
+            lambda t: listings.movement_history(t, 3, date_from="1996-01-15",
+                                                date_to="1996-12-20"),
+            lambda t: listings.audit_log_search(t, date_from="2024-01-10")):
+        assert "PartitionFilters: [isnotnull(_month" in plan(query(back))
+        assert query(back).collect() == query(d).collect()
+
+
+def test_quality_report_reads_each_table_once(d):
+    names = ("users", "sales", "branches")
+    text = plan(quality.quality_report({n: d[n] for n in names}, names), "simple")
+    assert text.count("customer.parquet") == 2 and text.count("orders.parquet") == 1
+
+
+def test_ledger_is_read_once_for_its_consistency(spark, d):
+    moved = spark.createDataFrame([], d["inventory_movements"].schema)
+    stock = spark.createDataFrame([], d["branch_inventory"].schema)
+    text = plan(ledger.ledger_consistency(moved, stock), "simple")
+    assert text.count("Window") <= 2 and "Union" not in text
