@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelake.llm.text import Hasher, buffers, lowered, mix, powers, slices, spans_of_words
@@ -122,10 +122,11 @@ def signer(words: int, bands: int, size: int) -> Callable:
                 ends = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(i, j - i),
+                    batch.column("name").slice(i, j - i),
                     pa.array([x.tobytes() for x in node], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                              pa.array(keys[has].ravel(), pa.int64()))],
-                    ["doc_id", "node", "bands"])
+                    ["doc_id", "name", "node", "bands"])
     return run
 
 
@@ -245,23 +246,21 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
-                    rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, class_size and kept of every row.
+def text_name(text: Column) -> Column:
+    """SHA-256 of a text, null for a null one."""
+    return F.unhex(F.sha2(text, 256))
 
-    class_id is the smallest id in the row's class (null if all are null), and the row
-    with that id is the one kept; of rows with equal ids one. Texts without words (null
-    ones too) are one class. Rows are told apart by their text, so repeated rows and null
-    ids do no harm. Other columns are not read. An empty table gives an empty result.
-    Candidates of similarity s are found with probability 1 - (1 - s^rows)^bands: for
-    0.8 that is 0.9993, for 0.85 0.99999.
-    """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
+            rows: int = ROWS) -> DataFrame:
+    """doc_id, name (of the text) and root (of the class) of every row, written."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_name(F.col(text_col)).alias("name"),
+                        F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     signed = written(texts.mapInArrow(
-        signer(words, bands, rows), f"doc_id {id_type}, node binary, bands array<bigint>"),
-        "signatures")
+        signer(words, bands, rows),
+        f"doc_id {id_type}, name binary, node binary, bands array<bigint>"), "signatures")
     members = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"),
                                          F.first("bands").alias("bands"))
     spread = written(members.select("node", F.explode("bands").alias("band")), "band-rows")
@@ -307,8 +306,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(written(verified(pairs, sets, similarity), "links"))
     roots = written(components(links), "roots")
 
-    labelled = _rooted(signed.select("doc_id", "node"), roots)
-    labelled = written(labelled.select("doc_id", "root"), "labelled")
+    labelled = _rooted(signed.select("doc_id", "name", "node"), roots)
+    return written(labelled.select("doc_id", "name", "root"), "labelled")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    **options: object) -> DataFrame:
+    """doc_id, class_id, class_size and kept of every row.
+
+    class_id is the smallest id in the row's class (null if all are null), and the row
+    with that id is the one kept; of rows with equal ids one. Texts without words (null
+    ones too) are one class. Rows are told apart by their text, so repeated rows and null
+    ids do no harm. Other columns are not read. An empty table gives an empty result.
+    Candidates of similarity s are found with probability 1 - (1 - s^rows)^bands: for
+    0.8 that is 0.9993, for 0.85 0.99999. ``options``: words, similarity, bands, rows.
+    """
+    labelled = classed(docs, id_col, text_col, **options)
     classes = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"),
                                            F.count("*").alias("class_size"))
     same_id = labelled.groupBy("root", "doc_id").agg(F.count("*").alias("copies"))
@@ -321,8 +334,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          **options: object) -> DataFrame:
-    """The rows that are kept, with all their columns; ids are taken to be unique."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(
-        F.col("doc_id").alias("gone_id"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"))
-    return rows.join(gone, F.expr("row_id <=> gone_id"), "left_anti").select("row.*")
+    """One row of each class, with all its columns: one with the smallest id (null last).
+
+    Rows are known by id and text, so repeated or null ids lose no other text. Of rows
+    equal in both any one is kept.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name"))
+    kept = classed(docs, id_col, text_col, **options).groupBy("root").agg(
+        first.alias("first")).select(F.struct("first.doc_id", "first.name").alias("kept_key"))
+    # Structs are equal if their fields are, nulls too.
+    rows = docs.select(F.struct("*").alias("row"), F.struct(
+        F.col(id_col).alias("doc_id"), text_name(F.col(text_col)).alias("name")).alias("row_key"))
+    rows = rows.groupBy("row_key").agg(F.first("row").alias("row"))
+    return rows.join(kept, F.expr("row_key = kept_key"), "left_semi").select("row.*")

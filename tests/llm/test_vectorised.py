@@ -229,6 +229,21 @@ def test_near_duplicates_against_brute_force(spark, odd, nothing):
     assert near_dups.near_duplicates(nothing).collect() == []
 
 
+def test_one_row_of_each_near_class_stays(spark, odd):
+    rows = near_dups.drop_near_duplicates(odd).select("doc_id", "text").collect()
+    texts = {r[0]: r[1] for r in ODD if r[0]}
+    assert sorted(map(tuple, rows)) == [(i, texts[i]) for i in (1, 2, 5, 6)]
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(3, words[0]), (3, words[0]), (None, words[0] + " x"), (None, words[1]),
+            (None, words[2]), (None, words[2].upper()), (8, words[3]), (8, words[4] + " y"),
+            (4, words[4]), (9, words[5]), (9, words[5].replace(" ", "  "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dups.drop_near_duplicates(docs).collect()
+    found = Counter((r["doc_id"], " ".join(r["text"].lower().split())) for r in kept)
+    assert found == Counter([(3, words[0]), (None, words[1]), (None, words[2]), (8, words[3]),
+                             (4, words[4]), (9, words[5])])
+
+
 def test_leftover_pairs_lose_no_link(spark):
     rng = random.Random(8)
     base = list(range(1, 61))
