@@ -4,9 +4,12 @@ A text is its runs of five words, each weighted by 1 + ln(count). For every run,
 of a Poisson process of the run's weight arrive at random registers; a register keeps
 the earliest arrival of all runs, and a run stops as soon as its next arrival would be
 later than every register's. Two texts agree in a register with the probability Jaccard
-similarity of their weighted runs. Texts that agree in all registers of a band are
-candidates; a candidate pair counts if the Jaccard similarity of the two sets of runs,
-taken exactly, is high enough. Classes are the connected components of such pairs.
+similarity of their weighted runs. The same arrivals with all weights 1 give registers
+that agree with the Jaccard similarity of the two sets of runs; a text in which no run
+repeats has the same ones either way. Texts that agree in all registers of a band, of
+either kind, are candidates; a candidate pair counts if the Jaccard similarity of the two
+sets of runs, taken exactly, is high enough. Classes are the connected components of such
+pairs.
 
 Texts of the same words are one node from the start. Within a bucket of a band not all
 pairs are made: first every node is compared with the most central node it shares a
@@ -109,6 +112,30 @@ def band_keys(signature: np.ndarray, bands: int, size: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64) * PLACES[30]).astype(np.int64)
 
 
+def keys_of(row: np.ndarray, run: np.ndarray, count: np.ndarray, rows: int, bands: int,
+            size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of all rows in turn, and where each row's begin (one more entry than rows).
+
+    Keys by sets of runs, then those by weighted runs that are others: pairs are verified by
+    their sets, and repeated runs can bring the weighted similarity far below that.
+    """
+    keys = np.zeros((rows, 2, bands), np.int64)
+    use = np.zeros((rows, 2, bands), bool)
+    keys[:, 0] = band_keys(registers(row, run, np.ones(len(run)), rows, bands * size),
+                           bands, size)
+    use[row, 0] = True
+    again = np.zeros(rows, bool)
+    again[row[count > 1]] = True
+    if again.any():
+        own = again[row]
+        place = np.cumsum(again) - 1
+        signature = registers(place[row[own]], run[own], 1 + np.log(count[own]),
+                              int(again.sum()), bands * size)
+        keys[again, 1] = band_keys(signature, bands, size)
+        use[again, 1] = keys[again, 1] != keys[again, 0]
+    return keys[use], np.concatenate([[0], np.cumsum(use.sum((1, 2)))])
+
+
 def signer(words: int, bands: int, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,16 +143,13 @@ def signer(words: int, bands: int, size: int) -> Callable:
             for i, j in slices(offsets, 4 << 20):
                 row, runs, count, node = runs_of(data[offsets[i]:offsets[j]],
                                                  offsets[i:j + 1] - offsets[i], words)
-                signature = registers(row, runs, 1 + np.log(count), j - i, bands * size)
-                keys = band_keys(signature, bands, size)
-                has = np.bincount(row, minlength=j - i) > 0
-                ends = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))])
+                keys, ends = keys_of(row, runs, count, j - i, bands, size)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(i, j - i),
                     batch.column("name").slice(i, j - i),
                     pa.array([x.tobytes() for x in node], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                             pa.array(keys[has].ravel(), pa.int64()))],
+                                             pa.array(keys, pa.int64()))],
                     ["doc_id", "name", "node", "bands"])
     return run
 
@@ -318,8 +342,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with that id is the one kept; of rows with equal ids one. Texts without words (null
     ones too) are one class. Rows are told apart by their text, so repeated rows and null
     ids do no harm. Other columns are not read. An empty table gives an empty result.
-    Candidates of similarity s are found with probability 1 - (1 - s^rows)^bands: for
-    0.8 that is 0.9993, for 0.85 0.99999. ``options``: words, similarity, bands, rows.
+    Pairs whose sets of runs have similarity s are candidates with a probability of at least
+    1 - (1 - s^rows)^bands, however often runs repeat: for 0.8 that is 0.9993, for 0.85
+    0.99999. ``options``: words, similarity, bands, rows.
     """
     labelled = classed(docs, id_col, text_col, **options)
     classes = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"),

@@ -180,6 +180,35 @@ def test_registers_estimate_the_probability_jaccard():
     assert (signs[0] == signs[1]).mean() == pytest.approx(probability_jaccard(a, b), abs=0.03)
 
 
+def test_repeated_lines_hide_no_candidates():
+    rng = random.Random(11)
+    pairs, found = 60, 0
+    for i in range(pairs):
+        base = [f"p{i}w{rng.randrange(10 ** 6)}" for _ in range(200)]
+        line = [f"p{i}l{j}" for j in range(40)]
+        data, offsets = text.buffers(pa.array([" ".join(base), " ".join(base + line * 40), ""]))
+        row, run, count, _ = near_dups.runs_of(data, offsets, 5)
+        a, b = set(run[row == 0]), set(run[row == 1])
+        assert len(a & b) >= 0.8 * len(a | b) and count.max() >= 39
+        keys, ends = near_dups.keys_of(row, run, count, 3, 24, 6)
+        a, b, none = (keys[x:y].tolist() for x, y in zip(ends, ends[1:], strict=False))
+        assert len(a) == len({*a}) == 24 and 24 < len(b) == len({*b}) <= 48 and none == []
+        found += bool({*a} & {*b})
+    assert found >= pairs - 1
+
+
+def test_near_duplicates_with_repeated_lines(spark):
+    rng = random.Random(12)
+    texts = {}
+    for i in range(12):
+        base = [f"p{i}w{rng.randrange(10 ** 6)}" for _ in range(200)]
+        texts[2 * i] = " ".join(base)
+        texts[2 * i + 1] = " ".join(base + [f"p{i}l{j}" for j in range(40)] * 40)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = near_dups.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == brute_classes(texts)
+
+
 def brute_classes(texts, least=0.8):
     def runs(content):
         words = (content or "").lower().split()
