@@ -54,15 +54,14 @@ def read_daily_totals(spark: SparkSession, folder: str) -> DataFrame:
 def start_audit_ingest(events: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Append audit events to the trail by day, each id once, however late it comes.
 
-    A batch leaves out the ids that earlier batches stored for the days it touches. A
-    batch that is run again overwrites its own rows.
+    A batch leaves out the ids that earlier batches stored, under whatever day; for that
+    it reads the ids of the whole trail. A batch that is run again overwrites its own rows.
     """
     def store(rows: DataFrame, batch: int) -> None:
         fresh = rows.dropDuplicates(["id"]).withColumn("day", F.to_date("created_at"))
         if batch > 0:
-            days = [r["day"] for r in fresh.select("day").distinct().collect()]
             stored = _trail(rows.sparkSession, folder, fresh.schema).filter(
-                (F.col("batch") < batch) & F.col("day").isin(days))
+                F.col("batch") < batch)
             fresh = fresh.join(stored.select("id"), "id", "left_anti")
         fresh.write.mode("overwrite").partitionBy("day").parquet(
             f"{folder}/trail/batch={batch}")

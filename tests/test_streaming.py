@@ -95,6 +95,18 @@ def test_late_audit_rows_are_kept(spark, tmp_path):
     assert sorted(got) == sorted(r["id"] for r in audit.select("id").collect())
 
 
+def test_audit_ids_come_once_whatever_their_day(spark, tmp_path):
+    schema = "id long, created_at timestamp_ntz"
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, START), (2, None)],
+                 [(1, START + timedelta(days=3)), (2, None), (3, None), (4, START)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
+        flow = spark.readStream.schema(schema).parquet(inbox)
+        streams.start_audit_ingest(flow, out).awaitTermination()
+    got = [r["id"] for r in streams.read_audit_trail(spark, out).collect()]
+    assert sorted(got) == [1, 2, 3, 4]
+
+
 def test_daily_sales_in_another_time_zone(spark, tmp_path):
     d = load(spark, FOLDER)
     zone = spark.conf.get("spark.sql.session.timeZone")
