@@ -2,7 +2,9 @@
 
 Each micro-batch is posted as a whole: its events are judged in time order
 against the stock left by the batches before it. Events that arrive in a later
-batch are judged then, even if they carry an earlier time.
+batch are judged then, even if they carry an earlier time. An event with a line that
+fails whatever the stock is (as in the batch form; the stream carries no prices, notes or
+payments to check) is rejected before the others are judged.
 
 The state is a folder, not a keyed store, so a busy branch or product is spread
 over tasks like any other rows:
@@ -23,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from storelake.functions.labels import alert_type
 from storelake.operators.admission import (
-    EVENT, decide, new_inventory, with_balances,
+    ADJUSTMENT, EVENT, PROCUREMENT, SALE, decide, new_inventory, with_balances,
 )
 from storelake.operators.ordered import ROWS_PER_CHUNK
 from storelake.operators.posting import kind_name
@@ -63,10 +65,27 @@ class StockStream:
             stock = new_inventory(stock, spark.read.schema(MOVED).parquet(*since))
         return stock
 
+    def invalid(self, lines: DataFrame) -> DataFrame:
+        """Events with a line that fails whatever the stock is."""
+        known = self.products.select(F.col("id").alias("product_id"),
+                                     F.lit(True).alias("known")).distinct()
+        kind, change = F.col("kind"), F.col("change")
+        bad = (F.col("branch_id").isNull() | kind.isNull() | F.col("product_id").isNull()
+               | change.isNull() | F.col("known").isNull()
+               | ~kind.isin(SALE, PROCUREMENT, ADJUSTMENT)
+               | ((kind == PROCUREMENT) & (change == 0)))
+        if not self.parity:
+            bad = bad | ((kind == SALE) & (change >= 0))
+        return lines.join(known, "product_id", "left").groupBy(*EVENT).agg(
+            F.max(bad).alias("bad")).filter("bad").select(*EVENT)
+
     def post(self, lines: DataFrame, batch: int) -> None:
         """Judge one batch and write what it changes."""
         fields = [c.split() for c in STOCK_LINES.split(", ")]
         lines = written(lines.select(*[F.col(c).cast(kind).alias(c) for c, kind in fields]))
+        invalid = written(self.invalid(lines))
+        same = [F.col(f"line.{c}").eqNullSafe(F.col(f"gone.{c}")) for c in EVENT]
+        lines = written(lines.alias("line").join(invalid.alias("gone"), same, "left_anti"))
         stock = written(self.stock_before(batch))
         verdicts = written(
             decide(lines, stock, self.parity, self.rows_per_chunk))
@@ -74,8 +93,8 @@ class StockStream:
             with_balances(lines, verdicts, stock, self.rows_per_chunk, lines))
         moved = judged.filter(F.col("accepted"))
         self._write(moved, f"movements/batch={batch}")
-        self._write(judged.filter(~F.col("accepted")).select(*EVENT).distinct(),
-                    f"rejections/batch={batch}")
+        self._write(judged.filter(~F.col("accepted")).select(*EVENT).distinct()
+                    .unionByName(invalid), f"rejections/batch={batch}")
         self._write(low_stock_crossings(moved, self.products), f"alerts/batch={batch}")
         if (batch + 1) % self.every == 0:
             self._write(new_inventory(stock, moved), f"stock/upto={batch}")

@@ -167,6 +167,26 @@ def test_stock_stream(spark, tmp_path, lines):
     assert stream.alerts().count() == len(crossings)
 
 
+def test_stock_stream_rejects_invalid_lines(spark, tmp_path):
+    products = spark.createDataFrame([(1, "a", 3), (2, "b", 3)],
+                                     "id long, product_name string, reorder_level int")
+    opening = spark.createDataFrame([(1, 1, 50, START), (1, 2, 50, START)], STOCK)
+    events = [(1, SALE, 1, [(1, -5), (2, -5)]), (1, SALE, 2, [(1, -5), (2, 4)]),
+              (1, SALE, 3, [(1, -5), (9, -1)]), (1, SALE, 4, [(1, None)]),
+              (1, PROCUREMENT, 5, [(2, 0)]), (1, PROCUREMENT, 6, [(9, 4)]),
+              (None, SALE, 7, [(1, -1)]), (1, ADJUSTMENT, 8, [(None, 1)]),
+              (1, PROCUREMENT, 9, [(2, 7)]), (1, ADJUSTMENT, 10, [(1, -2)]),
+              (1, None, 11, [(1, -1)])]
+    rows = [(branch, START + timedelta(minutes=e), kind, e, n, product, change)
+            for branch, kind, e, own in events for n, (product, change) in enumerate(own)]
+    stream = StockStream(str(tmp_path / "state"), opening, products)
+    stream.post(spark.createDataFrame(rows, STOCK_LINES), 0)
+    assert sorted(r.event_id for r in stream.movements().collect()) == [1, 1, 9, 10]
+    assert sorted(r.event_id for r in stream.rejections().collect()) == [2, 3, 4, 5, 6, 7, 8, 11]
+    stock = {r.product_id: r.quantity_available for r in stream.stock_before(1).collect()}
+    assert stock == {1: 43, 2: 52}
+
+
 def test_stock_stream_reads_files(spark, tmp_path, lines):
     rows = spark.createDataFrame(lines, STOCK_LINES)
     # The lines of one event arrive together.
