@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from storelake.llm import fingerprint, near_dups, quality, segmentation, text, toxicity, warc
 from storelake.llm.queries import MODEL_FILE
@@ -319,6 +320,14 @@ def test_toxicity_on_held_out_texts(spark, odd, nothing):
     assert {r["toxicity"] for r in toxicity.score(odd, flat).collect()} == {0.5}
 
 
+def test_sample_of_either_label(spark):
+    docs = spark.range(4400).selectExpr("id as doc_id", "concat('w', id) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    rows, prior = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", F.lit(True),
+                                           toxicity.SAMPLE_OF_LABEL, toxicity.LONGEST_SAMPLE)
+    assert Counter(r["label"] for r in rows) == {0: 2000, 1: 2000} and prior == 0.5
+
+
 def test_whole_texts_are_scored():
     network = toxicity.constant(0.5)
     network.tables[0][0][:] = -1
