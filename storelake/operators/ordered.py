@@ -149,13 +149,55 @@ def previous_values(o: Ordered, values: Mapping[str, str], last: str | None = No
     return joined.drop(CHUNK, "_before", "_later")
 
 
+def dense_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
+                  ) -> tuple[DataFrame, DataFrame]:
+    """Number the rows of each key 1, 2, ... in order; also the rows of each key, as n.
+
+    Two phases at every size, and no task has a whole key: the rows are dealt into ranges
+    of (keys, order) and counted for each range, then each range numbers its own after
+    those of the ranges before. Rows are written with their range, so a lost executor
+    cannot change it. NULLs come first and are a key like others.
+    """
+    keys, order = list(keys), list(order)
+    ranged = df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id())
+    chunks = written(ranged, "ranges")
+    sizes = chunks.groupBy(*keys, CHUNK).agg(F.count("*").alias("_rows"))
+    if keys:
+        sizes = written(sizes, "range-sizes")
+        earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(
+            Window.unboundedPreceding, -1)
+        before = sizes.select(*keys, CHUNK, F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+                              .alias("_before"))
+        counts = sizes.groupBy(*keys).agg(F.sum("_rows").alias("n"))
+    else:
+        # One row for each range: there are as many as the shuffle has partitions.
+        rows = sorted(sizes.collect(), key=lambda r: r[CHUNK])
+        sums = [0]
+        for r in rows:
+            sums.append(sums[-1] + r["_rows"])
+        spark = df.sparkSession
+        before = spark.createDataFrame([(r[CHUNK], s) for r, s in zip(rows, sums)],
+                                       f"{CHUNK} int, _before long")
+        counts = spark.createDataFrame([(sums[-1],)], "n long")
+    within = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    placed = chunks.withColumn(name, F.row_number().over(within).cast("long"))
+    out = _with_carry(placed, before, [*keys, CHUNK])
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop(CHUNK, "_before"), counts
+
+
 def numbered(
     df: DataFrame,
     order: Sequence[str],
     name: str,
     start: int = 0,
-    rows_per_chunk: int | None = ROWS_PER_CHUNK,
+    small: bool = False,
 ) -> DataFrame:
-    """Number all rows ``start + 1``, ``start + 2``, ... in order."""
-    out = row_numbers(in_order(df, [], order, rows_per_chunk), name)
+    """Number all rows ``start + 1``, ``start + 2``, ... in order.
+
+    ``small`` is for callers whose rows are bounded, such as a report's first ten.
+    """
+    if small:
+        out = row_numbers(Ordered(df, (), tuple(order), False), name)
+    else:
+        out = dense_numbers(df, [], order, name)[0]
     return out.withColumn(name, F.col(name) + F.lit(start).cast("long")) if start else out

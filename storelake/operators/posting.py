@@ -93,8 +93,7 @@ def post_events(
 
     verdicts = decide(of_events(lines, reason.isNull()), inventory, parity, rows_per_chunk,
                       finish_rows)
-    placed = numbered(lines, ["branch_id", *LINE_ORDER], "number", first_id - 1,
-                      rows_per_chunk)
+    placed = numbered(lines, ["branch_id", *LINE_ORDER], "number", first_id - 1)
     # An underpaid basket is never accepted, but the stock it met is of interest.
     sound = of_events(placed, reason.isNull() | (reason == "underpaid"))
     posted = written(with_balances(sound, verdicts, inventory, rows_per_chunk, lines))

@@ -11,7 +11,7 @@ from storelake.functions.labels import export_status, report_status
 from storelake.functions.predicates import (
     all_of, branch_is, days_between, is_blank, on_day, optional_eq,
 )
-from storelake.operators.ordered import ROWS_PER_CHUNK, numbered
+from storelake.operators.ordered import numbered
 from storelake.sources.schemas import MONEY, TOTAL
 from storelake.sources.tables import of_months
 
@@ -151,13 +151,11 @@ def company_branch_performance(d: Frames) -> DataFrame:
     ).orderBy(F.desc("total_sales"), "branch_id")
 
 
-def ranked_branch_performance(d: Frames, rows_per_chunk: int | None = ROWS_PER_CHUNK
-                              ) -> DataFrame:
+def ranked_branch_performance(d: Frames) -> DataFrame:
     """Branch performance with its position and a medal for the first three."""
     rows = company_branch_performance(d).withColumn("_down", -F.col("total_sales"))
     rank = F.col("rank")
-    return numbered(rows, ["_down", "branch_id"], "rank",
-                    rows_per_chunk=rows_per_chunk).drop("_down").withColumn(
+    return numbered(rows, ["_down", "branch_id"], "rank").drop("_down").withColumn(
         "medal", F.when(rank == 1, "gold").when(rank == 2, "silver")
                   .when(rank == 3, "bronze")
     ).orderBy("rank")
@@ -186,7 +184,7 @@ def ranked_top_products(d: Frames, n: int = 10) -> DataFrame:
     """The top products with their position."""
     rows = company_top_products(d, n).withColumn("_down", -F.col("revenue"))
     # At most n rows are left, so one task numbers them.
-    return numbered(rows, ["_down", "product_id"], "rank", rows_per_chunk=None).drop("_down")
+    return numbered(rows, ["_down", "product_id"], "rank", small=True).drop("_down")
 
 
 def company_top_categories(d: Frames, n: int = 5) -> DataFrame:

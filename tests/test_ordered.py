@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from storelake.operators.ledger import ledger_consistency, running_balance
-from storelake.operators.ordered import in_order, numbered, previous_values, row_numbers
+from storelake.operators.ordered import (
+    dense_numbers, in_order, numbered, previous_values, row_numbers,
+)
 
 
 @pytest.fixture(scope="module")
@@ -43,13 +45,31 @@ def test_probe_with_fewer_keys_is_an_upper_bound(rows):
     assert in_order(rows, ["k", "t"], ["i"], 300, probe).chunked is True
 
 
-@pytest.mark.parametrize("limit", [40, 10_000])
-def test_numbers_over_all_rows(rows, limit):
-    got = numbered(rows, ["t", "i"], "n", start=10, rows_per_chunk=limit).orderBy("n").collect()
+@pytest.mark.parametrize("small", [True, False])
+def test_numbers_over_all_rows(rows, small):
+    got = numbered(rows, ["t", "i"], "n", start=10, small=small).orderBy("n").collect()
     assert [r.n for r in got] == list(range(11, 611))
     assert [(r.t, r.i) for r in got] == sorted((r.t, r.i) for r in got)
 
 
+def test_dense_numbers_of_keys_with_nulls(spark):
+    data = [(k, i % 7, i) for i in range(300) for k in (None, "a", "b")[:1 + i % 3]]
+    rows = spark.createDataFrame(data, "k string, t int, i int").repartition(4)
+    got, counts = dense_numbers(rows, ["k"], ["t", "i"], "n")
+    want = {}
+    for k, t, i in data:
+        want.setdefault(k, []).append((t, i))
+    assert {(r.k, r.n): (r.t, r.i) for r in got.collect()} == {
+        (k, n): at for k, places in want.items() for n, at in enumerate(sorted(places), 1)}
+    assert {r.k: r.n for r in counts.collect()} == {k: len(p) for k, p in want.items()}
+
+
+def test_numbering_has_no_task_for_all_rows(rows):
+    plan = numbered(rows, ["t", "i"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert dense_numbers(rows.limit(0), [], ["i"], "n")[0].count() == 0
+
+
 @pytest.mark.parametrize("limit", [30, 10_000])
 def test_ledger_identity(rows, limit):
     ledger = rows.select(
