@@ -21,25 +21,51 @@ from storelake.session import written
 BLOCK_BYTES = 4096
 BUCKETS = 1024
 HASH_BITS = 64
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ASCII, OTHERS = r"[\x00-\x7F]", r"[^\x00-\x7F]"
 
 
 def normalised(text: Column) -> Column:
     """A to Z in lower case, nothing else changed; null counts as empty.
 
-    ``lower`` does the same for ASCII texts, and faster.
+    ``lower`` does that for texts of which it changes nothing beyond ASCII. Of the others
+    the stretches of ASCII are changed alone.
     """
     text = F.coalesce(text, F.lit(""))
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
-        F.translate(text, UPPER, LOWER))
+    beyond = F.regexp_replace(text, f"{ASCII}+", "")
+    parts = F.split(text, f"(?<={ASCII})(?={OTHERS})|(?<={OTHERS})(?={ASCII})", -1)
+    spared = F.array_join(F.transform(parts, lambda p: F.when(
+        p.rlike(f"^{OTHERS}"), p).otherwise(F.lower(p))), "")
+    return F.when((F.octet_length(text) == F.char_length(text)) | (F.lower(beyond) == beyond),
+                  F.lower(text)).otherwise(spared)
 
 
-def blocks_of(text: Column, block_bytes: int) -> Column:
-    """The UTF-8 bytes of a text in blocks; an empty text has one empty block."""
-    data = F.encode(text, "UTF-8")
-    last = F.greatest(F.ceil(F.octet_length(text) / block_bytes) - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.substring(
-        data, i * block_bytes + 1, F.lit(block_bytes)))
+def raw_digest(text: Column) -> Column:
+    """Digest of the text as it is; that of an empty text for a null one."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def cut(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, bits: int) -> DataFrame:
+    """Every block of every text, written: row, at (its number), blocks_left (of the text),
+    hash and block. The first block's row also has doc_id, raw_sha256 and text_sha256.
+
+    The bytes of a text are a column before the blocks' numbers are exploded, so a text is
+    normalised once, and each block is cut from bytes that are there: linear in the text.
+    An empty text has one empty block.
+    """
+    data = F.col("data")
+    whole = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+        raw_digest(F.col(text_col)).alias("raw_sha256"),
+        F.encode(normalised(F.col(text_col)), "UTF-8").alias("data"))
+    count = F.greatest(F.ceil(F.octet_length(data) / block_bytes), F.lit(1)).cast("int")
+    numbered = whole.select("row", "doc_id", "raw_sha256", F.sha2(data, 256).alias("text_sha256"),
+                            "data", count.alias("blocks_left")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("blocks_left") - 1)).alias("at"))
+    block = F.substring(data, F.col("at") * block_bytes + 1, F.lit(block_bytes))
+    first = F.col("at") == 0
+    rows = numbered.select("row", "at", "blocks_left", block.alias("block"), *[
+        F.when(first, F.col(c)).alias(c) for c in ("doc_id", "raw_sha256", "text_sha256")])
+    return written(rows.withColumn("hash", block_hash(F.col("block"), bits)), "blocks")
 
 
 def block_hash(block: Column, bits: int) -> Column:
@@ -56,42 +82,35 @@ def name_distinct(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
                 + F.col("bucket")).alias("name"))
 
 
-def block_ranks(docs: DataFrame, text_col: str, block_bytes: int, bits: int
-                ) -> DataFrame | None:
-    """Rank of every block among the different blocks of one hash; None if all are alone."""
-    distinct = docs.select(F.explode(blocks_of(normalised(F.col(text_col)), block_bytes))
-                           .alias("block")).select(
-        block_hash(F.col("block"), bits).alias("hash"), "block").distinct()
-    shared = written(distinct.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"),
-                     "shared-hashes")
-    if shared.isEmpty():
+def block_ranks(blocks: DataFrame) -> DataFrame | None:
+    """Rank of every block among the different blocks of one hash; None if all are alone.
+
+    Only blocks whose hash occurs more than once are compared.
+    """
+    shared = written(blocks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+                     .select("hash"), "shared-hashes")
+    distinct = blocks.select("hash", "block").join(shared, "hash", "left_semi").distinct()
+    torn = written(distinct.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+                   .select("hash"), "torn-hashes")
+    if torn.isEmpty():
         return None
-    return written(distinct.join(shared, "hash", "left_semi").withColumn(
+    return written(distinct.join(torn, "hash", "left_semi").withColumn(
         "rank", F.row_number().over(Window.partitionBy("hash").orderBy("block"))), "block-ranks")
 
 
 def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES,
                buckets: int = BUCKETS, bits: int = HASH_BITS) -> DataFrame:
-    """doc_id, text_sha256, levels and name of every row; equal texts have equal ones."""
-    text = normalised(F.col(text_col))
-    ranks = block_ranks(docs, text_col, block_bytes, bits)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
-        F.sha2(text, 256).alias("text_sha256"), blocks_of(text, block_bytes).alias("blocks"))
-    if ranks is None:
-        rows = rows.withColumn("blocks", F.transform("blocks", lambda b: block_hash(b, bits)))
-    rows = rows.select(
-        "row", F.size("blocks").alias("blocks_left"), F.posexplode("blocks").alias("at", "block"),
-        "doc_id", "text_sha256")
-    first = F.col("at") == 0  # the long columns once for each row
-    rows = rows.withColumn("doc_id", F.when(first, F.col("doc_id"))).withColumn(
-        "text_sha256", F.when(first, F.col("text_sha256")))
-    if ranks is None:
-        rows = rows.withColumnRenamed("block", "hash").withColumn("rank", F.lit(0))
-    else:
-        rows = rows.withColumn("hash", block_hash(F.col("block"), bits)).join(
+    """row, doc_id, raw_sha256, text_sha256, levels and name of every row.
+
+    Equal texts, and only they, have the same levels and name.
+    """
+    blocks = cut(docs, id_col, text_col, block_bytes, bits)
+    ranks = block_ranks(blocks)
+    rows = blocks.select("row", "at", "blocks_left", "hash", F.lit(0).alias("rank"))
+    if ranks is not None:
+        rows = blocks.select("row", "at", "blocks_left", "hash", "block").join(
             ranks, ["hash", "block"], "left").fillna(0, "rank").drop("block")
-    rows = written(rows, "blocks")
+        rows = written(rows, "ranked-blocks")
     keys, levels = ["hash", "rank"], []
     named = written(rows.select("row", "at", "blocks_left", *keys).join(
         name_distinct(rows, keys, buckets), keys).drop(*keys), "names")
@@ -112,7 +131,21 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = B
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
-    return rows.filter("at = 0").select("row", "doc_id", "text_sha256").join(found, "row")
+    return blocks.filter("at = 0").select("row", "doc_id", "raw_sha256", "text_sha256").join(
+        found, "row")
+
+
+def verdicts(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, buckets: int,
+             bits: int) -> DataFrame:
+    """What exact_duplicates gives, and raw_sha256."""
+    rows = written(identities(docs, id_col, text_col, block_bytes, buckets, bits), "identities")
+    same = ["levels", "name"]
+    groups = rows.groupBy(*same).agg(
+        F.max(F.struct("doc_id", "raw_sha256", "row")).alias("keeper"),
+        F.count("*").alias("group_size"))
+    return rows.join(groups, same).select(
+        "doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size",
+        (F.col("row") == F.col("keeper.row")).alias("kept"), "text_sha256", "raw_sha256")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -122,36 +155,32 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when they are identical after lower-casing A to Z; null counts as
     empty. Of equal texts the row with the largest id stays (keep_id). Null ids are
-    smaller than all others; a group of null ids alone has a null keep_id. Of rows equal
-    in id and text one stays. Other columns are not read. An empty table gives an empty
-    result. ``bits``: of the block hash; fewer make shared hashes frequent, the result
-    is the same.
+    smaller than all others; a group of null ids alone has a null keep_id. Of rows of one
+    id the one whose text as it is has the largest digest stays, of repeated rows any one.
+    Other columns are not read. An empty table gives an empty result. ``bits``: of the
+    block hash; fewer make shared hashes frequent, the result is the same.
     """
-    rows = written(identities(docs, id_col, text_col, block_bytes, buckets, bits), "identities")
-    same = ["levels", "name"]
-    groups = rows.groupBy(*same).agg(F.max("doc_id").alias("keep_id"),
-                                     F.count("*").alias("group_size"))
-    again = F.row_number().over(Window.partitionBy(*same, "doc_id").orderBy("row"))
-    return rows.withColumn("again", again).join(groups, same).select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1)).alias("kept"),
-        "text_sha256")
+    return verdicts(docs, id_col, text_col, block_bytes, buckets, bits).drop("raw_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                           ) -> DataFrame:
     """The rows that stay, with all their columns.
 
-    Ids are taken to be unique but for repeated rows, of which one stays.
+    Rows are known by id and text as it is. Of rows equal in both the first one in the
+    order of all their columns stays.
     """
-    verdicts = exact_duplicates(docs, id_col, text_col)
-    kept = verdicts.filter("kept").select(F.col("doc_id").alias("kept_id"),
-                                          F.col("text_sha256").alias("kept_sha256"))
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    number = Window.partitionBy("row_id", "row_sha256").orderBy("row_size")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"),
-                       sha.alias("row_sha256"), F.octet_length(F.coalesce(
-                           F.col(text_col), F.lit(""))).alias("row_size"))
-    return rows.join(kept, F.expr("row_id <=> kept_id and row_sha256 = kept_sha256"),
-                     "left_semi").withColumn("number", F.row_number().over(number)).filter(
-        "number = 1").select("row.*")
+    found = verdicts(docs, id_col, text_col, BLOCK_BYTES, BUCKETS, HASH_BITS)
+    by_key = written(found.groupBy("doc_id", "raw_sha256").agg(
+        F.max("kept").alias("stays"), F.count("*").alias("n")).filter("n > 1 or not stays").select(
+        F.struct("doc_id", "raw_sha256").alias("gone_key"), "stays"), "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.struct(
+        F.col(id_col).alias("doc_id"), raw_digest(F.col(text_col)).alias("raw_sha256"))
+        .alias("row_key"))
+    # Structs are equal if their fields are, nulls too.
+    same = F.expr("row_key = gone_key")
+    clean = rows.join(by_key, same, "left_anti").select("row.*")
+    first = Window.partitionBy("row_key").orderBy(F.to_json("row"))
+    repeated = rows.join(by_key.filter("stays"), same, "left_semi").withColumn(
+        "number", F.row_number().over(first)).filter("number = 1").select("row.*")
+    return clean.unionByName(repeated)
