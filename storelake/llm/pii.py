@@ -62,16 +62,21 @@ BEFORE, AFTER = 32, 8
 ROUNDS = 10
 
 
-def matches(text: Column, kind: str, pattern: str, strict: bool) -> Column:
-    """Matches of a pattern with what stands before and after each, and their offsets' parts."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    rows = F.transform(found, lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("number"),
-        F.char_length(F.get(gaps, i)).alias("gap"), m.alias("match"),
-        F.right(F.get(gaps, i), F.lit(BEFORE)).alias("before"),
-        F.left(F.get(gaps, i + 1), F.lit(AFTER)).alias("after")))
-    return rows
+def found_by(kind: str, strict: bool, found: str, gaps: str) -> Column:
+    """Matches with what stands before and after each, and the parts of their offsets.
+
+    ``found`` and ``gaps`` name columns: the matches, and what is left of the text between
+    them (one more). They are gone through side by side, so the work is linear in the text.
+    """
+    after = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
+    # The third field has no name but its place.
+    return F.transform(
+        F.filter(F.arrays_zip(found, gaps, after), lambda z: z[found].isNotNull()),
+        lambda z, i: F.struct(
+            F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("number"),
+            F.char_length(z[gaps]).alias("gap"), z[found].alias("match"),
+            F.right(z[gaps], F.lit(BEFORE)).alias("before"),
+            F.left(z["2"], F.lit(AFTER)).alias("after")))
 
 
 def digits_of(text: Column) -> Column:
@@ -210,23 +215,34 @@ def span_classifier(candidates: DataFrame) -> dict[str, dict]:
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of all texts (number null where nothing is found) with every candidate."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    nothing = F.array().cast("array<struct<kind:string,strict:boolean,number:int,gap:int,"
-                             "match:string,before:string,after:string>>")
-    parts = []
+    text = F.col("text")
+    needs = {}
     for kind in KINDS:
         here = text.rlike("[0-9]") if NEEDED[kind] is None else text.contains(NEEDED[kind])
-        if kind == "ip":
-            here = here & text.rlike(r"[0-9]\.[0-9]")
-        parts.append(F.when(here, matches(text, kind, STRICT[kind], True)).otherwise(nothing))
-    needs = {"email": text.contains("(") | text.contains("["), "ip": text.contains(":"),
-             "card": text.rlike(r"[0-9]{4}\.[0-9]{4}\."), "phone": text.rlike("[0-9]{3}[.-][0-9]{4}")}
-    for kind in KINDS:
-        parts.append(F.when(needs[kind], matches(text, kind, LOOSE[kind], False)
-                            ).otherwise(nothing))
+        needs[kind, True] = here & text.rlike(r"[0-9]\.[0-9]") if kind == "ip" else here
+    needs |= {("email", False): text.contains("(") | text.contains("["),
+              ("ip", False): text.contains(":"),
+              ("card", False): text.rlike(r"[0-9]{4}\.[0-9]{4}\."),
+              ("phone", False): text.rlike("[0-9]{3}[.-][0-9]{4}")}
     rows = docs.select(F.monotonically_increasing_id().alias("row"),
-                       F.col(id_col).alias("doc_id"), F.concat(*parts).alias("all"))
-    return rows.select("row", "doc_id", F.explode_outer("all").alias("c")).select(
+                       F.col(id_col).alias("doc_id"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    none = F.array().cast("array<string>")
+    columns, parts = [], []
+    for (kind, strict), needed in needs.items():
+        pattern = (STRICT if strict else LOOSE)[kind]
+        name = f"{kind}_{'strict' if strict else 'loose'}"
+        # Most texts have no match; only those that have are split.
+        columns.append(F.when(needed, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+                       .otherwise(none).alias(f"m_{name}"))
+        parts.append((kind, strict, pattern, name))
+    rows = rows.select("row", "doc_id", "text", *columns)
+    rows = rows.select("row", "doc_id", *[f"m_{p[3]}" for p in parts], *[
+        F.when(F.size(f"m_{name}") > 0, F.split(text, pattern, -1)).otherwise(none)
+        .alias(f"g_{name}") for _, _, pattern, name in parts])
+    found = F.concat(*[found_by(kind, strict, f"m_{name}", f"g_{name}")
+                       for kind, strict, _, name in parts])
+    return rows.select("row", "doc_id", F.explode_outer(found).alias("c")).select(
         "row", "doc_id", "c.*")
 
 
@@ -260,11 +276,13 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     featured = probable.select("row", "kind", "start", "stop", "base", "strict", "q", *[
         F.col(a).alias(b) for a, b in zip(shown, FEATURES, strict=True)])
     judged = featured.withColumn("probability", posterior(span_classifier(featured), FEATURES))
-    by_start = Window.partitionBy("row").orderBy("start", "stop")
+    # Both windows grow by a row at a time; one over the rows that follow would not.
+    forth = Window.partitionBy("row").orderBy("start", "stop", F.desc("base"))
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("stop"))
     base_stop = F.max(F.when(F.col("base"), F.col("stop"))).over(
-        by_start.rowsBetween(Window.unboundedPreceding, -1))
+        forth.rowsBetween(Window.unboundedPreceding, -1))
     base_start = F.min(F.when(F.col("base"), F.col("start"))).over(
-        by_start.rowsBetween(1, Window.unboundedFollowing))
+        back.rowsBetween(Window.unboundedPreceding, -1))
     spans = judged.withColumn("past", base_stop).withColumn("next", base_start).filter(
         F.col("base") | (~F.col("strict") & (F.col("probability") >= 0.5)
                          & ~F.coalesce(F.col("past") > F.col("start"), F.lit(False))
