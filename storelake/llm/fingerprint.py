@@ -1,12 +1,13 @@
 """Homomorphic multiset hashes of texts.
 
 A text is a multiset of paragraphs: a paragraph ends at a line break or a sentence's
-end, or after eight words. Each paragraph gives a vector of 256 signs (the bits of its
-SHA-256), and a text's fingerprint is their sum, lane by lane modulo 2^16. So the order
-of paragraphs does not matter, and adding or subtracting the vectors of paragraphs
-inserts or deletes them. Two different multisets agree in all lanes with a probability of
-about 2^-256. Read as signed numbers, the lanes estimate how many paragraphs two texts
-share: the cosine of two fingerprints is that of their paragraph counts, give or take 0.06.
+end, or after eight words. The SHA-256 of a paragraph gives four words of 64 bits and a
+vector of 256 signs (its bits), and a text's fingerprint is their sums, the words' modulo
+2^64. So the order of paragraphs does not matter, and adding or subtracting those of
+paragraphs inserts or deletes them. Two different multisets have the same four words with a
+probability of about 2^-256, however often a paragraph is repeated. The sums of signs
+estimate how many paragraphs two texts share: their cosine is that of the paragraph
+counts, give or take 0.06. They would wrap after 2^63 paragraphs.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 from storelake.llm.text import buffers, slices, spans_of_words
 
 LANES = 256
+#: After the lanes of signs, the sums of the digests' words.
+DIGEST_WORDS = 4
+#: Paragraphs whose signs are held at once.
+AT_ONCE = 1 << 15
 WORDS = 8
 SENTENCE_ENDS = np.frombuffer(b".!?", np.uint8)
 
@@ -45,46 +50,63 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of lanes for each text; texts without words are all zero."""
+    """Sums of signs and of digest words of each text; texts without words are all zero."""
     rows = len(offsets) - 1
-    out = np.zeros((rows, LANES), np.int64)
+    out = np.zeros((rows, LANES + DIGEST_WORDS), np.int64)
     begin, end, row = paragraphs(data, offsets)
-    if len(begin):
-        view, sha = memoryview(np.ascontiguousarray(data)), hashlib.sha256
-        digests = b"".join([sha(view[b:e]).digest()
-                            for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
-        signs = 1 - 2 * np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 32), axis=1
-                                      ).astype(np.int8)
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[first]] = np.add.reduceat(signs, first, axis=0, dtype=np.int64)
-    return out.astype(np.uint16).view(np.int16)
+    view, sha = memoryview(np.ascontiguousarray(data)), hashlib.sha256
+    for i in range(0, len(begin), AT_ONCE):
+        some = slice(i, i + AT_ONCE)
+        digests = np.frombuffer(b"".join([
+            sha(view[b:e]).digest()
+            for b, e in zip(begin[some].tolist(), end[some].tolist(), strict=True)]),
+            np.uint8).reshape(-1, 32)
+        signs = 1 - 2 * np.unpackbits(digests, axis=1).view(np.int8)
+        own = row[some]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[first], :LANES] += np.add.reduceat(signs, first, axis=0, dtype=np.int64)
+        out[own[first], LANES:] += np.add.reduceat(digests.view("<i8"), first, axis=0)
+    return out
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:
     data, offsets = buffers(column)
     parts = [vectors(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
              for i, j in slices(offsets)]
-    return np.concatenate(parts) if parts else np.zeros((0, LANES), np.int16)
+    return np.concatenate(parts) if parts else np.zeros((0, LANES + DIGEST_WORDS), np.int64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of the rows, 0 at least; 1 for equal rows, 0 if one alone is empty."""
-    x, y = a.astype(np.float64), b.astype(np.float64)
+    """Cosine of the signs, 0 at least; 1 for equal rows, 0 if one alone is empty."""
+    x, y = a[:, :LANES].astype(np.float64), b[:, :LANES].astype(np.float64)
     size = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.divide((x * y).sum(1), size, out=np.zeros(len(a)), where=size > 0)
     return np.where((a == b).all(1), 1.0, np.clip(cosine, 0, 1))
 
 
 def shown(rows: np.ndarray) -> list[str]:
-    return [base64.b64encode(r.tobytes()).decode() for r in np.ascontiguousarray(rows)]
+    """Base64 of the words, and of the signs in as few bytes (2, 4 or 8) as they all fit in."""
+    out = []
+    most = np.abs(rows[:, :LANES]).max(axis=1, initial=0)
+    words = np.ascontiguousarray(rows[:, LANES:], "<i8")
+    for row, word, size in zip(rows, words, most.tolist(), strict=True):
+        kind = "<i2" if size < 1 << 15 else "<i4" if size < 1 << 31 else "<i8"
+        out.append(base64.b64encode(word.tobytes() + row[:LANES].astype(kind).tobytes()).decode())
+    return out
 
 
 def read(fingerprints: list[str]) -> np.ndarray:
-    return np.array([np.frombuffer(base64.b64decode(x), np.int16) for x in fingerprints])
+    out = np.zeros((len(fingerprints), LANES + DIGEST_WORDS), np.int64)
+    for row, shown_row in zip(out, fingerprints, strict=True):
+        data = base64.b64decode(shown_row)
+        row[LANES:] = np.frombuffer(data[:8 * DIGEST_WORDS], "<i8")
+        signs = data[8 * DIGEST_WORDS:]
+        row[:LANES] = np.frombuffer(signs, f"<i{len(signs) // LANES}")
+    return out
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
-    """The given columns and a fingerprint (base64 of 256 lanes of 16 bits).
+    """The given columns and a fingerprint (base64 of four words and 256 sums of signs).
 
     Null and empty texts, and those of white space alone, have the zero fingerprint. An
     input column of the same name is replaced.
@@ -105,10 +127,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerpri
 
 def changed(fingerprint: str, inserted: list[str] = (), deleted: list[str] = ()) -> str:
     """The fingerprint after whole paragraphs come or go, without the other text."""
-    lanes = read([fingerprint])[0].astype(np.int64)
+    lanes = read([fingerprint])[0]
     lanes = lanes + vectors_of(pa.array(inserted, pa.string())).sum(0, np.int64)
     lanes = lanes - vectors_of(pa.array(deleted, pa.string())).sum(0, np.int64)
-    return shown(lanes.astype(np.uint16).view(np.int16)[None])[0]
+    return shown(lanes[None])[0]
 
 
 def beside_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
