@@ -158,7 +158,7 @@ def test_exact_duplicates(spark, odd, nothing, bits):
              "ab" * 500, "ba" * 500] + [f"{i % 7}" * (i % 50) for i in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = block_naming.exact_duplicates(docs, block_bytes=16, buckets=5, bits=bits).collect()
-    lower = str.maketrans(block_naming.UPPER, block_naming.LOWER)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     groups = defaultdict(list)
     for i, t in enumerate(texts):
         groups[(t or "").translate(lower)].append(i)
@@ -180,6 +180,48 @@ def test_exact_duplicates_dropped(odd, nothing):
     assert block_naming.drop_exact_duplicates(nothing).collect() == []
 
 
+def test_capitals_besides_a_to_z_stay(spark):
+    """Every character: only A to Z change, alone and between others."""
+    from pyspark.sql import functions as F
+
+    points = [p for p in range(1, 0x110000) if not 0xD800 <= p < 0xE000]
+    texts = [("".join(map(chr, points[i:i + 500])),) for i in range(0, len(points), 500)]
+    texts += [("AbΣ ΟΔΟΣ İI ẞß Ǆǅǆ ÉcoleÉ Ab",), ("É",), ("AÉ",), ("ÉA",), ("ΣΣ A",)]
+    docs = spark.createDataFrame(texts, "text string").repartition(4)
+    rows = docs.select("text", block_naming.normalised(F.col("text")).alias("got")).collect()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    assert len(rows) == len(texts)
+    assert all(r["got"] == r["text"].translate(lower) for r in rows)
+
+
+@pytest.mark.parametrize("end", ["", "É"])
+def test_naming_is_linear_in_the_text(spark, end):
+    """Texts of 32 MB and copies but for case; a second 4 MB more would show a square."""
+    import time
+
+    long = "Some words, and more of them. " * (32 * 1024 * 1024 // 30)
+    docs = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", f"repeat('{'Some words, and more of them. '}', "
+                           f"{len(long) // 30}) || if(doc_id = 3, 'other', '{end}') as text")
+    start = time.time()
+    rows = {r["doc_id"]: r for r in block_naming.exact_duplicates(docs).collect()}
+    assert time.time() - start < 90
+    assert (rows[1]["keep_id"], rows[2]["keep_id"], rows[3]["keep_id"]) == (2, 2, 3)
+    want = hashlib.sha256((long.lower() + end).encode()).hexdigest()
+    assert rows[1]["text_sha256"] == want == rows[2]["text_sha256"]
+
+
+def test_kept_rows_of_one_id_do_not_change_from_run_to_run(spark):
+    rows = [(1, "a", "en", s) for s in "dcba"] + [(1, "A", "de", "z"), (0, "a", "en", "q"),
+                                                  (None, "n", "en", "1"), (None, "n", "en", "0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = set()
+    for parts in (1, 3, 8):
+        kept = block_naming.drop_exact_duplicates(docs.repartition(parts)).collect()
+        found.add(tuple(sorted(map(tuple, kept), key=repr)))
+    assert len(found) == 1 and len(next(iter(found))) == 2
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
             "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
             "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -219,6 +261,20 @@ def test_base_spans(spark, nothing):
     assert pii.personal_data(nothing).collect() == []
 
 
+def test_many_matches_in_one_text(spark):
+    """100,000 addresses in one text, in seconds."""
+    import time
+
+    text = " ".join(f"a{i}@b{i % 7}.org" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    (row,) = pii.personal_data(docs).collect()
+    assert time.time() - start < 120
+    spans = base_spans(text)
+    assert row["n_email"] == 100_000 == len(spans)
+    assert row["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
 def test_loose_spans_are_added(spark):
     good = [(i, f"call me: (212) 555-{1000 + i} or mail joe{i} (at) site{i}.com, tel +1 (988) 555-"
              f"{2000 + i} mail a{i}@b.org") for i in range(40)]

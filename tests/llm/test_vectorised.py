@@ -298,6 +298,18 @@ def test_components_of_chains(spark):
     assert roots == {**{i: 100 for i in range(101, 131)}, 7: 3, 9: 3}
 
 
+def test_paragraphs_repeated_tens_of_thousands_of_times():
+    """Counts that are equal modulo powers of two are told apart."""
+    texts = ["a.\n" * 32768, "b.\n" * 32768, "a.\n" * 65536, "", "a.\n" * (32768 + 65536)]
+    prints = fingerprint.shown(fingerprint.vectors_of(pa.array(texts)))
+    assert len(set(prints)) == len(texts)
+    assert fingerprint.changed(prints[2], ["a."] * 32768) == prints[4]
+    assert fingerprint.changed(prints[2], deleted=["a."] * 65536) == prints[3]
+    vectors = fingerprint.read(prints)
+    assert fingerprint.likeness(vectors[:1], vectors[2:3])[0] == pytest.approx(1)
+    assert fingerprint.likeness(vectors[:1], vectors[1:2])[0] < 0.3
+
+
 def test_toxicity_on_held_out_texts(spark, odd, nothing):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(200)], k=30)
