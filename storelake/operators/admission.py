@@ -17,10 +17,13 @@ line not covered by the highest is rejected, and the next round has tighter
 bounds. The first undecided event of a branch has equal bounds, so each round
 decides something and the result is the one of the serial order.
 
-Once no branch has more than ``FINISH_ROWS`` undecided lines, one pass per branch
-judges them in order. If a round leaves more than half of the lines undecided,
-the next one judges the first ``FINISH_ROWS`` of each branch in order, so long
-chains of events that hang on each other take no more rounds than that.
+From the second round on, the undecided events that share a product of a branch, or are
+linked by a chain of such, form a component. Events of two components do not depend on
+each other, so a component is judged in order by itself, in a group of its own, as soon as
+it has at most ``FINISH_ROWS`` undecided lines. The others go on with bounds. If a round
+leaves more than half of their lines undecided, the next one judges the first
+``FINISH_ROWS`` of each in order, so long chains of events that hang on each other take
+no more rounds than that.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelake.operators.graph import components
 from storelake.operators.ledger import STOCK_KEY
 from storelake.operators.ordered import (
     ROWS_PER_CHUNK, Ordered, in_order, row_numbers, running_sums,
@@ -90,22 +94,27 @@ def decide(lines: DataFrame, inventory: DataFrame, parity: bool = False,
     work, decided = start.df, []
     before, in_turn = None, False
     while True:
-        largest, total, sales = work.filter(F.col("state") == UNDECIDED).groupBy(
-            "branch_id").agg(F.count("*").alias("n"), F.max(F.col("kind") == SALE).alias("s")
-                             ).agg(F.max("n"), F.sum("n"), F.max("s")).first()
+        total = work.filter(F.col("state") == UNDECIDED).count()
         if not total:
             break
         bounds = _bounds(Ordered(work, start.keys, start.order, start.chunked))
         waiting = bounds.filter(F.col("state") == UNDECIDED)
-        # The bounds decide what they can before anything is judged in turn.
-        if before is not None and largest <= finish_rows:
-            decided.append(written(_in_turn(waiting, by_product=not sales)))
-            break
-        in_turn = before is not None and total > before / 2 and not in_turn
+        if before is None:
+            # The bounds decide what they can before anything is judged in turn.
+            verdicts = written(_judge(waiting))
+        else:
+            waiting = written(_with_component(waiting), "conflicts")
+            small = waiting.filter(F.col("lines") <= finish_rows)
+            large = waiting.filter(F.col("lines") > finish_rows)
+            verdicts = _in_turn(small)
+            if large.isEmpty():
+                decided.append(written(verdicts))
+                break
+            in_turn = total > before / 2 and not in_turn
+            verdicts = written(verdicts.unionByName(
+                _in_turn(_first_events(large, finish_rows, rows_per_chunk)) if in_turn
+                else _judge(large)))
         before = total
-        verdicts = written(
-            _in_turn(_first_events(waiting, finish_rows, rows_per_chunk)) if in_turn
-            else _judge(waiting))
         decided.append(verdicts.filter(F.col("verdict") != UNDECIDED))
         work = _next_round(work, verdicts)
     if not decided:
@@ -114,6 +123,23 @@ def decide(lines: DataFrame, inventory: DataFrame, parity: bool = False,
         *EVENT, (F.col("verdict") == ACCEPTED).alias("accepted"))
 
 
+def _with_component(waiting: DataFrame) -> DataFrame:
+    """Add ``component``, of the events that depend on each other, and its ``lines``.
+
+    Products are known by a hash: two that share one make a component larger, no more.
+    """
+    waiting = written(waiting.withColumn("_node", F.xxhash64(*STOCK_KEY)), "waiting")
+    links = waiting.groupBy(*EVENT).agg(
+        F.min("_node").alias("a"), F.collect_set("_node").alias("all")).filter(
+        F.size("all") > 1).select("a", F.explode("all").alias("b"))
+    roots = components(links).select(F.col("node").alias("_node"), "root")
+    nodes = waiting.groupBy("_node").agg(F.count("*").alias("_n")).join(
+        roots, "_node", "left").withColumn("component", F.coalesce("root", "_node"))
+    nodes = written(nodes.select("_node", "_n", "component"), "conflict-nodes")
+    sizes = nodes.groupBy("component").agg(F.sum("_n").alias("lines"))
+    return waiting.join(nodes.join(sizes, "component").drop("_n"), "_node").drop("_node")
+
+
 def _bounds(work: Ordered) -> DataFrame:
     """Add the stock each line meets for certain, at least and at most."""
     open_, done = F.col("state") == UNDECIDED, F.col("state") == ACCEPTED
@@ -150,9 +176,9 @@ def _judge(waiting: DataFrame) -> DataFrame:
 
 
 def _first_events(waiting: DataFrame, limit: int, rows_per_chunk: int) -> DataFrame:
-    """The first events of each branch that make up at most ``limit`` lines."""
-    lines = waiting.select(*EVENT, "product_id")
-    placed = row_numbers(in_order(lines, ["branch_id"], [*EVENT_ORDER, "product_id"],
+    """The first events of each component that make up at most ``limit`` lines."""
+    lines = waiting.select("component", *EVENT, "product_id")
+    placed = row_numbers(in_order(lines, ["component"], [*EVENT_ORDER, "branch_id", "product_id"],
                                   rows_per_chunk), "_place")
     first = placed.groupBy(*EVENT).agg(F.max("_place").alias("_last")).filter(
         F.col("_last") <= limit)
@@ -171,23 +197,18 @@ def _next_round(work: DataFrame, verdicts: DataFrame) -> DataFrame:
 _VERDICT = "branch_id long, posted_at timestamp_ntz, kind int, event_id long, verdict int"
 
 
-def _in_turn(waiting: DataFrame, by_product: bool = False) -> DataFrame:
-    """Judge events one after another, a bounded number of lines per branch.
-
-    ``by_product``: no event has lines of several products (there are no sales), so
-    each product of a branch is judged alone.
-    """
-    keys = STOCK_KEY if by_product else ["branch_id"]
-    return waiting.groupBy(*keys).applyInPandas(_judge_branch, _VERDICT)
+def _in_turn(waiting: DataFrame) -> DataFrame:
+    """Judge events one after another, a bounded number of lines per component."""
+    return waiting.groupBy("component").applyInPandas(_judge_component, _VERDICT)
 
 
-def _judge_branch(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(list(EVENT_ORDER))
-    moved: dict[int, int] = {}
-    made: set[int] = set()
+def _judge_component(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values([*EVENT_ORDER, "branch_id"])
+    moved: dict[tuple[int, int], int] = {}
+    made: set[tuple[int, int]] = set()
 
     def covered(line) -> bool:
-        p = line.product_id
+        p = line.branch_id, line.product_id
         return (line.base + moved.get(p, 0) >= line.need
                 and (not line.wants_row or line.row_now or p in made))
 
@@ -196,9 +217,10 @@ def _judge_branch(rows: pd.DataFrame) -> pd.DataFrame:
         accepted = all(covered(x) for x in lines)
         if accepted:
             for x in lines:
-                moved[x.product_id] = moved.get(x.product_id, 0) + x.change
+                p = x.branch_id, x.product_id
+                moved[p] = moved.get(p, 0) + x.change
                 if x.makes_row:
-                    made.add(x.product_id)
+                    made.add(p)
         keys.append(key)
         verdicts.append(ACCEPTED if accepted else REJECTED)
     out = pd.DataFrame(keys, columns=list(EVENT))
