@@ -6,17 +6,23 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelake.functions.labels import normalised
 from storelake.functions.predicates import days_between
+from storelake.operators.graph import components
 from storelake.operators.ordered import numbered
 from storelake.operators.quality import apply_defaults
 from storelake.session import written
 from storelake.sources.schemas import TABLES, enforce_schema, with_generated
 
 
+#: Rows of one group of clashing rows that are gone through in one task.
+TURN_ROWS = 200_000
+
+
 def latest_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key; combined before the shuffle, so any key size works."""
     rest = [c for c in rows.columns if c not in key]
@@ -40,12 +46,14 @@ def insert_missing(current: DataFrame, new: DataFrame, key: Sequence[str]) -> Da
 
 def insert_dim(current: DataFrame, new: DataFrame, table: str, order: Sequence[str],
                unique: Sequence[Sequence[str]] | None = None, as_of: str | None = None,
-               falsy: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+               falsy: Sequence[str] = (), turn_rows: int = TURN_ROWS
+               ) -> tuple[DataFrame, DataFrame]:
     """Insert rows in ``order``; returns the rows added and the rows turned down.
 
     A row is turned down if one of its unique values is in use or was taken by a
     row before it that got in. Columns in ``falsy`` take their default for an
-    empty text or 0 too.
+    empty text or 0 too. Rows that clash with each other, directly or through others,
+    are gone through in order as one group of at most ``turn_rows``.
     """
     declared = TABLES[table]
     sets = [list(u) for u in (unique if unique is not None else declared.unique)
@@ -60,30 +68,72 @@ def insert_dim(current: DataFrame, new: DataFrame, table: str, order: Sequence[s
     everyone, taken_in = waiting, []
     for names in sets:
         waiting = _without_taken(waiting, current, names)
-    if sets:
+    waiting = written(waiting) if sets else waiting
+    while sets:
+        clashing = written(_clashing(waiting, sets))
+        free = waiting.join(clashing.select("_place"), "_place", "left_anti")
+        small = clashing.filter(F.col("_size") <= turn_rows)
+        judged = written(free.select("_place").unionByName(_first_come(small, sets)), "let-in")
+        if clashing.filter(F.col("_size") > turn_rows).isEmpty():
+            taken_in.append(waiting.join(judged, "_place", "left_semi"))
+            break
+        # Of a larger group those go in that no row before them can stop.
+        leads = clashing.filter(F.col("_size") > turn_rows)
+        for n in range(len(sets)):
+            leads = leads.filter(F.col(f"_lead{n}").isNull() | (F.col(f"_lead{n}") == F.col("_place")))
+        first = written(waiting.join(judged.unionByName(leads.select("_place")), "_place",
+                                     "left_semi"))
+        taken_in.append(first)
+        waiting = waiting.join(first.select("_place"), "_place", "left_anti").join(
+            small.select("_place"), "_place", "left_anti")
+        for names in sets:
+            waiting = _without_taken(waiting, first, names)
         waiting = written(waiting)
-        while not waiting.isEmpty():
-            first = waiting
-            for names in sets:
-                lead = waiting.filter(_all_known(names)).groupBy(*names).agg(
-                    F.min("_place").alias("_lead"))
-                first = first.join(lead, names, "left").filter(
-                    F.col("_lead").isNull() | (F.col("_lead") == F.col("_place"))
-                ).drop("_lead")
-            first = written(first.select(*waiting.columns))
-            taken_in.append(first)
-            waiting = waiting.join(first.select("_place"), "_place", "left_anti")
-            for names in sets:
-                waiting = _without_taken(waiting, first, names)
-            waiting = written(waiting)
-        added = reduce(DataFrame.unionByName, taken_in) if taken_in else waiting
-    else:
-        added = waiting
+    added = reduce(DataFrame.unionByName, taken_in) if sets else waiting
     refused = everyone.join(added.select("_place"), "_place", "left_anti")
     rows = enforce_schema(next_ids(added, current, ["_place"]), table)
     return rows, refused.drop("_place", "id")
 
 
+def _clashing(waiting: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """Rows that share a unique value with another: place, the values as texts (null for
+    one that is not wholly known), the first place with each, group and size of the group.
+    """
+    out = waiting.select("_place", *[
+        F.when(_all_known(names), F.to_json(F.struct(*names))).alias(f"_value{n}")
+        for n, names in enumerate(sets)])
+    for n in range(len(sets)):
+        shared = out.filter(F.col(f"_value{n}").isNotNull()).groupBy(f"_value{n}").agg(
+            F.min("_place").alias(f"_lead{n}"), F.count("*").alias("_n")).filter("_n > 1")
+        out = out.join(shared.drop("_n"), f"_value{n}", "left")
+    leads = [f"_lead{n}" for n in range(len(sets))]
+    out = written(out.filter(F.coalesce(*leads).isNotNull()), "clashes")
+    links = out.select(F.col("_place").alias("a"), F.explode(F.array_compact(F.array(*leads)))
+                       .alias("b"))
+    roots = components(links).select(F.col("node").alias("_place"), "root")
+    out = out.join(roots, "_place", "left").withColumn("_group", F.coalesce("root", "_place"))
+    sizes = out.groupBy("_group").agg(F.count("*").alias("_size"))
+    return out.drop("root").join(sizes, "_group")
+
+
+def _first_come(clashing: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """The places that get in when each group is gone through in order."""
+    values = [f"_value{n}" for n in range(len(sets))]
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: list[set[str]] = [set() for _ in values]
+        places = []
+        for place, *own in rows.sort_values("_place")[["_place", *values]].itertuples(index=False):
+            if not any(v in held for v, held in zip(own, taken) if isinstance(v, str)):
+                places.append(place)
+                for v, held in zip(own, taken):
+                    held.add(v)
+        return pd.DataFrame({"_place": places}, dtype="int64")
+
+    return clashing.select("_group", "_place", *values).groupBy("_group").applyInPandas(
+        judge, "_place long")
+
+
 def _all_known(names: Sequence[str]) -> Column:
     return reduce(and_, (F.col(n).isNotNull() for n in names))
 
