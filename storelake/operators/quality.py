@@ -37,10 +37,16 @@ def apply_defaults(df: DataFrame, table: str, as_of: str | None = None,
 
 
 def check_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values that occur more than once; NULLs do not count as equal."""
-    known = reduce(and_, (F.col(c).isNotNull() for c in columns))
-    return df.filter(known).groupBy(*columns).agg(F.count("*").alias("occurrences")).filter(
-        F.col("occurrences") > 1)
+    """Values that occur more than once; NULLs do not count as equal.
+
+    Values are counted by a 64-bit hash first; only those whose hash is repeated are then
+    compared as values.
+    """
+    known = df.filter(_all_known(columns)).select(
+        *columns, F.xxhash64(*columns).alias("_hash"))
+    again = known.groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("_hash")
+    return known.join(again, "_hash", "left_semi").groupBy(*columns).agg(
+        F.count("*").alias("occurrences")).filter(F.col("occurrences") > 1)
 
 
 def check_fk(child: DataFrame, column: str, parent: DataFrame, key: str = "id") -> DataFrame:
@@ -87,28 +93,60 @@ def check_order_lines(df: DataFrame, lines: str) -> DataFrame:
     return df.filter(~order_lines_ok(lines))
 
 
+def _is_number(table: str, names: Sequence[str]) -> bool:
+    return len(names) == 1 and TABLES[table].columns[names[0]].simpleString() in ("int", "bigint")
+
+
+def _all_known(names: Sequence[str]) -> Column:
+    return reduce(and_, (F.col(c).isNotNull() for c in names))
+
+
+def _repeated_keys(d: Mapping[str, DataFrame], tables: Sequence[str]) -> dict[tuple, int]:
+    """How many keys that are not numbers are repeated, by table and columns.
+
+    They are counted by a hash, in one pass over each table. Only rules under which a hash
+    is repeated are then looked at by value.
+    """
+    rules = [(t, names) for t in tables for names in TABLES[t].unique
+             if not _is_number(t, names)]
+    if not rules:
+        return {}
+    hashes = _union(
+        d[t].select(F.explode(F.array_compact(F.array(*[
+            F.when(_all_known(names), F.struct(F.lit(i).alias("of"),
+                                               F.xxhash64(*names).alias("hash")))
+            for i, (own, names) in enumerate(rules) if own == t]))).alias("k")).select("k.*")
+        for t in dict.fromkeys(t for t, _ in rules))
+    again = hashes.groupBy("of", "hash").agg(F.count("*").alias("n")).filter("n > 1").select(
+        "of").distinct().collect()  # one row for each rule at most
+    counts = {(t, "+".join(names)): 0 for t, names in rules}
+    for row in again:
+        table, names = rules[row["of"]]
+        counts[table, "+".join(names)] = check_unique(d[table], names).count()
+    return counts
+
+
 def _marks(df: DataFrame, table: str, parents: Iterable[str]) -> DataFrame:
     """What a table's rows tell about its rules: broken row rules, unique keys, references.
 
-    table_name, rule, column_name, parent (of references), key (as texts; null for row
+    table_name, rule, column_name, parent (of references), key (a number; null for row
     rules), in one pass over the table.
     """
     spec = TABLES[table]
 
     def mark(rule: str, column: str, when: Column, names: Sequence[str] = (),
              parent: str | None = None) -> Column:
-        key = F.array(*[F.col(c).cast("string") for c in names]) if names else F.lit(None)
+        key = F.col(names[0]) if names else F.lit(None)
         return F.when(when, F.struct(
             F.lit(rule).alias("rule"), F.lit(column).alias("column_name"),
-            F.lit(parent).cast("string").alias("parent"),
-            key.cast("array<string>").alias("key")))
+            F.lit(parent).cast("string").alias("parent"), key.cast("long").alias("key")))
 
     marks = [
         *[mark("not_null", c, F.col(c).isNull()) for c in spec.required],
         *[mark("domain", c, ~F.col(c).isin(list(v))) for c, v in spec.domains.items()],
         *[mark("generated", c, r) for c, r in _generated_rules(table).items()],
-        *[mark("unique", "+".join(names), reduce(and_, (F.col(c).isNotNull() for c in names)),
-               names) for names in spec.unique],
+        *[mark("unique", names[0], F.col(names[0]).isNotNull(), names)
+          for names in spec.unique if _is_number(table, names)],
         *[mark("foreign", f.column, F.col(f.column).isNotNull(), [f.column], f.parent)
           for f in spec.foreign if f.parent in parents],
     ]
@@ -135,15 +173,17 @@ def quality_report(d: Mapping[str, DataFrame], tables: Sequence[str] | None = No
 
     Each table is read once for its rules and each parent once for all its children.
     Equal marks are counted before they are shuffled, so a key that many rows refer to
-    is one row from there on.
+    is one row from there on. Unique keys that are not numbers are counted beforehand, by
+    a hash.
     """
     names = [n for n in (tables or TABLES) if n in d]
+    repeated = _repeated_keys(d, names)
     counts = _union(_marks(d[n], n, d) for n in names).groupBy(
         "table_name", "rule", "column_name", "parent", "key").agg(F.count("*").alias("n"))
     parents = sorted({f.parent for n in names for f in TABLES[n].foreign if f.parent in d})
     if parents:
-        known = _union(d[p].select(F.lit(p).alias("parent"), F.array(
-            F.col("id").cast("string")).alias("key")) for p in parents).distinct()
+        known = _union(d[p].select(F.lit(p).alias("parent"), F.col("id").cast("long").alias("key"))
+                       for p in parents).distinct()
         counts = counts.join(known.withColumn("found", F.lit(True)), ["parent", "key"], "left")
     else:
         counts = counts.withColumn("found", F.lit(None).cast("boolean"))
@@ -153,7 +193,10 @@ def quality_report(d: Mapping[str, DataFrame], tables: Sequence[str] | None = No
     sums = counts.groupBy("table_name", "rule", "column_name").agg(
         F.sum(broken).alias("violations"))
     spark = counts.sparkSession
-    declared = spark.createDataFrame([r for n in names for r in _rules(n, d)],
-                                     "table_name string, rule string, column_name string")
-    return declared.join(sums, ["table_name", "rule", "column_name"], "left").withColumn(
-        "violations", F.coalesce("violations", F.lit(0)).cast("long"))
+    declared = spark.createDataFrame(
+        [(*r, repeated.get((r[0], r[2])) if r[1] == "unique" else None)
+         for n in names for r in _rules(n, d)],
+        "table_name string, rule string, column_name string, repeated long")
+    return declared.join(sums, ["table_name", "rule", "column_name"], "left").select(
+        "table_name", "rule", "column_name",
+        F.coalesce("repeated", "violations", F.lit(0)).cast("long").alias("violations"))
