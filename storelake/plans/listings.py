@@ -18,7 +18,7 @@ from storelake.plans.reports import (
     with_procurement_names,
 )
 from storelake.sources.schemas import DATE, TOTAL
-from storelake.sources.tables import of_months
+from storelake.sources.tables import of_dates, of_months
 
 
 def _agent_names(d: Frames) -> DataFrame:
@@ -197,7 +197,7 @@ def procurement_listing(d: Frames, branch_id: int | None, date_from: str | None
                         date_to: str | None = None, supplier_id: int | None = None
                         ) -> DataFrame:
     """Procurements of a branch, newest first."""
-    headers = d["procurements"].filter(all_of([
+    headers = of_dates(d, "procurements", "procurement_date", date_from, date_to).filter(all_of([
         branch_is("branch_id", branch_id),
         days_between("procurement_date", date_from, date_to),
         optional_eq("supplier_id", supplier_id),

@@ -17,10 +17,13 @@ class Tables(Mapping[str, DataFrame]):
     """Name -> DataFrame; a table is only analysed when it is first asked for."""
 
     def __init__(self, builders: Mapping[str, Callable[[], DataFrame] | DataFrame],
-                 by_month: Mapping[str, Callable[[], DataFrame]] | None = None):
+                 by_month: Mapping[str, Callable[[], DataFrame]] | None = None,
+                 by_range: Mapping[str, Callable[[str, str | None, str | None], DataFrame]]
+                 | None = None):
         self._builders = dict(builders)
         self._built: dict[str, DataFrame] = {}
         self._by_month = dict(by_month or {})
+        self._by_range = dict(by_range or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -37,7 +40,8 @@ class Tables(Mapping[str, DataFrame]):
     def replacing(self, **tables: DataFrame) -> Tables:
         """The same set with some tables exchanged (the result of a posting)."""
         return Tables({**self._builders, **self._built, **tables},
-                      {n: b for n, b in self._by_month.items() if n not in tables})
+                      {n: b for n, b in self._by_month.items() if n not in tables},
+                      {n: b for n, b in self._by_range.items() if n not in tables})
 
     def of_months(self, name: str, first: str | None, last: str | None) -> DataFrame:
         """Rows of a table; if it is stored by month, only of the months of these days."""
@@ -50,6 +54,20 @@ class Tables(Mapping[str, DataFrame]):
         return self._by_month[name]().filter(all_of(bounds)).drop(MONTH) if bounds else self[name]
 
 
+    def of_dates(self, name: str, column: str, first: str | None, last: str | None) -> DataFrame:
+        """Rows of a table; if ranges of the column are kept, only files that touch them."""
+        open_ended = is_blank(first) and is_blank(last)
+        if open_ended or column not in RANGED.get(name, ()) or name not in self._by_range:
+            return self[name]
+        return self._by_range[name](column, first, last)
+
+
+def of_dates(d: Mapping[str, DataFrame], name: str, column: str, first: str | None,
+             last: str | None) -> DataFrame:
+    """A table for a query over some dates of a column, which are still to be filtered."""
+    return d.of_dates(name, column, first, last) if isinstance(d, Tables) else d[name]
+
+
 def of_months(d: Mapping[str, DataFrame], name: str, first: str | None, last: str | None
               ) -> DataFrame:
     """A table for a query over some days, which are still to be filtered."""
@@ -69,6 +87,8 @@ MONTHLY = {
     "audit_logs": "created_at",
 }
 MONTH = "_month"
+#: Of these columns the smallest and largest value of every file is kept beside the table.
+RANGED = {"procurements": ("procurement_date",)}
 
 
 def write_tables(d: Mapping[str, DataFrame], path: str, names: Iterable[str] | None = None,
@@ -81,10 +101,42 @@ def write_tables(d: Mapping[str, DataFrame], path: str, names: Iterable[str] | N
             # AQE splits a month that is too large for one writer task.
             df.hint("rebalance", MONTH).write.mode(mode).partitionBy(MONTH).parquet(
                 f"{path}/{name}")
+            if name in RANGED:
+                write_ranges(df.sparkSession, path, name)
         else:
             df.write.mode(mode).parquet(f"{path}/{name}")
 
 
+def write_ranges(spark: SparkSession, path: str, name: str) -> None:
+    """Note the range of each ranged column in every file of a stored table.
+
+    Only those columns are read. Call it again after files were added by other means.
+    """
+    rows = spark.read.schema(TABLES[name].struct.add(MONTH, "string")).parquet(f"{path}/{name}")
+    rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(*[
+        f(c).alias(f"{n}_{c}") for c in RANGED[name] for n, f in (("low", F.min), ("high", F.max))
+    ]).write.mode("overwrite").parquet(f"{path}/ranges.{name}")
+
+
+def _of_range(spark: SparkSession, path: str, name: str, column: str, first: str | None,
+              last: str | None) -> DataFrame:
+    """The files in which a value of the column may lie between two days."""
+    kinds = ", ".join(f"{n}_{c} {TABLES[name].columns[c].simpleString()}"
+                      for c in RANGED[name] for n in ("low", "high"))
+    ranges = spark.read.schema(f"file string, {kinds}").parquet(f"{path}/ranges.{name}")
+    bounds = []
+    if not is_blank(first):
+        bounds.append(F.col(f"high_{column}") >= F.lit(first).cast("date"))
+    if not is_blank(last):
+        bounds.append(F.col(f"low_{column}") <= F.lit(last).cast("date"))
+    files = sorted(r["file"] for r in ranges.filter(all_of(bounds)).select("file").collect())
+    struct = TABLES[name].struct
+    if not files:
+        return spark.createDataFrame([], struct)
+    return spark.read.schema(struct.add(MONTH, "string")).option(
+        "basePath", f"{path}/{name}").parquet(*files).drop(MONTH)
+
+
 def read_tables(spark: SparkSession, path: str, names: Iterable[str] | None = None) -> Tables:
     """Open tables stored by :func:`write_tables`; the schema is not inferred."""
     def opened(name: str) -> DataFrame:
@@ -95,7 +147,9 @@ def read_tables(spark: SparkSession, path: str, names: Iterable[str] | None = No
 
     known = [n for n in names or TABLES if n != "password_resets"]
     return Tables({n: (lambda n=n: opened(n).drop(MONTH)) for n in known},
-                  {n: (lambda n=n: opened(n)) for n in known if n in MONTHLY})
+                  {n: (lambda n=n: opened(n)) for n in known if n in MONTHLY},
+                  {n: (lambda c, first, last, n=n: _of_range(spark, path, n, c, first, last))
+                   for n in known if n in RANGED})
 
 
 def read_jdbc_table(spark: SparkSession, url: str, name: str, *, key: str = "id",

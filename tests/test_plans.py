@@ -88,6 +88,21 @@ def test_stored_movements_and_audit_are_pruned_by_month(spark, d, tmp_path):
         assert query(back).collect() == query(d).collect()
 
 
+def test_stored_procurements_are_pruned_by_file_ranges(spark, d, tmp_path):
+    path = str(tmp_path / "tables")
+    names = ["procurements", "suppliers", "users", "branches"]
+    write_tables(d, path, names)
+    back = read_tables(spark, path, names)
+    every = len(back["procurements"].inputFiles())
+    for days in (("1996-01-01", "1996-03-31"), ("2000-11-01", None), (None, "1995-02-10"),
+                 ("2050-01-01", None)):
+        query = lambda t: listings.procurement_listing(t, 3, *days)
+        read = back.of_dates("procurements", "procurement_date", *days)
+        assert len(read.inputFiles()) < every / 5
+        assert query(back).collect() == query(d).collect()
+    assert back.of_dates("procurements", "procurement_date", None, None) is back["procurements"]
+
+
 def test_quality_report_reads_each_table_once(d):
     names = ("users", "sales", "branches")
     text = plan(quality.quality_report({n: d[n] for n in names}, names), "simple")
