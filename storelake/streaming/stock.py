@@ -43,6 +43,20 @@ STOCK = ("branch_id long, product_id long, quantity_available int, "
          "updated_at timestamp_ntz")
 
 
+def with_bad(lines: DataFrame, products: DataFrame, parity: bool) -> DataFrame:
+    """Add ``bad``: whether a line fails whatever the stock is."""
+    known = products.select(F.col("id").alias("product_id"), F.lit(True).alias("known")).distinct()
+    kind, change = F.col("kind"), F.col("change")
+    bad = (F.col("branch_id").isNull() | kind.isNull() | F.col("product_id").isNull()
+           | change.isNull() | F.col("known").isNull()
+           | ~kind.isin(SALE, PROCUREMENT, ADJUSTMENT)
+           | ((kind == PROCUREMENT) & (change == 0)))
+    if not parity:
+        bad = bad | ((kind == SALE) & (change >= 0))
+    return lines.join(known, "product_id", "left").withColumn("bad", bad).select(
+        *lines.columns, "bad")
+
+
 class StockStream:
     """Posts batches of stock lines into ``folder``."""
 
@@ -67,17 +81,8 @@ class StockStream:
 
     def invalid(self, lines: DataFrame) -> DataFrame:
         """Events with a line that fails whatever the stock is."""
-        known = self.products.select(F.col("id").alias("product_id"),
-                                     F.lit(True).alias("known")).distinct()
-        kind, change = F.col("kind"), F.col("change")
-        bad = (F.col("branch_id").isNull() | kind.isNull() | F.col("product_id").isNull()
-               | change.isNull() | F.col("known").isNull()
-               | ~kind.isin(SALE, PROCUREMENT, ADJUSTMENT)
-               | ((kind == PROCUREMENT) & (change == 0)))
-        if not self.parity:
-            bad = bad | ((kind == SALE) & (change >= 0))
-        return lines.join(known, "product_id", "left").groupBy(*EVENT).agg(
-            F.max(bad).alias("bad")).filter("bad").select(*EVENT)
+        return with_bad(lines, self.products, self.parity).groupBy(*EVENT).agg(
+            F.max("bad").alias("bad")).filter("bad").select(*EVENT)
 
     def post(self, lines: DataFrame, batch: int) -> None:
         """Judge one batch and write what it changes."""

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from storelake.operators.dims import latest_per_key
+from storelake.session import written
 from storelake.sources.schemas import TOTAL, TS
+from storelake.streaming.id_index import BUCKETS, IdIndex
+from storelake.streaming.keyed import changed_sessions, rocks_db
+from storelake.streaming.segments import SegmentTable
 
 GAP_MINUTES = 60
 
@@ -29,14 +32,26 @@ def stream_daily_sales(sales: DataFrame, lateness: str | None = None) -> DataFra
     ).select("branch_id", F.to_date("_day").alias("sale_day"), "total", "count")
 
 
+DAY_KEY = ["branch_id", "sale_day"]
+DAY_TOTALS = (f"branch_id long, sale_day date, total {TOTAL.simpleString()}, `count` long, "
+              "batch long")
+
+
+def _daily_totals(spark: SparkSession, folder: str) -> SegmentTable:
+    return SegmentTable(spark, f"{folder}/totals", DAY_TOTALS,
+                        lambda rows: latest_per_key(rows, DAY_KEY, ["batch"]))
+
+
 def start_daily_sales(sales: DataFrame, folder: str, lateness: str | None = None,
                       **trigger) -> StreamingQuery:
-    """Keep the daily totals in ``folder``; each batch writes the days it changed.
+    """Keep the daily totals in ``folder``; each batch adds the days it changed.
 
-    A batch that is run again overwrites its own rows.
+    The batches' rows are merged as they come, so a reader opens a few segments however
+    many batches there were. A batch that is run again writes the same.
     """
     def store(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
+        _daily_totals(rows.sparkSession, folder).add(
+            rows.withColumn("batch", F.lit(batch).cast("long")), batch)
 
     return stream_daily_sales(sales, lateness).writeStream.outputMode("update").option(
         "checkpointLocation", f"{folder}/progress"
@@ -45,36 +60,39 @@ def start_daily_sales(sales: DataFrame, folder: str, lateness: str | None = None
 
 def read_daily_totals(spark: SparkSession, folder: str) -> DataFrame:
     """The current daily totals: the last row written for each branch and day."""
-    rows = spark.read.schema(
-        f"branch_id long, sale_day date, total {TOTAL.simpleString()}, `count` long, batch long"
-    ).parquet(f"{folder}/totals")
-    return latest_per_key(rows, ["branch_id", "sale_day"], ["batch"]).drop("batch")
+    rows = _daily_totals(spark, folder).read()
+    return latest_per_key(rows, DAY_KEY, ["batch"]).drop("batch")
 
 
-def start_audit_ingest(events: DataFrame, folder: str, **trigger) -> StreamingQuery:
+def start_audit_ingest(events: DataFrame, folder: str, buckets: int = BUCKETS, **trigger
+                       ) -> StreamingQuery:
     """Append audit events to the trail by day, each id once, however late it comes.
 
-    A batch leaves out the ids that earlier batches stored, under whatever day; for that
-    it reads the ids of the whole trail. A batch that is run again overwrites its own rows.
+    An id that an earlier batch stored, under whatever day, is left out; the trail is not
+    read for that but an index of its ids. Of different events of one id in a batch the
+    earliest stays (then the smallest by its other columns). Events without id are all
+    kept. A batch that is run again writes the same.
     """
     def store(rows: DataFrame, batch: int) -> None:
-        fresh = rows.dropDuplicates(["id"]).withColumn("day", F.to_date("created_at"))
-        if batch > 0:
-            stored = _trail(rows.sparkSession, folder, fresh.schema).filter(
-                F.col("batch") < batch)
-            fresh = fresh.join(stored.select("id"), "id", "left_anti")
-        fresh.write.mode("overwrite").partitionBy("day").parquet(
-            f"{folder}/trail/batch={batch}")
+        rows = written(rows.withColumn("day", F.to_date("created_at")), "audit-batch")
+        index = IdIndex(rows.sparkSession, f"{folder}/ids", buckets)
+        rest = [c for c in rows.columns if c not in ("id", "created_at")]
+        first = F.min(F.struct(F.col("created_at").isNull(), "created_at", *rest))
+        named = rows.filter("id is not null").groupBy("id").agg(first.alias("row")).select(
+            "id", "row.created_at", *[f"row.{c}" for c in rest])
+        ids = written(named.select(F.col("id").alias("own"), *index.keyed(F.col("id"))),
+                      "batch-ids")
+        known = index.known(ids.select("hash", "id", "bucket"), batch)
+        new = written(ids.join(known, ["bucket", "hash", "id"], "left_anti"), "new-ids")
+        fresh = named.join(new.select(F.col("own").alias("id")), "id", "left_semi")
+        fresh.select(*rows.columns).unionByName(rows.filter("id is null")).write.mode(
+            "overwrite").partitionBy("day").parquet(f"{folder}/trail/batch={batch}")
+        index.add(new, batch)
 
     return events.writeStream.option("checkpointLocation", f"{folder}/progress").foreachBatch(
         store).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _trail(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(
-        f"{folder}/trail")
-
-
 def read_audit_trail(spark: SparkSession, folder: str) -> DataFrame:
     """All audit events stored so far, with their day."""
     return spark.read.parquet(f"{folder}/trail").drop("batch")
@@ -91,6 +109,41 @@ def stream_user_sessions(events: DataFrame, gap_minutes: int = GAP_MINUTES,
              "events")
 
 
+SESSION_KEY = ["user_id", "session_start"]
+SESSIONS = ("user_id long, session_start timestamp_ntz, session_end timestamp_ntz, "
+            "events long, removed boolean, version long")
+
+
+def _sessions(spark: SparkSession, folder: str) -> SegmentTable:
+    return SegmentTable(spark, f"{folder}/sessions", SESSIONS,
+                        lambda rows: latest_per_key(rows, SESSION_KEY, ["version"]))
+
+
+def start_user_sessions(events: DataFrame, folder: str, gap_minutes: int = GAP_MINUTES,
+                        **trigger) -> StreamingQuery:
+    """Keep the sessions of each user in ``folder``, whatever order their events come in.
+
+    A late event extends a session, joins two or makes one of its own. Each batch adds the
+    sessions that it changed, and a mark for those that became part of another, with the
+    number of the batch as their version. Events of one user are combined in the tasks
+    that read them, so a busy user comes to the state as a few rows a task.
+    """
+    def store(rows: DataFrame, batch: int) -> None:
+        _sessions(rows.sparkSession, folder).add(
+            rows.withColumn("version", F.lit(batch).cast("long")), batch)
+
+    with rocks_db(events.sparkSession):
+        return changed_sessions(events, gap_minutes).writeStream.outputMode("update").option(
+            "checkpointLocation", f"{folder}/progress"
+        ).foreachBatch(store).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_user_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The current sessions: the last version of each that is not part of another."""
+    rows = latest_per_key(_sessions(spark, folder).read(), SESSION_KEY, ["version"])
+    return rows.filter("not removed").drop("removed", "version")
+
+
 def user_sessions(events: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
     """Sessions of each user: events at most the gap apart, as in session_window.
 
