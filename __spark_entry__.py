@@ -24,6 +24,7 @@ from storelake.sources.driver_tables import load  # noqa: E402
 from storelake.sources.schemas import PROCUREMENT_LINES  # noqa: E402
 from storelake.sources.tables import Tables, parse_order_lines  # noqa: E402
 from storelake.streaming import streams  # noqa: E402
+from storelake.streaming.keyed import KeyedStock  # noqa: E402
 from storelake.streaming.stock import StockStream  # noqa: E402
 
 try:  # the operators over documents may have been taken out
@@ -120,17 +121,21 @@ def stream_audit_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return streams.read_audit_trail(spark, place)
 
 
-def stock_stream(spark: SparkSession, folder: str) -> StockStream:
-    """All stock changes streamed into an empty store."""
-    ship_package(spark)
-    changes = load(spark, folder, streamed=["lineitem"])["stock_changes"]
+def stock_lines_of(changes: DataFrame) -> DataFrame:
+    """Stock changes as the lines that the stock streams take."""
     kind = F.col("movement_type")
-    lines = changes.select(
+    return changes.select(
         "branch_id", F.col("created_at").alias("posted_at"),
         F.when(kind == "procurement", PROCUREMENT).when(kind == "sale", SALE)
          .otherwise(ADJUSTMENT).alias("kind"),
         F.col("reference_id").alias("event_id"), F.col("id").alias("line_no"), "product_id",
         F.col("quantity_change").cast("long").alias("change"))
+
+
+def stock_stream(spark: SparkSession, folder: str) -> StockStream:
+    """All stock changes streamed into an empty store."""
+    ship_package(spark)
+    lines = stock_lines_of(load(spark, folder, streamed=["lineitem"])["stock_changes"])
     d = load(spark, folder)
     stream = StockStream(new_path(spark, "stock"),
                          d["branch_inventory"].filter(F.lit(False)), d["products"])
@@ -138,6 +143,49 @@ def stock_stream(spark: SparkSession, folder: str) -> StockStream:
     return stream
 
 
+def in_parts(rows: DataFrame, column: str, start: Callable, newest_first: bool = False) -> None:
+    """The rows in three parts by time; ``start`` runs a query over what is there each time.
+
+    So the query is started again from its checkpoint for the second and the third part.
+    """
+    spark, inbox = rows.sparkSession, new_path(rows.sparkSession, "inbox")
+    edges = rows.agg(F.percentile_approx(column, [0.33, 0.67])).first()[0] or []
+    part = sum((F.coalesce(F.col(column) > F.lit(edge), F.lit(False)).cast("int")
+                for edge in edges), F.lit(0))
+    for number in (2, 1, 0) if newest_first else (0, 1, 2):
+        rows.filter(part == number).write.mode("append").parquet(inbox)
+        start(spark.readStream.schema(rows.schema).parquet(inbox)).awaitTermination()
+
+
+def stream_stock_keyed(spark: SparkSession, folder: str) -> DataFrame:
+    """All stock changes in three batches, into the keyed stock of an empty store."""
+    ship_package(spark)
+    d = load(spark, folder)
+    keyed = KeyedStock(new_path(spark, "keyed-stock"),
+                       d["branch_inventory"].filter(F.lit(False)), d["products"])
+    in_parts(stock_lines_of(d["stock_changes"]), "posted_at", keyed.start)
+    return keyed.movements().drop("batch")
+
+
+def stream_user_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of the audit events, the newest third of which comes first."""
+    ship_package(spark)
+    place = new_path(spark, "sessions")
+    in_parts(load(spark, folder)["audit_logs"].select("user_id", "created_at"), "created_at",
+             lambda events: streams.start_user_sessions(events, place), newest_first=True)
+    return streams.read_user_sessions(spark, place)
+
+
+# --- exports, written and read back ---------------------------------------------
+
+def exported(df: DataFrame, fmt: str, headings: dict[str, str]) -> DataFrame:
+    spark, path = df.sparkSession, new_path(df.sparkSession, "export")
+    export.export_report(df, path, fmt, headings)
+    written = spark.read.format(fmt).option("header", True).schema(
+        df.withColumnsRenamed(headings).schema).load(path)
+    return written.withColumnsRenamed({b: a for a, b in headings.items()})
+
+
 # --- changes to the small tables, made from the given tables --------------------
 
 AS_OF = "2024-06-01 12:00:00"
@@ -439,6 +487,12 @@ def retail_queries() -> dict[str, Query]:
         "stream_audit_ingest": stream_audit_ingest,
         "stream_stock_state": lambda spark, folder: stock_stream(spark, folder).movements(),
         "stream_low_stock_alerts": lambda spark, folder: stock_stream(spark, folder).alerts(),
+        "stream_stock_keyed": stream_stock_keyed,
+        "stream_user_sessions": stream_user_sessions,
+        "inventory_export_file": over(lambda d: exported(
+            export.inventory_sheet(d, BRANCH), "csv", export.INVENTORY_HEADINGS)),
+        "procurement_report_file": over(
+            lambda d: exported(reports.procurement_report(d), "json", {})),
         "user_sessions": over(lambda d: streams.user_sessions(d["audit_logs"])),
     }
 

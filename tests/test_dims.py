@@ -1,5 +1,6 @@
 """Inserts, updates and deletes of the small tables."""
 
+import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -155,3 +156,38 @@ def test_latest_row_per_key(spark):
                                  "k int, t int, v string")
     assert sorted(map(tuple, dims.latest_per_key(rows, ["k"], ["t"]).collect())) == [
         (1, 2, None), (2, 1, "c")]
+
+
+def test_a_chain_of_clashes_takes_few_rounds(spark, monkeypatch):
+    """Each row clashes with the one before it, by name or by address in turn."""
+    n, rounds = 10_000, []
+    asked = spark.range(n).selectExpr(
+        "id as place", "concat('name', (id + 1) div 2) as username",
+        "concat('address', id div 2) as email", "concat('N', id) as full_name",
+        "'manager' as role", "cast(null as bigint) as branch_id")
+    users = spark.createDataFrame([], dims.TABLES["users"].struct)
+    clashing = dims._clashing
+    monkeypatch.setattr(dims, "_clashing", lambda *a: rounds.append(1) or clashing(*a))
+    added, refused = dims.insert_users(users, asked, ["place"])
+    assert {int(r.full_name[1:]) for r in added.select("full_name").collect()} == set(
+        range(0, n, 2))
+    assert refused.count() == n // 2 and len(rounds) < 20
+
+
+@pytest.mark.parametrize("turn_rows", [1, 8, 200_000])
+def test_clashes_give_what_one_after_another_gives(spark, turn_rows):
+    rng = random.Random(6)
+    rows = [(i, None, f"N{i}", f"u{rng.randint(0, 25)}", rng.choice([f"e{rng.randint(0, 40)}@x"]),
+             "manager") for i in range(60)]
+    taken, want = (set(), set()), []
+    for i, _, name, username, email, _ in rows:
+        if username not in taken[0] and email not in taken[1]:
+            taken[0].add(username)
+            taken[1].add(email)
+            want.append(name)
+    asked = spark.createDataFrame(rows, "place long, branch_id long, full_name string, "
+                                        "username string, email string, role string")
+    users = spark.createDataFrame([], dims.TABLES["users"].struct)
+    added, refused = dims.insert_dim(users, asked, "users", ["place"], turn_rows=turn_rows)
+    assert [r.full_name for r in added.orderBy("id").collect()] == want
+    assert refused.count() == len(rows) - len(want)

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from storelake.operators import posting as p
@@ -228,3 +229,49 @@ def test_payloads_are_posted(spark):
     assert {r.event_id: r.reason for r in out.rejections.collect()} == {
         2: "no_lines", 3: "invalid_line", 4: "invalid_line"}
     assert out.inventory.first().quantity_available == 3
+
+
+def test_undecided_events_of_a_branch_spread_over_groups(spark):
+    """One branch, chains of products that do not touch: a group for each chain."""
+    import storelake.operators.admission as admission
+
+    rng = random.Random(9)
+    lines = []
+    for event in range(400):
+        chain = rng.randrange(40)
+        for n, product in enumerate(rng.sample([3 * chain, 3 * chain + 1, 3 * chain + 2], 2)):
+            lines.append((1, START + timedelta(minutes=event), admission.SALE, event, n, product,
+                          "x", 1, -1, 0, 0, 9, True, True))
+    waiting = spark.createDataFrame([(*x[:6], *x[7:]) for x in lines],
+                                    "branch_id long, posted_at timestamp_ntz, kind int, event_id "
+                                    "long, line_no int, product_id long, need long, change long, "
+                                    "base long, lowest long, highest long, wants_row boolean, "
+                                    "row_now boolean")
+    groups = admission._with_component(waiting).groupBy("component").agg(
+        F.collect_set((F.col("product_id") / 3).cast("int")).alias("chains"),
+        F.max("lines").alias("lines"), F.count("*").alias("n")).collect()
+    assert len(groups) == 40 and all(len(g.chains) == 1 and g.lines == g.n for g in groups)
+
+
+def test_components_of_long_chains(spark):
+    from storelake.operators.graph import components
+
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(0, 600) if i % 200 != 199]
+    links += [(1000 + rng.randint(0, 30), 1000 + rng.randint(0, 30)) for _ in range(20)]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    want = {}
+    for a, b in links * 50:
+        low = min(want.get(a, a), want.get(b, b))
+        want[a] = want[b] = low
+    while True:
+        again = {k: want[v] for k, v in want.items()}
+        for a, b in links:
+            again[a] = again[b] = min(again[a], again[b])
+        if again == want:
+            break
+        want = again
+    for last_links in (2_000_000, 10):
+        got = {r.node: r.root for r in components(df, last_links).collect()}
+        assert got == {k: v for k, v in want.items() if k != v}
