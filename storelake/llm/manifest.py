@@ -240,8 +240,9 @@ def prove(docs: DataFrame, presented: Column | None = None, levels: int = LEVELS
     row has its leaf for a root and an empty proof; an empty table gives an empty result.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("lang", "doc_id", leaf_digest().alias("leaf"), (
-        leaf_digest() if presented is None else presented).alias("presented"))
+    # Written first: dealing rows into ranges reads them twice, and texts are read once.
+    rows = written(docs.select("lang", "doc_id", leaf_digest().alias("leaf"), (
+        leaf_digest() if presented is None else presented).alias("presented")), "leaf-rows")
     numbers, counts = dense_numbers(rows, ["lang"], ["doc_id", "leaf", "presented"], "place")
     langs, _ = dense_numbers(counts, [], ["lang"], "tree")
     langs = written(langs.select(F.col("lang").alias("of_lang"), (F.col("tree") - 1).alias("tree"),
