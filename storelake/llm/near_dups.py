@@ -362,13 +362,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each class, with all its columns: one with the smallest id (null last).
 
     Rows are known by id and text, so repeated or null ids lose no other text. Of rows
-    equal in both any one is kept.
+    equal in both the first one in the order of all their columns stays.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name"))
-    kept = classed(docs, id_col, text_col, **options).groupBy("root").agg(
-        first.alias("first")).select(F.struct("first.doc_id", "first.name").alias("kept_key"))
-    # Structs are equal if their fields are, nulls too.
+    labelled = classed(docs, id_col, text_col, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name"))
+    keepers = labelled.groupBy("root").agg(first.alias("first"), F.count("*").alias("n")).filter(
+        "n > 1").select("root", "first")
+    by_key = written(labelled.join(keepers, "root").groupBy("doc_id", "name").agg(
+        F.max(F.expr("doc_id <=> first.doc_id and name <=> first.name")).alias("stays"),
+        F.count("*").alias("n")).filter("n > 1 or not stays").select(
+        F.struct("doc_id", "name").alias("gone_key"), "stays"), "gone")
+    again = written(by_key.filter("stays").select("gone_key"), "repeated")
     rows = docs.select(F.struct("*").alias("row"), F.struct(
         F.col(id_col).alias("doc_id"), text_name(F.col(text_col)).alias("name")).alias("row_key"))
-    rows = rows.groupBy("row_key").agg(F.first("row").alias("row"))
-    return rows.join(kept, F.expr("row_key = kept_key"), "left_semi").select("row.*")
+    # Structs are equal if their fields are, nulls too.
+    same = F.expr("row_key = gone_key")
+    order = Window.partitionBy("row_key").orderBy(F.to_json("row"))
+    repeated = rows.join(again, same, "left_semi").withColumn(
+        "number", F.row_number().over(order)).filter("number = 1")
+    return rows.join(by_key, same, "left_anti").select("row.*").unionByName(
+        repeated.select("row.*"))

@@ -274,6 +274,15 @@ def test_one_row_of_each_near_class_stays(spark, odd):
                              (4, words[4]), (9, words[5])])
 
 
+def test_ties_of_near_copies_are_settled_by_all_columns(spark):
+    body = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, body, source) for source in ("b", "a", None, "c")] + [(2, body + " x", "a")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string")
+        kept = near_dups.drop_near_duplicates(docs.repartition(3)).collect()
+        assert list(map(tuple, kept)) == [(1, body, "a")]
+
+
 def test_leftover_pairs_lose_no_link(spark):
     rng = random.Random(8)
     base = list(range(1, 61))
