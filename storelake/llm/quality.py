@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelake.llm.text import Hasher, buffers, lowered, slices, spans_of_words
-from storelake.llm.toxicity import labelled_sample, not_held_out
+from storelake.llm.toxicity import labelled_sample, not_held_out, with_scores
 
 #: At most so many labelled texts of either label are collected, none longer than this.
 SAMPLE_OF_LABEL = 1000
@@ -237,17 +237,8 @@ def score(docs: DataFrame, field: Field, text_col: str = "text", name: str = "qu
     Null texts are empty; an empty text is one empty line. An input column of the same
     name is replaced. An empty table gives an empty result.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(field.scores(batch.column("text")),
-                                               pa.float64())], ["row", "score"])
-
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != name],
-                      F.col("score").alias(name))
+    return with_scores(docs, text_col, field.scores).select(
+        *[F.col(f"row.`{c}`") for c in docs.columns if c != name], F.col("score").alias(name))
 
 
 def line_marginals(docs: DataFrame, field: Field, id_col: str = "doc_id",
