@@ -58,7 +58,7 @@ def powers(n: int, base: int) -> np.ndarray:
         kept = np.full(max(n, 1), base, np.uint64)
         kept[0] = 1
         np.cumprod(kept, out=kept)
-        if n <= 4 * SLICE_BYTES:
+        if n <= 2 * SLICE_BYTES:
             _powers[base] = kept
     return kept[:n]
 
