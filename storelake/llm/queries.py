@@ -97,7 +97,7 @@ def op10_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("type").alias("record_type"), "record_id", F.col("refers_to").alias("refers"))
     first = records.filter("record_type = 'response'").select(
-        F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to")).distinct()
+        F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
     return records.join(first, "refers", "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -297,14 +297,16 @@ def statements() -> dict[str, str]:
                         >> cast(15 - 5 * (i % 4) as int)) & 31 as int), 1)), '')
                     as payload_digest
                 from digested),
-            firsts as (
-                select payload_digest, min(page_id) as first_page
-                from in_base_32 group by payload_digest)
-            select p.page_id, p.payload_bytes, p.payload_digest,
-                   case when p.page_id = f.first_page then 'response' else 'revisit' end
+            in_order as (
+                select *, row_number() over same as place,
+                       first_value(page_id) over same as first_page
+                from in_base_32
+                window same as (partition by payload_digest order by page_id nulls last))
+            select page_id, payload_bytes, payload_digest,
+                   case when place = 1 or first_page is null then 'response' else 'revisit' end
                        as record_type,
-                   case when p.page_id <> f.first_page then f.first_page end as refers_to
-            from in_base_32 p join firsts f using (payload_digest)""",
+                   case when place > 1 then first_page end as refers_to
+            from in_order""",
     }
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL

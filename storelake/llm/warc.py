@@ -6,7 +6,8 @@ length in bytes of what follows. The converter reads the records by those length
 off the HTTP header, and writes WARC records: identifiers derived from what the record
 is, timestamps from the 14-digit date, types from the kind of record, and SHA-1 digests
 in base 32. Of records with equal payloads the one with the smallest page id is a
-response, the others revisit it and carry no payload.
+response, the others revisit it and carry no payload. Of several with that id the first by
+archive and place is the response, so repeated pages revisit each other too.
 
 Archives are files of a few megabytes each, written and read by Spark (one row is one
 file, compressed with gzip), so they may be in any store that Spark reaches. What is
@@ -146,25 +147,25 @@ def warc_record(kind: str, record_id: str, fields: dict[str, str | None], block:
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def record_id(path: str, record: ArcRecord) -> str:
-    """Derived from the page id, or without one from the record's place."""
-    page = header_value(record.head, b"X-Page-Id")
-    return str(uuid.uuid5(IDS, f"page:{page}" if page is not None
-                          else f"{path}#{record.offset}"))
+def record_name(path: str, record: ArcRecord) -> str:
+    """Page id, digest and place: no two records have one name, whatever their page ids."""
+    page = header_value(record.head, b"X-Page-Id") or ""
+    return f"{page}:{sha1(record.payload)}:{path}#{record.offset}"
 
 
 def as_warc(record: ArcRecord, path: str, refers_to: str | None) -> bytes:
+    """The record; ``refers_to`` is the name of the record that it revisits, if any."""
     fields = {"WARC-Target-URI": record.url, "WARC-Date": stamp(record.date),
               "WARC-IP-Address": record.ip if record.ip != "0.0.0.0" else None,
               "WARC-Payload-Digest": f"sha1:{sha1(record.payload)}"}
-    own = record_id(path, record)
+    own = str(uuid.uuid5(IDS, record_name(path, record)))
     if not record.head:
         return warc_record("resource", own, fields | {"Content-Type": record.mime},
                            record.payload)
     fields["Content-Type"] = "application/http;msgtype=response"
     if refers_to is None:
         return warc_record("response", own, fields, record.head + record.payload)
-    fields |= {"WARC-Refers-To": f"<urn:uuid:{uuid.uuid5(IDS, f'page:{refers_to}')}>",
+    fields |= {"WARC-Refers-To": f"<urn:uuid:{uuid.uuid5(IDS, refers_to)}>",
                "WARC-Profile": REVISIT_PROFILE}
     return warc_record("revisit", own, fields, record.head)
 
@@ -277,18 +278,22 @@ ARC_ROWS = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id",
 
 
 def revisits(records: DataFrame, least: int) -> DataFrame:
-    """path, offset, refers_to of the records that repeat a payload of ``least`` bytes or more.
+    """path, offset, refers_to (a record name) of the records that repeat a payload.
 
-    The record with the smallest page id (as a number) is not one; records without an id
-    refer to it, but none refers to a record without an id.
+    Payloads under ``least`` bytes do not count. The first record by page id (as a number),
+    path and offset is not one; records without an id refer to it, but none refers to a
+    record without an id.
     """
-    number = F.expr("try_cast(page_id as bigint)")
-    rows = records.filter(F.col("payload_bytes") >= least).withColumn("id", number)
+    rows = records.filter(F.col("payload_bytes") >= least).withColumn(
+        "place", F.struct(F.expr("try_cast(page_id as bigint)").alias("id"), "path", "offset",
+                          "page_id"))
     first = rows.groupBy("payload_digest", "payload_bytes").agg(
-        F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+        F.min(F.when(F.col("place.id").isNotNull(), F.col("place"))).alias("first"),
+        F.count("*").alias("n")).filter("n > 1 and first is not null")
     return rows.join(first, ["payload_digest", "payload_bytes"]).filter(
-        "id is null or id != first").select(
-        "path", "offset", F.col("first").cast("string").alias("refers_to"))
+        "path != first.path or offset != first.offset").select(
+        "path", "offset", F.concat("first.page_id", F.lit(":"), "payload_digest", F.lit(":"),
+                                   "first.path", F.lit("#"), "first.offset").alias("refers_to"))
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0,

@@ -6,16 +6,27 @@ import base64
 import hashlib
 import math
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from storelake.llm import fingerprint, near_dups, quality, segmentation, text, toxicity, warc
+from storelake.llm import (
+    fingerprint,
+    near_dups,
+    quality,
+    queries,
+    segmentation,
+    text,
+    toxicity,
+    warc,
+)
 from storelake.llm.queries import MODEL_FILE
 from storelake.session import new_path, ship_package
+from tests.compare import difference
 from tests.llm.test_native import DOCS, ODD
 
 
@@ -409,27 +420,53 @@ def test_archives_round_trip(spark, version):
     ship_package(spark)
     pages = [(5, "http://a b/\n", "<p>é</p>"), (3, None, "<p>é</p>"), (9, "u", None),
              (None, "u", "<p>é</p>"), (7, "u", "x\r\n\r\nWARC/1.1\r\n"), (7, "u", ""),
-             (8, "u", "y" * 300_000), (8, "u", "y" * 300_000)]
+             (8, "u", "y" * 300_000), (8, "u", "y" * 300_000), (7, "v", "aaa"),
+             (7, "v", "bbb"), (7, "v", "aaa"), (12, "v", "aaa"), (None, "w", "n"),
+             (None, "w", "n")]
     rows = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr(
         "*", "1 as path", "2 as content", "3 as value")
     legacy, archives = new_path(spark, "arc"), new_path(spark, "warc")
     warc.write_arc(rows, legacy, version, limit=1000)
     warc.arc_to_warc(spark, legacy, archives, limit=2000)
     found = warc.read_warc(spark, archives).collect()
-    want = Counter()
-    first = {"<p>é</p>": 3, "": 7}
+    want, responses = Counter(), Counter()
+    smallest = {}
+    for page, _, html in pages:
+        if page is not None:
+            smallest[html or ""] = min(page, smallest.get(html or "", page))
     for page, _, html in pages:
         html = html or ""
         digest = base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
-        kind = "revisit" if html in first and page != first[html] else "response"
+        kind = "response"
+        if html in smallest and (page != smallest[html] or responses[html]):
+            kind = "revisit"
+        elif html in smallest:
+            responses[html] = 1
         want[str(page) if page else None, len(html.encode()), digest, kind] += 1
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["type"])
                    for r in found) == want
-    ids = defaultdict(set)
-    for r in found:
-        ids[r["record_id"]].add(r["page_id"])
-        assert r["date"] == "2024-01-01T00:00:00Z"
-    assert {next(iter(ids[r["refers_to"]])) for r in found if r["refers_to"]} == {"3", "7"}
+    assert all(r["date"] == "2024-01-01T00:00:00Z" for r in found)
+    by_id = {r["record_id"]: r for r in found}
+    assert len(by_id) == len(found)
+    revisits = [r for r in found if r["type"] == "revisit"]
+    assert len(revisits) == 6 and all(r["refers_to"] is None for r in found
+                                      if r["type"] != "revisit")
+    for r in revisits:
+        other = by_id[r["refers_to"]]
+        assert other["type"] == "response"
+        assert other["payload_digest"] == r["payload_digest"]
+
+
+def test_query_of_archives_is_its_sql_with_repeated_and_missing_ids(spark, tmp_path):
+    ship_package(spark)
+    rows = [(4, "a", "x"), (4, "a", "x"), (4, "b", "y"), (2, "c", "y"), (None, "d", "y"),
+            (None, "d", "z"), (None, "d", "z"), (6, "e", None), (5, "e", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(
+        f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert difference(queries.op10_arc_to_warc(spark, str(tmp_path)), con,
+                      queries.statements()["op10_arc_to_warc"]) is None
 
 
 def test_arc_formats():
