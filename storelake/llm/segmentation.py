@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from storelake.llm.text import Hasher, buffers, mix, slices
 
 SAMPLES = 2
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Gumbel noise from numbers of 32 bits is less than DEEP. The frontier is drawn down to
 #: a log probability of DEEPEST or NEAR arcs at first, then as far as its best value asks.
 DEEP, DEEPEST, NEAR = 23.0, -30.0, 400
