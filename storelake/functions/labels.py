@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The texts shown for labels and missing values, here and in the functions below.
 DASH = "—"
 
 

@@ -14,6 +14,8 @@ PRICE, MONEY = T.DecimalType(12, 2), T.DecimalType(14, 2)
 # Sums of money over whole tables.
 TOTAL = T.DecimalType(24, 2)
 
+# The domains of stored columns. Names, keys and defaults of the tables
+# below are fixed as well.
 STATUSES = ("active", "inactive")
 ROLES = ("director", "manager", "sales_agent")
 SALE_STATUSES = ("completed", "voided")
