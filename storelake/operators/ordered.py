@@ -185,6 +185,15 @@ def dense_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     return out.withColumn(name, F.col(name) + F.col("_before")).drop(CHUNK, "_before"), counts
 
 
+def side_by_side(rows: DataFrame, group: str, order: Sequence[str | Column]) -> DataFrame:
+    """Rows of one group follow each other in order in one task, which has many groups.
+
+    For groups of a bounded size that are gone through in Python as one sorted stream: a
+    call for each group costs far more than the few rows that most of them have.
+    """
+    return rows.repartition(group).sortWithinPartitions(group, *order)
+
+
 def numbered(
     df: DataFrame,
     order: Sequence[str],
