@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from storelake.functions.labels import normalised
 from storelake.functions.predicates import days_between
 from storelake.operators.graph import components
-from storelake.operators.ordered import numbered
+from storelake.operators.ordered import numbered, side_by_side
 from storelake.operators.quality import apply_defaults
 from storelake.session import written
 from storelake.sources.schemas import TABLES, enforce_schema, with_generated
@@ -120,17 +120,21 @@ def _first_come(clashing: DataFrame, sets: list[list[str]]) -> DataFrame:
     """The places that get in when each group is gone through in order."""
     values = [f"_value{n}" for n in range(len(sets))]
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: list[set[str]] = [set() for _ in values]
-        places = []
-        for place, *own in rows.sort_values("_place")[["_place", *values]].itertuples(index=False):
-            if not any(v in held for v, held in zip(own, taken) if isinstance(v, str)):
-                places.append(place)
-                for v, held in zip(own, taken):
-                    held.add(v)
-        return pd.DataFrame({"_place": places}, dtype="int64")
-
-    return clashing.select("_group", "_place", *values).groupBy("_group").applyInPandas(
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, taken = None, [set() for _ in values]
+        for rows in frames:
+            places = []
+            for own_group, place, *own in zip(*(rows[c].tolist() for c in columns)):
+                if own_group != group:
+                    group, taken = own_group, [set() for _ in values]
+                if not any(v in held for v, held in zip(own, taken) if isinstance(v, str)):
+                    places.append(place)
+                    for v, held in zip(own, taken):
+                        held.add(v)
+            yield pd.DataFrame({"_place": places}, dtype="int64")
+
+    columns = ["_group", "_place", *values]
+    return side_by_side(clashing.select(*columns), "_group", ["_place"]).mapInPandas(
         judge, "_place long")
 
 
