@@ -216,3 +216,21 @@ def test_audit_batches_read_only_buckets_that_hit(spark, tmp_path):
     repeats = [len(found) for b, found in read if b % 5 == 4]
     others = [len(found) for b, found in read if b % 5 != 4]
     assert all(1 <= n <= 3 for n in repeats) and sum(others) <= 3
+
+
+def test_a_block_of_products_is_one_value_of_the_state(spark, tmp_path):
+    """2,000 products of a branch: as many values as blocks, whose quantities stay right."""
+    lines = [(1, START + timedelta(minutes=i), PROCUREMENT, i, 1, i % 2000 - 500, 1 + i % 3)
+             for i in range(4000)]
+    opening = spark.createDataFrame([(1, -7, 12, START), (1, 9_000_000_000, 5, START)], STOCK)
+    products = spark.range(-500, 1500).selectExpr("id", "'x' as product_name",
+                                                  "3 as reorder_level")
+    spark.createDataFrame(lines, STOCK_LINES).write.parquet(str(tmp_path / "in"))
+    keyed = KeyedStock(str(tmp_path / "keyed"), opening, products)
+    keyed.start(spark.readStream.schema(STOCK_LINES).parquet(str(tmp_path / "in"))
+                ).awaitTermination()
+    values = spark.read.format("statestore").option(
+        "path", str(tmp_path / "keyed/progress")).option("stateVarName", "stock").load()
+    assert values.count() == 9
+    key = ["branch_id", "product_id", "quantity_available"]
+    assert in_any_order(keyed.state(), *key) == in_any_order(keyed.stock(), *key)
