@@ -224,6 +224,8 @@ class KeyedStock:
 
 #: The time of events without one: they are a session of their own.
 NO_TIME = -(1 << 62)
+#: So many neighbouring users (as a power of two) are one group.
+USER_BITS = 6
 SLOTS = "user_id long, first long, last long, n long"
 CHANGED = "user_id long, first long, last long, events long, removed boolean"
 
@@ -241,27 +243,47 @@ def _slots(gap: int):
 
 
 class SessionKeeper(StatefulProcessor):
-    """Joins new stretches of one user with the sessions they touch."""
+    """Joins new stretches of the users of a block with the sessions they touch.
+
+    The sessions of a user are one value of the state, so a user that a batch touches takes
+    two messages to the JVM, and neighbouring users share a call.
+    """
 
     def __init__(self, gap: int) -> None:
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sessions = handle.getMapState("sessions", "first long", "last long, n long")
+        self.sessions = handle.getMapState(
+            "sessions", "user_id long", "first array<long>, last array<long>, n array<long>")
+
+    def known(self, user: int) -> dict[int, tuple[int, int]]:
+        held = self.sessions.getValue((user,))
+        return {} if held is None else {
+            first: (last, n) for first, last, n in zip(*held, strict=True)}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = {k[0]: (v[0], v[1]) for k, v in self.sessions.iterator()}
-        now = dict(known)
+        known: dict[int, dict[int, tuple[int, int]]] = {}
+        now: dict[int, dict[int, tuple[int, int]]] = {}
         for pdf in rows:  # a chunk at a time: what is held are sessions, not events
-            now = self.joined(now, pdf[["first", "last", "n"]].itertuples(index=False))
-        gone = [first for first in known if first not in now]
-        new = [(first, *held) for first, held in now.items() if known.get(first) != held]
-        for first in gone:
-            self.sessions.removeKey((first,))
-        for first, last, n in new:
-            self.sessions.updateValue((first,), (last, n))
-        out = ([(key[0], first, last, n, False) for first, last, n in new]
-               + [(key[0], first, *known[first], True) for first in gone])
+            more: dict[int, list[tuple[int, int, int]]] = {}
+            for user, *stretch in zip(*(pdf[c].tolist() for c in (
+                    "user_id", "first", "last", "n"))):
+                more.setdefault(user, []).append(tuple(stretch))
+            for user, stretches in more.items():
+                if user not in known:
+                    known[user] = now[user] = self.known(user)
+                now[user] = self.joined(now[user], stretches)
+        out = []
+        for user, sessions in now.items():
+            before = known[user]
+            gone = [first for first in before if first not in sessions]
+            new = [(first, *held) for first, held in sessions.items()
+                   if before.get(first) != held]
+            if gone or new:
+                lasts, counts = zip(*sessions.values())
+                self.sessions.updateValue((user,), (list(sessions), list(lasts), list(counts)))
+            out += [(user, first, last, n, False) for first, last, n in new]
+            out += [(user, first, *before[first], True) for first in gone]
         if out:
             yield pd.DataFrame(out, columns=["user_id", "first", "last", "events", "removed"])
 
@@ -287,7 +309,9 @@ def changed_sessions(events: DataFrame, gap_minutes: int) -> DataFrame:
     times = events.filter("user_id is not null").select(
         F.col("user_id").cast("long").alias("user_id"),
         F.coalesce(at, F.lit(NO_TIME)).alias("at"))
-    changed = times.mapInPandas(_slots(gap), SLOTS).groupBy("user_id").transformWithStateInPandas(
+    slots = times.mapInPandas(_slots(gap), SLOTS).withColumn(
+        "users", F.shiftright("user_id", USER_BITS))
+    changed = slots.groupBy("users").transformWithStateInPandas(
         SessionKeeper(gap), CHANGED, "Update", "None")
 
     def moment(name: str) -> Column:

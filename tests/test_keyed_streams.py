@@ -234,3 +234,20 @@ def test_a_block_of_products_is_one_value_of_the_state(spark, tmp_path):
     assert values.count() == 9
     key = ["branch_id", "product_id", "quantity_available"]
     assert in_any_order(keyed.state(), *key) == in_any_order(keyed.stock(), *key)
+
+
+def test_neighbouring_users_share_a_group(spark, tmp_path):
+    """500 users: a group of the state for 64 of them, and sessions of their own."""
+    rows = [(u, START + timedelta(minutes=50 * (u % 3) * n)) for u in range(-100, 400)
+            for n in range(3)]
+    events = spark.createDataFrame(rows, "user_id long, created_at timestamp_ntz")
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (events.filter("user_id % 2 = 0"), events.filter("user_id % 2 <> 0")):
+        part.write.mode("append").parquet(inbox)
+        flow = spark.readStream.schema(events.schema).parquet(inbox)
+        streams.start_user_sessions(flow, out).awaitTermination()
+    got, want = streams.read_user_sessions(spark, out), streams.user_sessions(events)
+    assert in_any_order(got, *want.columns) == in_any_order(want, *want.columns)
+    state = spark.read.format("statestore").option("path", f"{out}/progress").option(
+        "stateVarName", "sessions").load()
+    assert state.select("key").distinct().count() == 9 and state.count() == 500
