@@ -126,11 +126,13 @@ def _repeated_keys(d: Mapping[str, DataFrame], tables: Sequence[str]) -> dict[tu
     return counts
 
 
-def _marks(df: DataFrame, table: str, parents: Iterable[str]) -> DataFrame:
+def _marks(df: DataFrame, table: str, rules: Mapping[tuple, int], parents: Mapping[str, int]
+           ) -> DataFrame:
     """What a table's rows tell about its rules: broken row rules, unique keys, references.
 
-    table_name, rule, column_name, parent (of references), key (a number; null for row
-    rules), in one pass over the table.
+    of (the number of the rule), parent (the number of the table of references), key (a
+    number; null for row rules), in one pass over the table. Rules and parents are numbers
+    because there is a mark for every key of every row.
     """
     spec = TABLES[table]
 
@@ -138,8 +140,8 @@ def _marks(df: DataFrame, table: str, parents: Iterable[str]) -> DataFrame:
              parent: str | None = None) -> Column:
         key = F.col(names[0]) if names else F.lit(None)
         return F.when(when, F.struct(
-            F.lit(rule).alias("rule"), F.lit(column).alias("column_name"),
-            F.lit(parent).cast("string").alias("parent"), key.cast("long").alias("key")))
+            F.lit(rules[table, rule, column]).alias("of"),
+            F.lit(parents.get(parent)).cast("int").alias("parent"), key.cast("long").alias("key")))
 
     marks = [
         *[mark("not_null", c, F.col(c).isNull()) for c in spec.required],
@@ -150,9 +152,7 @@ def _marks(df: DataFrame, table: str, parents: Iterable[str]) -> DataFrame:
         *[mark("foreign", f.column, F.col(f.column).isNotNull(), [f.column], f.parent)
           for f in spec.foreign if f.parent in parents],
     ]
-    return df.select(F.lit(table).alias("table_name"),
-                     F.explode(F.array_compact(F.array(*marks))).alias("m")).select(
-        "table_name", "m.*")
+    return df.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.*")
 
 
 def _rules(table: str, parents: Iterable[str]) -> list[tuple[str, str, str]]:
@@ -178,25 +178,31 @@ def quality_report(d: Mapping[str, DataFrame], tables: Sequence[str] | None = No
     """
     names = [n for n in (tables or TABLES) if n in d]
     repeated = _repeated_keys(d, names)
-    counts = _union(_marks(d[n], n, d) for n in names).groupBy(
-        "table_name", "rule", "column_name", "parent", "key").agg(F.count("*").alias("n"))
-    parents = sorted({f.parent for n in names for f in TABLES[n].foreign if f.parent in d})
-    if parents:
-        known = _union(d[p].select(F.lit(p).alias("parent"), F.col("id").cast("long").alias("key"))
-                       for p in parents).distinct()
+    rules = {r: i for i, r in enumerate(dict.fromkeys(r for n in names for r in _rules(n, d)))}
+    parents = {p: i for i, p in enumerate(sorted(
+        {f.parent for n in TABLES for f in TABLES[n].foreign if f.parent in d}))}
+    counts = _union(_marks(d[n], n, rules, parents) for n in names).groupBy(
+        "of", "parent", "key").agg(F.count("*").alias("n"))
+    used = sorted({f.parent for n in names for f in TABLES[n].foreign if f.parent in d})
+    if used:
+        known = _union(d[p].select(F.lit(parents[p]).alias("parent"),
+                                   F.col("id").cast("long").alias("key"))
+                       for p in used).distinct()
         counts = counts.join(known.withColumn("found", F.lit(True)), ["parent", "key"], "left")
     else:
         counts = counts.withColumn("found", F.lit(None).cast("boolean"))
-    rule = F.col("rule")
-    broken = F.when(rule == "unique", (F.col("n") > 1).cast("long")).when(
-        (rule == "foreign") & F.col("found"), 0).otherwise(F.col("n"))
-    sums = counts.groupBy("table_name", "rule", "column_name").agg(
-        F.sum(broken).alias("violations"))
+
+    def of_rule(rule: str) -> Column:
+        return F.col("of").isin([i for r, i in rules.items() if r[1] == rule])
+
+    broken = F.when(of_rule("unique"), (F.col("n") > 1).cast("long")).when(
+        of_rule("foreign") & F.col("found"), 0).otherwise(F.col("n"))
+    sums = counts.groupBy("of").agg(F.sum(broken).alias("violations"))
     spark = counts.sparkSession
     declared = spark.createDataFrame(
-        [(*r, repeated.get((r[0], r[2])) if r[1] == "unique" else None)
+        [(rules[r], *r, repeated.get((r[0], r[2])) if r[1] == "unique" else None)
          for n in names for r in _rules(n, d)],
-        "table_name string, rule string, column_name string, repeated long")
-    return declared.join(sums, ["table_name", "rule", "column_name"], "left").select(
+        "of int, table_name string, rule string, column_name string, repeated long")
+    return declared.join(sums, "of", "left").select(
         "table_name", "rule", "column_name",
         F.coalesce("repeated", "violations", F.lit(0)).cast("long").alias("violations"))

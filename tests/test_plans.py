@@ -114,3 +114,11 @@ def test_ledger_is_read_once_for_its_consistency(spark, d):
     stock = spark.createDataFrame([], d["branch_inventory"].schema)
     text = plan(ledger.ledger_consistency(moved, stock), "simple")
     assert text.count("Window") <= 2 and "Union" not in text
+
+
+def test_marks_of_rules_are_numbers(d):
+    names = ("users", "sales", "branches")
+    given = {n: d[n] for n in names}
+    rules = {r: i for i, r in enumerate(r for n in names for r in quality._rules(n, given))}
+    marks = quality._marks(d["sales"], "sales", rules, {"branches": 0, "users": 1})
+    assert marks.dtypes == [("of", "int"), ("parent", "int"), ("key", "bigint")]
