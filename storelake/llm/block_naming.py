@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storelake.llm.filter_audit import possible_members
 from storelake.session import written
 
 BLOCK_BYTES = 4096
@@ -174,13 +175,24 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     by_key = written(found.groupBy("doc_id", "raw_sha256").agg(
         F.max("kept").alias("stays"), F.count("*").alias("n")).filter("n > 1 or not stays").select(
         F.struct("doc_id", "raw_sha256").alias("gone_key"), "stays"), "gone")
-    rows = docs.select(F.struct("*").alias("row"), F.struct(
-        F.col(id_col).alias("doc_id"), raw_digest(F.col(text_col)).alias("raw_sha256"))
-        .alias("row_key"))
+    return rows_left(docs, F.struct(
+        F.col(id_col).alias("doc_id"), raw_digest(F.col(text_col)).alias("raw_sha256")), by_key)
+
+
+def rows_left(docs: DataFrame, key: Column, by_key: DataFrame) -> DataFrame:
+    """The rows whose key (a struct) is no gone_key, and one row of each key that stays.
+
+    Of rows of a key that stays the first one in the order of all their columns is left.
+    Only rows that a sketch of the keys does not clear are written and shuffled.
+    """
+    maybe = possible_members(by_key.select(F.xxhash64("gone_key").alias("hash")))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("row_key")).withColumn(
+        "met", maybe(F.xxhash64("row_key")))
+    met = written(rows.filter("met").select("row", "row_key"), "rows-met")
     # Structs are equal if their fields are, nulls too.
     same = F.expr("row_key = gone_key")
-    clean = rows.join(by_key, same, "left_anti").select("row.*")
+    clean = met.join(by_key, same, "left_anti").select("row.*")
     first = Window.partitionBy("row_key").orderBy(F.to_json("row"))
-    repeated = rows.join(by_key.filter("stays"), same, "left_semi").withColumn(
+    repeated = met.join(by_key.filter("stays"), same, "left_semi").withColumn(
         "number", F.row_number().over(first)).filter("number = 1").select("row.*")
-    return clean.unionByName(repeated)
+    return rows.filter("not met").select("row.*").unionByName(clean).unionByName(repeated)

@@ -107,8 +107,9 @@ def add_pages(pdf):
                          "once": [once], "more": [more]})
 
 
-def repeat_sketch(hashes: DataFrame, bits: int, functions: int) -> bytes:
-    """The merged sketch: bit p (from the left) is set if place p was met twice or more.
+def repeat_sketch(hashes: DataFrame, bits: int, functions: int, least: int = 2) -> bytes:
+    """The merged sketch: bit p (from the left) is set if place p was met ``least`` (1 or 2)
+    times or more.
 
     Sketches are added up FAN tasks at a time, until one is left; what then comes to the
     driver are at most two bytes for each bit that is set.
@@ -123,15 +124,32 @@ def repeat_sketch(hashes: DataFrame, bits: int, functions: int) -> bytes:
             break
         pages, tasks = written(pages, "sketches"), tasks // FAN
     size, merged = min(PAGE, bits), np.zeros(bits, bool)
-    for row in pages.filter("octet_length(more) > 0").select("page", "more").toLocalIterator():
-        merged[row["page"] * size + np.frombuffer(row["more"], "<u2").astype(np.int64)] = True
+    met = F.concat("once", "more") if least == 1 else F.col("more")
+    pages = pages.select("page", met.alias("met")).filter("octet_length(met) > 0")
+    for row in pages.toLocalIterator():
+        merged[row["page"] * size + np.frombuffer(row["met"], "<u2").astype(np.int64)] = True
     return np.packbits(merged).tobytes()
 
 
 def possible_repeats(docs: DataFrame, bits: int, functions: int):
     """A column function: whether a hash may be that of two texts (never false for one that is)."""
-    sketch = docs.sparkSession.sparkContext.broadcast(
-        repeat_sketch(docs.select(text_hash().alias("hash")), bits, functions))
+    hashes = docs.select(text_hash().alias("hash"))
+    return look_up(docs, repeat_sketch(hashes, bits, functions), bits, functions)
+
+
+def possible_members(hashes: DataFrame, most_bits: int = MOST_BITS):
+    """A column function: whether a hash may be one of those given (never false for one that is).
+
+    What it clears needs no join with them. As with repeats, beyond some 10^8 hashes it
+    clears fewer.
+    """
+    bits, functions = sketch_size(hashes.count(), most_bits)
+    return look_up(hashes, repeat_sketch(hashes, bits, functions, 1), bits, functions)
+
+
+def look_up(df: DataFrame, merged: bytes, bits: int, functions: int):
+    """A column function: whether all places of a hash are set in the sketch."""
+    sketch = df.sparkSession.sparkContext.broadcast(merged)
 
     @F.pandas_udf("boolean")
     def maybe(hashes):

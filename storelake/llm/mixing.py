@@ -86,6 +86,9 @@ def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str,
         F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"),
         order.alias("place"), F.xxhash64(F.col(text_col)).alias("tie"),
         F.pmod(order, F.lit(buckets)).alias("bucket"))
+    # Structs are equal if their fields are, nulls too: the rows are dealt by it once, for the
+    # window and the join.
+    rows = rows.withColumn("part", F.struct("source", "bucket"))
     # Prefix sums of a source in two steps, so that no task has a whole source.
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(
@@ -99,13 +102,13 @@ def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str,
         shares = F.when(F.col("weight") == weight, F.array(*[F.lit(float(v)) for v in values])
                         ).otherwise(shares)
     given = parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select(
-        F.col("p.source").alias("its_source"), F.col("bucket").alias("its_bucket"), "offset",
+        F.struct(F.col("p.source").alias("source"), "bucket").alias("its_part"), "offset",
         "source_size", "target", "total", shares.alias("shares"))
-    within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "tie", "size"
+    within = Window.partitionBy("part").orderBy("place", "doc_id", "tie", "size"
                                                             ).rowsBetween(
         Window.unboundedPreceding, 0)
     rows = rows.withColumn("own_end", F.sum("size").over(within)).join(
-        given, F.expr("source <=> its_source and bucket = its_bucket"))
+        given, F.expr("part = its_part"))
     middle = F.col("offset") + F.col("own_end") - F.col("size") / 2
     demands = F.filter(F.array(*[middle + F.lit(i) * F.col("source_size")
                                  for i in range(repeats)]), lambda x: x < F.col("target"))

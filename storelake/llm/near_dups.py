@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storelake.llm.block_naming import rows_left
+from storelake.llm.filter_audit import possible_members
 from storelake.llm.text import Hasher, buffers, lowered, mix, powers, slices, spans_of_words
 from storelake.session import written
 
@@ -293,9 +295,11 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     central = spread.groupBy("node").agg(F.sum("n").alias("centre"))
     spread = written(spread.join(central, "node"), "centres")
 
-    ids = members.select("node", "doc_id").join(central, "node", "left_semi").select(
-        F.col("doc_id").alias("wanted")).distinct()
-    some = texts.join(ids, F.expr("doc_id <=> wanted"), "left_semi").select("text")
+    ids = written(members.select("node", "doc_id").join(central, "node", "left_semi").select(
+        F.col("doc_id").alias("wanted")).distinct(), "wanted")
+    # Only texts that a sketch of the ids does not clear are shuffled.
+    maybe = possible_members(ids.select(F.xxhash64("wanted").alias("hash")))
+    some = texts.filter(maybe(F.xxhash64("doc_id"))).join(ids, F.expr("doc_id <=> wanted"), "left_semi").select("text")
     sets = written(some.mapInArrow(run_sets(words), "node binary, runs array<bigint>, odd array<bigint>")
                    .dropDuplicates(["node"]), "run-sets")
 
@@ -372,13 +376,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.max(F.expr("doc_id <=> first.doc_id and name <=> first.name")).alias("stays"),
         F.count("*").alias("n")).filter("n > 1 or not stays").select(
         F.struct("doc_id", "name").alias("gone_key"), "stays"), "gone")
-    again = written(by_key.filter("stays").select("gone_key"), "repeated")
-    rows = docs.select(F.struct("*").alias("row"), F.struct(
-        F.col(id_col).alias("doc_id"), text_name(F.col(text_col)).alias("name")).alias("row_key"))
-    # Structs are equal if their fields are, nulls too.
-    same = F.expr("row_key = gone_key")
-    order = Window.partitionBy("row_key").orderBy(F.to_json("row"))
-    repeated = rows.join(again, same, "left_semi").withColumn(
-        "number", F.row_number().over(order)).filter("number = 1")
-    return rows.join(by_key, same, "left_anti").select("row.*").unionByName(
-        repeated.select("row.*"))
+    return rows_left(docs, F.struct(
+        F.col(id_col).alias("doc_id"), text_name(F.col(text_col)).alias("name")), by_key)
