@@ -27,6 +27,7 @@ from storelake.session import written
 
 ROWS_PER_CHUNK = 5_000_000
 CHUNK = "_chunk"
+_PLACE = "_place_in_range"
 
 
 @dataclass(frozen=True)
@@ -154,20 +155,24 @@ def dense_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     """Number the rows of each key 1, 2, ... in order; also the rows of each key, as n.
 
     Two phases at every size, and no task has a whole key: the rows are dealt into ranges
-    of (keys, order) and counted for each range, then each range numbers its own after
-    those of the ranges before. Rows are written with their range, so a lost executor
-    cannot change it. NULLs come first and are a key like others.
+    of (keys, order), sorted and written with their range and place in it; the ranges are
+    counted, and a row's number is its place after those of the ranges before. Rows are
+    shuffled once, and as they are written, a lost executor cannot change their place.
+    NULLs come first and are a key like others.
     """
     keys, order = list(keys), list(order)
-    ranged = df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id())
-    chunks = written(ranged, "ranges")
-    sizes = chunks.groupBy(*keys, CHUNK).agg(F.count("*").alias("_rows"))
+    # The id has the range in the bits from 33 on, below them the place.
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    chunks = written(ranged.withColumn(_PLACE, F.monotonically_increasing_id()), "ranges"
+                     ).withColumn(CHUNK, F.shiftright(_PLACE, 33))
+    sizes = chunks.groupBy(*keys, CHUNK).agg(
+        F.count("*").alias("_rows"), F.min(_PLACE).alias("_first"))
     if keys:
         sizes = written(sizes, "range-sizes")
         earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(
             Window.unboundedPreceding, -1)
-        before = sizes.select(*keys, CHUNK, F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-                              .alias("_before"))
+        before = sizes.select(*keys, CHUNK, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+                                             - F.col("_first")).alias("_before"))
         counts = sizes.groupBy(*keys).agg(F.sum("_rows").alias("n"))
     else:
         # One row for each range: there are as many as the shuffle has partitions.
@@ -176,13 +181,12 @@ def dense_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
         for r in rows:
             sums.append(sums[-1] + r["_rows"])
         spark = df.sparkSession
-        before = spark.createDataFrame([(r[CHUNK], s) for r, s in zip(rows, sums)],
-                                       f"{CHUNK} int, _before long")
+        before = spark.createDataFrame([(r[CHUNK], s - r["_first"]) for r, s in zip(rows, sums)],
+                                       f"{CHUNK} long, _before long")
         counts = spark.createDataFrame([(sums[-1],)], "n long")
-    within = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    placed = chunks.withColumn(name, F.row_number().over(within).cast("long"))
-    out = _with_carry(placed, before, [*keys, CHUNK])
-    return out.withColumn(name, F.col(name) + F.col("_before")).drop(CHUNK, "_before"), counts
+    out = _with_carry(chunks, before, [*keys, CHUNK])
+    return out.withColumn(name, F.col(_PLACE) + 1 + F.col("_before")).drop(
+        _PLACE, CHUNK, "_before"), counts
 
 
 def side_by_side(rows: DataFrame, group: str, order: Sequence[str | Column]) -> DataFrame:

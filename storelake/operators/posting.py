@@ -19,6 +19,7 @@ from storelake.operators.admission import (
     ADJUSTMENT, EVENT, FINISH_ROWS, LINE_ORDER, PROCUREMENT, SALE, decide, new_inventory,
     with_balances,
 )
+from storelake.operators.ledger import STOCK_KEY
 from storelake.operators.ordered import ROWS_PER_CHUNK, numbered
 from storelake.session import written
 from storelake.sources.schemas import DATE, MONEY, PRICE, TABLES, enforce_schema, with_generated
@@ -80,6 +81,10 @@ def post_events(
     def given(df: DataFrame | None, schema: str) -> DataFrame:
         return df if df is not None else spark.createDataFrame([], schema)
 
+    # Read several times; what they are derived from may be far larger.
+    inventory = written(inventory.select(*STOCK_KEY, "quantity_available", "updated_at"), "stock")
+    procurements, adjustments = (df if df is None else written(df, "requests")
+                                 for df in (procurements, adjustments))
     headers, lines = _requests(
         given(baskets, BASKETS), given(basket_lines, BASKET_LINES),
         given(procurements, PROCUREMENTS), given(procurement_lines, PROCUREMENT_LINES),
@@ -91,8 +96,10 @@ def post_events(
     def of_events(rows: DataFrame, which: Column) -> DataFrame:
         return rows.join(events.filter(which).select(*EVENT), list(EVENT), "left_semi")
 
-    verdicts = decide(of_events(lines, reason.isNull()), inventory, parity, rows_per_chunk,
-                      finish_rows)
+    # Procurements alone are all accepted: there is nothing to decide.
+    settled = lines.filter(F.col("kind") != PROCUREMENT).isEmpty()
+    open_lines = lines.filter(F.lit(False)) if settled else of_events(lines, reason.isNull())
+    verdicts = decide(open_lines, inventory, parity, rows_per_chunk, finish_rows)
     placed = numbered(lines, ["branch_id", *LINE_ORDER], "number", first_id - 1)
     # An underpaid basket is never accepted, but the stock it met is of interest.
     sound = of_events(placed, reason.isNull() | (reason == "underpaid"))
