@@ -2,13 +2,14 @@
 
 Every word has two hashed embeddings that are added, of itself and of its first bytes.
 Filters of several widths slide over the words, each filter keeps its largest answer in
-the whole text, and a logistic layer reads those. The network is trained in numpy on a
-bounded number of labelled texts and sent to the tasks that score all texts. A filter's
+the whole text, and a logistic layer reads those. The network learns from all labelled
+texts in rounds: every task trains a copy on its own texts, and what the copies have
+learned is averaged, weighted by the texts that had a say in it. A filter's
 answer is a sum over its words of a table entry, so scoring is table look-ups and a
 maximum for each text; texts of any length are read whole.
 
 Scores never depend on the language. The decision to reject does: part of the labelled
-texts is kept from training, and on it each language gets the threshold with the lowest
+texts is kept from training, and on all of it each language gets the threshold with the lowest
 cost of errors.
 """
 
@@ -22,20 +23,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelake.llm.filter_audit import possible_members
 from storelake.llm.text import Hasher, buffers, lowered, mix, slices, spans_of_words
+from storelake.session import written
 
 BUCKETS = 1 << 14
 SIZE = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 16
 STEM_BYTES = 5
-#: At most so many labelled texts of either label are collected for training and
-#: calibration, none longer than this.
+#: Limits of ``sample_rows`` for classifiers that learn from a sample (not this one).
 SAMPLE_OF_LABEL = 2000
 LONGEST_SAMPLE = 100_000
-EPOCHS = 6
-#: A small sample is gone through more often, until so many steps are made.
-LEAST_STEPS = 800
+#: Texts that a task learns from, and those of a step; a step also ends at so many words.
+TEXTS_OF_PART, BATCH, WORDS_OF_BATCH = 8000, 32, 1 << 17
+ROUNDS = 3
+#: Few texts are gone through more often: a task makes about so many steps in all rounds.
+LEAST_STEPS = 700
+#: Windows that a step looks at together, so that long texts take no more memory.
+WINDOWS = 1 << 16
+#: Numbers of the network in one row of the averaging, and tasks averaged at a time.
+BLOCK, FAN = 1 << 14, 64
+#: Steps of the score in which thresholds are sought.
+BINS = 4096
 #: Rejecting a clean text costs as much as letting so many toxic ones pass.
 COST_OF_REJECTING = 3.0
 LEAST_FOR_THRESHOLD = 30
@@ -125,38 +135,43 @@ class Trainer:
         self.t = 0
 
     def step(self, words: np.ndarray, stems: np.ndarray, row: np.ndarray, labels: np.ndarray,
-             rate: float) -> None:
+             weight: np.ndarray, rate: float) -> None:
         p, g = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}
-        rows, vec = len(labels), p["embedding"][words] + p["embedding"][stems]
+        rows = len(labels)
         kept = []
         for width in WIDTHS:
             n = len(words) - width + 1
             starts = np.flatnonzero(row[:max(n, 0)] == row[width - 1:]) if n > 0 else []
             best = np.zeros((rows, FILTERS), np.float32)
             at = np.zeros((rows, FILTERS), np.int64)
-            if len(starts):
-                windows = np.concatenate([vec[starts + j] for j in range(width)], axis=1)
+            for low in range(0, len(starts), WINDOWS):
+                some = starts[low:low + WINDOWS]
+                inside = slice(some[0], some[-1] + width)
+                vec = p["embedding"][words[inside]] + p["embedding"][stems[inside]]
+                windows = np.concatenate([vec[some - some[0] + j] for j in range(width)], axis=1)
                 answer = windows @ p[f"filter{width}"].reshape(-1, FILTERS) + p[f"bias{width}"]
-                own = row[starts]
+                own = row[some]
                 first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                for k, (a, b) in enumerate(zip(first, np.append(first[1:], len(own)),
-                                               strict=True)):
+                for a, b in zip(first, np.append(first[1:], len(own)), strict=True):
                     top = answer[a:b].argmax(0)
-                    best[own[first[k]]] = answer[a:b][top, np.arange(FILTERS)]
-                    at[own[first[k]]] = starts[a + top]
-            kept.append((width, np.maximum(best, 0), best > 0, at))
+                    value, r = answer[a:b][top, np.arange(FILTERS)], own[a]
+                    at[r] = np.where(value > best[r], some[a + top], at[r])
+                    best[r] = np.maximum(value, best[r])
+            kept.append((width, best, best > 0, at))
         pooled = np.concatenate([k[1] for k in kept], axis=1)
         logit = np.clip(pooled @ p["out"] + p["shift"][0], -30, 30)
-        error = ((1 / (1 + np.exp(-logit)) - labels) / rows).astype(np.float32)
+        error = ((1 / (1 + np.exp(-logit)) - labels) * weight / rows).astype(np.float32)
         g["out"] = pooled.T @ error + 1e-4 * p["out"]
         g["shift"][0] = error.sum()
         for k, (width, _, live, at) in enumerate(kept):
-            weight = p["out"][k * FILTERS:(k + 1) * FILTERS]
-            back = error[:, None] * weight[None] * live
+            if not live.any():
+                continue
+            back = error[:, None] * p["out"][None, k * FILTERS:(k + 1) * FILTERS] * live
             g[f"bias{width}"] = back.sum(0)
             for j in range(width):
                 place = np.minimum(at + j, len(words) - 1)
-                g[f"filter{width}"][j] = np.einsum("rfs,rf->sf", vec[place], back)
+                vec = p["embedding"][words[place]] + p["embedding"][stems[place]]
+                g[f"filter{width}"][j] = np.einsum("rfs,rf->sf", vec, back)
                 push = back[:, :, None] * p[f"filter{width}"][j].T[None]
                 flat = push.reshape(-1, SIZE)
                 np.add.at(g["embedding"], words[place].ravel(), flat)
@@ -168,6 +183,17 @@ class Trainer:
             value -= rate * (self.m[key] / (1 - 0.9 ** self.t)) / (
                 np.sqrt(self.v[key] / (1 - 0.999 ** self.t)) + 1e-8)
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def put(self, values: np.ndarray) -> Trainer:
+        """Take all numbers from one array, as ``flat`` gives them."""
+        at = 0
+        for k in sorted(self.p):
+            self.p[k] = values[at:at + self.p[k].size].reshape(self.p[k].shape).copy()
+            at += self.p[k].size
+        return self
+
     def network(self, prior_shift: float = 0.0) -> Network:
         tables = [[self.p["embedding"] @ self.p[f"filter{w}"][j] for j in range(w)]
                   for w in WIDTHS]
@@ -183,71 +209,163 @@ def constant(prior: float) -> Network:
                    np.zeros(len(WIDTHS), np.float32), odds)
 
 
-def threshold_of(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The cut with the lowest cost, half way to the next score."""
-    order = np.argsort(-scores)
-    s, y = scores[order], labels[order]
-    cost = np.append(0, np.cumsum(np.where(y == 1, -1.0, COST_OF_REJECTING)))
-    between = np.append(True, np.append(s[1:] != s[:-1], True)) if len(s) else np.array([True])
-    best = int(np.argmin(np.where(between, cost, np.inf)))
-    above = s[best - 1] if best else 1.0
-    below = s[best] if best < len(s) else 0.0
-    return float((above + below) / 2) if best else 1.1
+def threshold_of(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The cut with the lowest cost, half way to the next bin of the score that has texts."""
+    order = np.argsort(-bins)
+    bins = bins[order]
+    cost = np.append(0, np.cumsum(COST_OF_REJECTING * clean[order] - toxic[order]))
+    best = int(np.argmin(cost))
+    if not best:
+        return 1.1
+    below = bins[best] + 1 if best < len(bins) else 0
+    return float((bins[best - 1] + below) / 2 / BINS)
 
 
-def ids_of(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The ids of the words and of their stems of each text, as 32-bit numbers."""
+def ids_of(column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+    """The ids of the words and of their stems of each text, as 16-bit numbers."""
     data, offsets = buffers(column)
-    out = []
     for i, j in slices(offsets):
         words, stems, row = word_ids(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
         edge = np.searchsorted(row, np.arange(j - i + 1))
-        out += [(words[a:b].astype(np.int32), stems[a:b].astype(np.int32))
-                for a, b in zip(edge, edge[1:], strict=False)]
-    return out
+        for a, b in zip(edge, edge[1:], strict=False):
+            yield words[a:b].astype("<u2").tobytes(), stems[a:b].astype("<u2").tobytes()
 
 
-def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
-        langs: list[str | None], prior: float, epochs: int = EPOCHS, batch: int = 32,
-        seed: int = 7) -> Network:
-    """Train on four fifths of the texts (as ``ids_of``), set the thresholds on the others."""
-    if len(set(labels.tolist())) < 2:
-        return constant(prior)
-    rng = np.random.default_rng(seed)
-    held = np.zeros(len(texts), bool)
-    held[rng.permutation(len(texts))[:len(texts) // 5]] = True
-    if len(set(labels[~held].tolist())) < 2:
-        held[:] = False
-    edge = np.concatenate([[0], np.cumsum([len(w) for w, _ in texts])]).astype(np.int64)
-    words, stems = (np.concatenate([t[k] for t in texts]) for k in (0, 1))
-    trainer, chosen = Trainer(seed), np.flatnonzero(~held)
-    each = -(-len(chosen) // batch)
-    epochs, step = max(epochs, -(-LEAST_STEPS // each)), 0
-    steps = epochs * each
-    for _ in range(epochs):
-        for some in np.array_split(rng.permutation(chosen), each):
-            at = [np.arange(edge[d], edge[d + 1]) for d in some]
-            where = np.concatenate(at)
-            own = np.repeat(np.arange(len(some)), [len(a) for a in at])
-            if len(where):
-                trainer.step(words[where], stems[where], own, labels[some],
-                             0.02 * (1 - step / steps) + 0.0005)
-            step += 1
-    share = labels[~held].mean()
-    shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share)) if 0 < prior < 1 else 0.0
-    network = trainer.network(float(shift))
-    if held.any():
-        known = [i for i in np.flatnonzero(held)]
-        scores = np.concatenate([network.scored(*texts[i], np.zeros(len(texts[i][0]), np.int64), 1)
-                                 for i in known])
-        own_labels, own_langs = labels[known], np.array([str(langs[i]) for i in known])
-        network.thresholds[None] = min(max(threshold_of(scores, own_labels), 0.5), 0.99)
-        for lang in sorted({langs[i] for i in known} - {None}):
-            of_lang = own_langs == str(lang)
-            if (own_labels[of_lang] == 1).sum() >= LEAST_FOR_THRESHOLD:
-                network.thresholds[lang] = min(
-                    max(threshold_of(scores[of_lang], own_labels[of_lang]), 0.5), 0.99)
-    return network
+def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = list(ids_of(batch.column("text")))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("lang"),
+             *[pa.array([t[k] for t in ids], pa.binary()) for k in (0, 1)]],
+            ["doc_id", "lang", "words", "stems"])
+
+
+def numbers_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    for words, stems, label in zip(batch.column("words"), batch.column("stems"),
+                                   batch.column("label").to_pylist(), strict=True):
+        yield (np.frombuffer(words.as_buffer(), "<u2").astype(np.int32),
+               np.frombuffer(stems.as_buffer(), "<u2").astype(np.int32), int(label))
+
+
+def batches_of(order: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Texts in that order, BATCH of them or WORDS_OF_BATCH words at a time; one at least."""
+    first, words = 0, 0
+    for k, size in enumerate(sizes[order]):
+        if k > first and (k - first == BATCH or words + size > WORDS_OF_BATCH):
+            yield order[first:k]
+            first, words = k, 0
+        words += size
+    if len(order):
+        yield order[first:]
+
+
+def learn_part(sent, turn: int, share: float):
+    """A copy of the network learns from the texts of a task; what that changes, by blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        texts = [t for batch in batches for t in numbers_of(batch)]
+        if not texts:
+            return
+        start = sent.value
+        trainer, rng = Trainer().put(start), np.random.default_rng(turn)
+        labels = np.array([t[2] for t in texts])
+        # Both labels count the same.
+        weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+        sizes = np.array([len(t[0]) for t in texts])
+        each = sum(1 for _ in batches_of(np.arange(len(texts)), sizes))
+        passes, step = max(1, round(LEAST_STEPS / (ROUNDS * each))), 0
+        for _ in range(passes):
+            for some in batches_of(rng.permutation(len(texts)), sizes):
+                words, stems = (np.concatenate([texts[d][k] for d in some]) for k in (0, 1))
+                if len(words):
+                    done = (turn + min(1.0, step / (passes * each))) / ROUNDS
+                    trainer.step(words, stems, np.repeat(np.arange(len(some)), sizes[some]),
+                                 labels[some], weight[some], 0.02 * (1 - done) + 0.0005)
+                step += 1
+        change = trainer.flat() - start
+        say = (change != 0) * np.float32(len(texts))
+        task = TaskContext.get().partitionId()
+        for block, low in enumerate(range(0, len(change), BLOCK)):
+            at = slice(low, low + BLOCK)
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([block], pa.int32()), "task": pa.array([task], pa.int32()),
+                "change": pa.array([(change[at] * say[at]).astype("<f8").tobytes()], pa.binary()),
+                "say": pa.array([say[at].astype("<f8").tobytes()], pa.binary())})
+
+    return run
+
+
+def add_blocks(pdf):
+    """The sum of one block over some tasks, in the order of the tasks."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("task")
+    change, say = (sum(np.frombuffer(x, "<f8") for x in pdf[c]) for c in ("change", "say"))
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "task": pdf["task"].iloc[:1] // FAN,
+                         "change": [change.tobytes()], "say": [say.tobytes()]})
+
+
+def learned(texts: DataFrame, share: float, seed: int = 7) -> Trainer:
+    """The network after ROUNDS rounds over all the texts (label, words, stems).
+
+    The driver gets one averaged network a round, a megabyte, and no text.
+    """
+    kind = "block int, task int, change binary, say binary"
+    state = Trainer(seed).flat()
+    for turn in range(ROUNDS):
+        sent = texts.sparkSession.sparkContext.broadcast(state)
+        parts = written(texts.select("label", "words", "stems").mapInArrow(
+            learn_part(sent, turn, share), kind), "learned")
+        tasks = parts.agg(F.max("task")).first()[0] or 0
+        while True:
+            parts = parts.withColumn("of", F.floor(F.col("task") / FAN)).groupBy(
+                "block", "of").applyInPandas(lambda pdf: add_blocks(pdf), kind)
+            if tasks < FAN:
+                break
+            parts, tasks = written(parts, "learned"), tasks // FAN
+        rows = sorted(parts.collect(), key=lambda r: r["block"])
+        change, say = (np.concatenate([np.frombuffer(r[c], "<f8") for r in rows])
+                       for c in ("change", "say"))
+        state = (state + change / np.maximum(say, 1)).astype(np.float32)
+        sent.unpersist()
+    return Trainer(seed).put(state)
+
+
+def thresholds_of(texts: DataFrame, network: Network) -> dict[str | None, float]:
+    """Thresholds of all (None) and of each language with enough toxic texts among these."""
+    sent = texts.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = np.array([float(sent.value.scored(w, s, np.zeros(len(w), np.int64), 1)[0])
+                               for w, s, _ in numbers_of(batch)])
+            bins = np.minimum((scores * BINS).astype(np.int32), BINS - 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), batch.column("label").cast(pa.int32()),
+                 pa.array(bins, pa.int32())], ["lang", "label", "bin"])
+
+    def of_lang(pdf):
+        import pandas as pd
+
+        found = threshold_of(*(pdf[c].to_numpy() for c in ("bin", "toxic", "clean")))
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "threshold": [found]})
+
+    scored = texts.select("lang", "label", "words", "stems").mapInArrow(
+        run, "lang string, label int, bin int")
+    sums = (F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    bins = written(scored.groupBy("lang", "bin").agg(*sums), "score-bins")
+    whole = bins.groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    rows = whole.collect()
+    found = {None: threshold_of(*(np.array([r[c] for r in rows])
+                                  for c in ("bin", "toxic", "clean")))}
+    often = bins.filter("lang is not null").groupBy("lang").agg(F.sum("toxic").alias("n")).filter(
+        F.col("n") >= LEAST_FOR_THRESHOLD)
+    for r in bins.join(often, "lang", "left_semi").groupBy("lang").applyInPandas(
+            of_lang, "lang string, threshold double").collect():
+        found[r["lang"]] = r["threshold"]
+    return {lang: min(max(x, 0.5), 0.99) for lang, x in sorted(
+        found.items(), key=lambda y: (y[0] is not None, y[0]))}
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
@@ -285,38 +403,51 @@ def not_held_out(column: str, parts: int, held: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", lang_col: str = "lang", learn: Column | None = None,
-          most: int = SAMPLE_OF_LABEL, longest: int = LONGEST_SAMPLE) -> Network:
-    """A network from the labelled texts that ``learn`` (on label_id) lets through.
+          label_col: str = "toxic", lang_col: str = "lang", learn: Column | None = None) -> Network:
+    """A network from all labelled texts that ``learn`` (on label_id) lets through.
 
-    Without texts of both labels all texts get the share of label 1 as their score.
+    Of ids that come twice one text and the larger label count. A fifth of the texts, by
+    hash of the id, is kept for the thresholds. Without texts of both labels all texts get
+    the share of label 1 as their score.
     """
     learn = not_held_out("label_id", 5, 0) if learn is None else learn
-    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    sample, prior = sample_rows(docs, labels, id_col, text_col, label_col, learn, most, longest,
-                                lang.alias("lang"))
-
-    if sample is None:
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
+    texts = docs.select(F.col(id_col).alias("doc_id"), lang.cast("string").alias("lang"),
+                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    known = written(labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label"))
+                    .filter(F.col("label").isin(0, 1)).filter(learn).groupBy("label_id").agg(
+        F.max("label").cast("int").alias("label")), "labels")
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    if not counts:
+        return constant(0.5)
+    prior = counts.get(1, 0) / sum(counts.values())
+
+    # Only the numbers of the words of labelled texts are shuffled.
+    maybe = possible_members(known.select(
+        F.xxhash64(F.col("label_id").cast(id_type)).alias("hash")))
+    ids = texts.filter(maybe(F.xxhash64("doc_id"))).mapInArrow(
+        named, f"doc_id {id_type}, lang string, words binary, stems binary")
+    rows = ids.join(known, F.expr("doc_id = label_id")).groupBy("doc_id").agg(
+        F.min(F.struct("lang", "words", "stems", "label")).alias("row"))
+    parts = -(-sum(counts.values()) // TEXTS_OF_PART)
+    held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0
+    rows = written(rows.select("row.*", held.alias("held"), F.xxhash64("doc_id").alias("place"))
+                   .repartition(parts, "place").sortWithinPartitions("place", "words"),
+                   "labelled-texts")
+    found = {(r[0], r[1]): r[2] for r in rows.groupBy("held", "label").count().collect()}
+    if len({label for _, label in found}) < 2:
         return constant(prior)
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = ids_of(batch.column("text"))
-            kept = [batch.column(c) for c in ("doc_id", "label", "lang")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, *[pa.array([t[k].tobytes() for t in ids], pa.binary()) for k in (0, 1)]],
-                ["doc_id", "label", "lang", "words", "stems"])
-
-    # The driver gets numbers of words, some 8 bytes each, and no text.
-    id_type = sample.schema["doc_id"].dataType.simpleString()
-    label_type = sample.schema["label"].dataType.simpleString()
-    rows = sorted(sample.select("doc_id", "label", "lang", "text").mapInArrow(
-        named, f"doc_id {id_type}, label {label_type}, lang string, words binary, stems binary"
-    ).collect(), key=lambda r: r["doc_id"])
-    texts = [(np.frombuffer(r["words"], np.int32), np.frombuffer(r["stems"], np.int32))
-             for r in rows]
-    return fit(texts, np.array([r["label"] for r in rows], np.int64), [r["lang"] for r in rows],
-               prior)
+    apart = any(kept for kept, _ in found) and {(False, 0), (False, 1)} <= set(found)
+    own = {label: found.get((False, label), 0) + (0 if apart else found.get((True, label), 0))
+           for label in (0, 1)}
+    share = own[1] / (own[0] + own[1])
+    # The copies learned from both labels alike.
+    shift = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
+    network = learned(rows.filter("not held") if apart else rows, share).network(float(shift))
+    if apart:
+        network.thresholds = thresholds_of(rows.filter("held"), network)
+    return network
 
 
 def with_scores(docs: DataFrame, text_col: str, scores: Callable[[pa.Array], np.ndarray]
