@@ -287,3 +287,27 @@ def test_loose_spans_are_added(spark):
 
 def test_repeated_rows_and_null_ids_keep_their_spans(odd):
     assert pii.personal_data(odd).count() == len(ODD)
+
+
+def test_rows_cleared_by_the_sketch_are_not_shuffled(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('text ', id % 290) as text")
+    met = []
+    kept = block_naming.written
+
+    def spy(df, label="table"):
+        out = kept(df, label)
+        if label == "rows-met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(block_naming, "written", spy)
+    left = block_naming.drop_exact_duplicates(docs).collect()
+    assert sorted(r["doc_id"] for r in left) == list(range(10, 300))
+    assert 10 <= met[0] < 60
+
+
+def test_mix_deals_whole_rows_once_before_it_sorts(spark):
+    docs = spark.range(20).selectExpr("id as doc_id", "'a b' as text", "'s' as source")
+    plan = mixing.training_order(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(coalesce(source" not in plan
+    assert mixing.training_order(docs).count() == 20

@@ -352,6 +352,22 @@ def test_toxicity_on_held_out_texts(spark, odd, nothing):
     assert {r["toxicity"] for r in toxicity.score(odd, flat).collect()} == {0.5}
 
 
+def test_all_labelled_texts_are_learned(spark, monkeypatch):
+    """Also more than 2,000 of a label, and one of more than 100,000 bytes."""
+    docs = spark.range(4400).selectExpr(
+        "id as doc_id", "if(id = 7, repeat('long ', 30000), concat('w', id % 9)) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    seen = []
+
+    def rows_of(texts):
+        seen.append(tuple(texts.selectExpr("count(*)", "max(octet_length(words))").first()))
+
+    monkeypatch.setattr(toxicity, "learned", lambda texts, _: rows_of(texts) or toxicity.Trainer())
+    monkeypatch.setattr(toxicity, "thresholds_of", lambda texts, _: rows_of(texts) or {})
+    toxicity.train(docs, labels, learn=F.lit(True))
+    assert sum(n for n, _ in seen) == 4400 and max(size for _, size in seen) == 60_000
+
+
 def test_sample_of_either_label(spark):
     docs = spark.range(4400).selectExpr("id as doc_id", "concat('w', id) as text")
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")

@@ -88,3 +88,10 @@ def test_ledger_identity(rows, limit):
         F.col("id") == 17, 1).otherwise(0))
     rules = {r.rule for r in ledger_consistency(broken, stock, limit).collect()}
     assert "sum" in rules and rules <= {"sum", "gap", "snapshot"}
+
+
+def test_numbering_shuffles_rows_once(spark):
+    rows = spark.range(50).selectExpr("id % 3 as k", "id as i")
+    for keys in ([], ["k"]):
+        plan = dense_numbers(rows, keys, ["i"], "n")[0]._jdf.queryExecution().optimizedPlan()
+        assert "row_number" not in plan.toString()
