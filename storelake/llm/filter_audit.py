@@ -134,7 +134,7 @@ def repeat_sketch(hashes: DataFrame, bits: int, functions: int, least: int = 2)
 def possible_repeats(docs: DataFrame, bits: int, functions: int):
     """A column function: whether a hash may be that of two texts (never false for one that is)."""
     hashes = docs.select(text_hash().alias("hash"))
-    return look_up(docs, repeat_sketch(hashes, bits, functions), bits, functions)
+    return as_column(look_up(docs, repeat_sketch(hashes, bits, functions), bits, functions))
 
 
 def possible_members(hashes: DataFrame, most_bits: int = MOST_BITS):
@@ -143,22 +143,38 @@ def possible_members(hashes: DataFrame, most_bits: int = MOST_BITS):
     What it clears needs no join with them. As with repeats, beyond some 10^8 hashes it
     clears fewer.
     """
+    return as_column(member_test(hashes, most_bits))
+
+
+def member_test(hashes: DataFrame, most_bits: int = MOST_BITS):
+    """The same for an array of hashes within a task that runs Python anyway.
+
+    A column function before ``mapInArrow`` in one stage takes a second Python worker for
+    each task, and both stay.
+    """
     bits, functions = sketch_size(hashes.count(), most_bits)
     return look_up(hashes, repeat_sketch(hashes, bits, functions, 1), bits, functions)
 
 
 def look_up(df: DataFrame, merged: bytes, bits: int, functions: int):
-    """A column function: whether all places of a hash are set in the sketch."""
+    """A function of an array of hashes: whether all places of each are set in the sketch."""
     sketch = df.sparkSession.sparkContext.broadcast(merged)
 
+    def maybe(hashes: np.ndarray) -> np.ndarray:
+        set_bits, out = np.frombuffer(sketch.value, np.uint8), np.ones(len(hashes), bool)
+        for place in places(hashes, bits, functions):
+            out &= (set_bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+        return out
+
+    return maybe
+
+
+def as_column(test):
     @F.pandas_udf("boolean")
     def maybe(hashes):
         import pandas as pd
 
-        set_bits, out = np.frombuffer(sketch.value, np.uint8), np.ones(len(hashes), bool)
-        for place in places(hashes.to_numpy(), bits, functions):
-            out &= (set_bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-        return pd.Series(out)
+        return pd.Series(test(hashes.to_numpy()))
 
     return maybe
 

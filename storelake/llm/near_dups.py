@@ -184,6 +184,19 @@ def run_sets(words: int) -> Callable:
     return run
 
 
+def sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """node, runs and odd of the texts whose doc_id is among the wanted ids.
+
+    Only texts that a sketch of the ids does not clear are shuffled. The join merges, however
+    few the ids are: the sketch and the runs would share a stage after a broadcast, and each
+    of its tasks would take two Python workers.
+    """
+    maybe = possible_members(ids.select(F.xxhash64("wanted").alias("hash")))
+    some = texts.filter(maybe(F.xxhash64("doc_id"))).join(
+        ids.hint("merge"), F.expr("doc_id <=> wanted"), "left_semi").select("text")
+    return some.mapInArrow(run_sets(words), "node binary, runs array<bigint>, odd array<bigint>")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets of runs are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("runs").alias("runs_a"))
@@ -297,11 +310,7 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ids = written(members.select("node", "doc_id").join(central, "node", "left_semi").select(
         F.col("doc_id").alias("wanted")).distinct(), "wanted")
-    # Only texts that a sketch of the ids does not clear are shuffled.
-    maybe = possible_members(ids.select(F.xxhash64("wanted").alias("hash")))
-    some = texts.filter(maybe(F.xxhash64("doc_id"))).join(ids, F.expr("doc_id <=> wanted"), "left_semi").select("text")
-    sets = written(some.mapInArrow(run_sets(words), "node binary, runs array<bigint>, odd array<bigint>")
-                   .dropDuplicates(["node"]), "run-sets")
+    sets = written(sets_of(texts, ids, words).dropDuplicates(["node"]), "run-sets")
 
     # Each node with the most central node it shares most buckets with.
     top = spread.groupBy("band").agg(F.max(F.struct("centre", "node")).alias("top"))

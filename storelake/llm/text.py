@@ -1,7 +1,7 @@
 """Words and hashes of many texts at once, on the UTF-8 bytes of an Arrow column.
 
 A word is a run of bytes other than space and 0x09 to 0x0D. Texts are worked on in
-slices of about a megabyte, so that memory does not depend on the size of a batch; a
+slices of about 256 KB, so that memory does not depend on the size of a batch; a
 longer text is a slice of its own.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Base of the rolling hash (odd, so that it has an inverse modulo 2^64).
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelake.llm.filter_audit import possible_members
+from storelake.llm.filter_audit import member_test
 from storelake.llm.text import Hasher, buffers, lowered, mix, slices, spans_of_words
 from storelake.session import written
 
@@ -231,13 +231,26 @@ def ids_of(column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
             yield words[a:b].astype("<u2").tobytes(), stems[a:b].astype("<u2").tobytes()
 
 
-def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = list(ids_of(batch.column("text")))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"),
-             *[pa.array([t[k] for t in ids], pa.binary()) for k in (0, 1)]],
-            ["doc_id", "lang", "words", "stems"])
+def named(maybe: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """The words of those rows whose hash of the id may be that of a labelled one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(maybe(np.asarray(batch.column("hash"))), pa.bool_()))
+            ids = list(ids_of(batch.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("lang"),
+                 *[pa.array([t[k] for t in ids], pa.binary()) for k in (0, 1)]],
+                ["doc_id", "lang", "words", "stems"])
+
+    return run
+
+
+def named_texts(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, lang, words and stems of the texts that may have a label_id of the known ones."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    maybe = member_test(known.select(F.xxhash64(F.col("label_id").cast(id_type)).alias("hash")))
+    return texts.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(
+        named(maybe), f"doc_id {id_type}, lang string, words binary, stems binary")
 
 
 def numbers_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -414,7 +427,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
     texts = docs.select(F.col(id_col).alias("doc_id"), lang.cast("string").alias("lang"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = texts.schema["doc_id"].dataType.simpleString()
     known = written(labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label"))
                     .filter(F.col("label").isin(0, 1)).filter(learn).groupBy("label_id").agg(
         F.max("label").cast("int").alias("label")), "labels")
@@ -424,11 +436,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = counts.get(1, 0) / sum(counts.values())
 
     # Only the numbers of the words of labelled texts are shuffled.
-    maybe = possible_members(known.select(
-        F.xxhash64(F.col("label_id").cast(id_type)).alias("hash")))
-    ids = texts.filter(maybe(F.xxhash64("doc_id"))).mapInArrow(
-        named, f"doc_id {id_type}, lang string, words binary, stems binary")
-    rows = ids.join(known, F.expr("doc_id = label_id")).groupBy("doc_id").agg(
+    rows = named_texts(texts, known).join(known, F.expr("doc_id = label_id")).groupBy("doc_id").agg(
         F.min(F.struct("lang", "words", "stems", "label")).alias("row"))
     parts = -(-sum(counts.values()) // TEXTS_OF_PART)
     held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0
