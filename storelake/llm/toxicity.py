@@ -44,6 +44,8 @@ LEAST_STEPS = 700
 WINDOWS = 1 << 16
 #: Numbers of the network in one row of the averaging, and tasks averaged at a time.
 BLOCK, FAN = 1 << 14, 64
+#: Texts whose answers are weighed together; the last digits of a score depend on it.
+SCORED_BYTES = 1 << 20
 #: Steps of the score in which thresholds are sought.
 BINS = 4096
 #: Rejecting a clean text costs as much as letting so many toxic ones pass.
@@ -107,14 +109,21 @@ class Network:
     def scores(self, column: pa.Array) -> np.ndarray:
         data, offsets = buffers(column)
         parts = [np.zeros(0)]
-        for i, j in slices(offsets):
-            ids = word_ids(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-            parts.append(self.scored(*ids, j - i))
+        for i, j in slices(offsets, SCORED_BYTES):
+            found = []
+            for a, b in slices(offsets[i:j + 1]):
+                own = offsets[i + a:i + b + 1]
+                ids = word_ids(data[own[0]:own[-1]], own - own[0])
+                found.append(self.answers(*ids, b - a))
+            parts.append(self.logistic(np.concatenate(found)))
         return np.concatenate(parts)
 
     def scored(self, words: np.ndarray, stems: np.ndarray, row: np.ndarray, rows: int
                ) -> np.ndarray:
-        logit = self.answers(words, stems, row, rows) @ self.out + self.shift
+        return self.logistic(self.answers(words, stems, row, rows))
+
+    def logistic(self, answers: np.ndarray) -> np.ndarray:
+        logit = answers @ self.out + self.shift
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
