@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelake.session import written
+from storelake.session import discard, made_from, written
 
 #: Links that one task joins at the end: some 100 MB.
 LAST_LINKS = 2_000_000
@@ -60,6 +60,7 @@ def components(links: DataFrame, last_links: int = LAST_LINKS) -> DataFrame:
     leaves one for each node. While more are left than one task may have, neighbours hang
     themselves on the smallest one they know of (large and small stars in turn), which takes
     about as many rounds as the logarithm of the longest chain; the last task joins the rest.
+    :func:`storelake.session.discard` deletes the table that the result is read from.
     """
     kind = "u long, v long"
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -69,7 +70,8 @@ def components(links: DataFrame, last_links: int = LAST_LINKS) -> DataFrame:
     while True:
         seen = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen[0] <= last_links:
-            stars = stars.repartition(1).mapInPandas(_forest(2 * last_links + 2), kind)
+            stars = made_from(stars.repartition(1).mapInPandas(_forest(2 * last_links + 2), kind),
+                              stars)
             break
         if seen == mark:
             break
@@ -80,7 +82,8 @@ def components(links: DataFrame, last_links: int = LAST_LINKS) -> DataFrame:
             F.col("v").alias("u"), F.col("low").alias("v")).distinct(), "large-stars")
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u")
-        stars = written(small.select("u", F.col("low").alias("v")).unionByName(
+        last, stars = stars, written(small.select("u", F.col("low").alias("v")).unionByName(
             small.filter("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         ).distinct(), "small-stars")
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        discard(last, large)
+    return made_from(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), stars)

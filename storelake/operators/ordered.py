@@ -23,7 +23,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelake.session import written
+from storelake.session import made_from, written
 
 ROWS_PER_CHUNK = 5_000_000
 CHUNK = "_chunk"
@@ -150,21 +150,23 @@ def previous_values(o: Ordered, values: Mapping[str, str], last: str | None = No
     return joined.drop(CHUNK, "_before", "_later")
 
 
-def dense_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
-                  ) -> tuple[DataFrame, DataFrame]:
+def dense_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
+                  without: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Number the rows of each key 1, 2, ... in order; also the rows of each key, as n.
 
     Two phases at every size, and no task has a whole key: the rows are dealt into ranges
     of (keys, order), sorted and written with their range and place in it; the ranges are
     counted, and a row's number is its place after those of the ranges before. Rows are
     shuffled once, and as they are written, a lost executor cannot change their place.
-    NULLs come first and are a key like others.
+    NULLs come first and are a key like others. Columns in ``without`` (of the order) are left
+    out of the result; :func:`storelake.session.discard` deletes the ranges of the numbered rows.
     """
     keys, order = list(keys), list(order)
     # The id has the range in the bits from 33 on, below them the place.
     ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    chunks = written(ranged.withColumn(_PLACE, F.monotonically_increasing_id()), "ranges"
-                     ).withColumn(CHUNK, F.shiftright(_PLACE, 33))
+    ranges = written(ranged.withColumn(_PLACE, F.monotonically_increasing_id()).drop(*without),
+                     "ranges")
+    chunks = ranges.withColumn(CHUNK, F.shiftright(_PLACE, 33))
     sizes = chunks.groupBy(*keys, CHUNK).agg(
         F.count("*").alias("_rows"), F.min(_PLACE).alias("_first"))
     if keys:
@@ -175,18 +177,21 @@ def dense_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
                                              - F.col("_first")).alias("_before"))
         counts = sizes.groupBy(*keys).agg(F.sum("_rows").alias("n"))
     else:
-        # One row for each range: there are as many as the shuffle has partitions.
+        # One row for each range: there are as many as the shuffle has partitions. Joined as
+        # a broadcast, else the rows themselves may be shuffled to meet them.
         rows = sorted(sizes.collect(), key=lambda r: r[CHUNK])
         sums = [0]
         for r in rows:
             sums.append(sums[-1] + r["_rows"])
         spark = df.sparkSession
-        before = spark.createDataFrame([(r[CHUNK], s - r["_first"]) for r, s in zip(rows, sums)],
-                                       f"{CHUNK} long, _before long")
+        before = F.broadcast(spark.createDataFrame(
+            [(r[CHUNK], s - r["_first"]) for r, s in zip(rows, sums)],
+            f"{CHUNK} long, _before long"))
         counts = spark.createDataFrame([(sums[-1],)], "n long")
     out = _with_carry(chunks, before, [*keys, CHUNK])
-    return out.withColumn(name, F.col(_PLACE) + 1 + F.col("_before")).drop(
-        _PLACE, CHUNK, "_before"), counts
+    out = out.withColumn(name, F.col(_PLACE) + 1 + F.col("_before")).drop(
+        _PLACE, CHUNK, "_before")
+    return made_from(out, ranges), counts
 
 
 def side_by_side(rows: DataFrame, group: str, order: Sequence[str | Column]) -> DataFrame:
@@ -204,13 +209,19 @@ def numbered(
     name: str,
     start: int = 0,
     small: bool = False,
+    without: Sequence[str] = (),
 ) -> DataFrame:
     """Number all rows ``start + 1``, ``start + 2``, ... in order.
 
-    ``small`` is for callers whose rows are bounded, such as a report's first ten.
+    ``small`` is for callers whose rows are bounded, such as a report's first ten. See
+    :func:`dense_numbers` for ``without`` and for deleting what is written.
     """
     if small:
-        out = row_numbers(Ordered(df, (), tuple(order), False), name)
-    else:
-        out = dense_numbers(df, [], order, name)[0]
-    return out.withColumn(name, F.col(name) + F.lit(start).cast("long")) if start else out
+        return _from_start(row_numbers(Ordered(df, (), tuple(order), False), name), name, start
+                           ).drop(*without)
+    rows = dense_numbers(df, [], order, name, without)[0]
+    return made_from(_from_start(rows, name, start), rows)
+
+
+def _from_start(rows: DataFrame, name: str, start: int) -> DataFrame:
+    return rows.withColumn(name, F.col(name) + F.lit(start).cast("long")) if start else rows

@@ -95,3 +95,9 @@ def test_numbering_shuffles_rows_once(spark):
     for keys in ([], ["k"]):
         plan = dense_numbers(rows, keys, ["i"], "n")[0]._jdf.queryExecution().optimizedPlan()
         assert "row_number" not in plan.toString()
+
+
+def test_numbered_rows_do_not_move_to_meet_the_ranges(rows):
+    plan = numbered(rows, ["t", "i"], "n", without=["t"])
+    assert "t" not in plan.columns and plan.agg(F.max("n")).first()[0] == 600
+    assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,8 @@
 """Posting against the serial rules, and its edge cases."""
 
+import os
 import random
+import time
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from storelake.operators import posting as p
+from storelake.session import discard, shared_folder, sparing_disk, written
 from storelake.sources.driver_tables import load
 from storelake.sources.tables import parse_order_lines
 from tests.serial import post
@@ -308,3 +311,49 @@ def test_components_share_the_calls_of_a_task(spark):
         assert got == want
     text = judged._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in text and "MapInArrow" in text
+
+
+def kept_tables(spark):
+    place = f"{shared_folder(spark).removeprefix('file:')}/storelake"
+    return set(os.listdir(place)) if os.path.isdir(place) else set()
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {b for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+
+
+def none_left(spark, before):
+    """Whether all shuffle files made since are gone; they are removed in the background."""
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            return True
+        time.sleep(0.2)
+    return False
+
+
+@pytest.mark.parametrize("options", [{}, {"finish_rows": 8, "rows_per_chunk": 20}])
+def test_a_posting_leaves_only_what_its_outputs_read(spark, options):
+    requests, stock = random_requests(7, count=50, branches=1)
+    df = frames(spark, requests, stock)
+    tables, shuffles = kept_tables(spark), shuffle_files(spark)
+    out = p.post_events(**df, **options)
+    left = [name.rsplit("-", 1)[0] for name in kept_tables(spark) - tables]
+    assert sorted(left) == ["events", "posted", "stock"]
+    assert none_left(spark, shuffles)
+    assert out.rejections.count() + out.sales.count() + out.procurements.count() \
+        + out.stock_adjustments.count() == 50
+
+
+def test_tables_and_shuffles_are_given_back(spark):
+    rows = spark.range(1000).selectExpr("id % 7 as k", "id")
+    codec = spark.conf.get("spark.sql.parquet.compression.codec")
+    tables, shuffles = kept_tables(spark), shuffle_files(spark)
+    with sparing_disk(spark):
+        table = written(rows.repartition("k"))
+        assert table.groupBy("k").count().count() == 7
+    assert none_left(spark, shuffles)
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == codec
+    assert len(kept_tables(spark) - tables) == 1
+    discard(table, rows, None)
+    assert kept_tables(spark) == tables
